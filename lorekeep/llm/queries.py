@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lorekeep.llm import mixing, tokens
+from lorekeep.llm import lookalike, mixing, tokens
 from lorekeep.session import table
 
 
@@ -25,8 +25,16 @@ def p7_shares(spark, sf_dir):
     return mixing.mix_shares(sized, table(spark, sf_dir, "mix_targets"))
 
 
+def p8_found(spark, sf_dir):
+    return lookalike.found_pairs(table(spark, sf_dir, "documents"))
+
+
+def p8_canonical(spark, sf_dir):
+    return lookalike.canonical_texts(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_mix": p7_mix, "p7_shares": p7_shares}
+    return {"p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_canonical": p8_canonical}
 
 
 def oracle_sql() -> dict[str, str]:
