@@ -2,10 +2,49 @@
 
 from __future__ import annotations
 
-from lorekeep.llm import lookalike, mixing, tokens
+from pyspark.sql import functions as F
+
+from lorekeep.llm import lookalike, mixing, runs, tokens
 from lorekeep.session import table
 
 
+def p5_found(spark, sf_dir):
+    return runs.event_runs(table(spark, sf_dir, "media_events")).select("first_event_id", "last_event_id", "n_events", "duration_ms")
+
+
+def p5_by_service(spark, sf_dir):
+    """How many events each service would keep, and how many it has."""
+    events = table(spark, sf_dir, "media_events")
+    every = runs.event_runs(events, at_least=1)
+    return every.groupBy("service").agg(F.count("*").alias("runs"), F.sum("n_events").alias("events"), F.max("n_events").alias("longest_run"))
+
+
+_COMPARABLE = r"""
+    coalesce(nullif(regexp_replace(strip_accents(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce({0}, '')),
+        '([\s\xA0]*[(\[{{][^)\]}}]*[)\]}}])+[\s\xA0]*$', ''), '[\s\xA0][-\x{{2010}}-\x{{2015}}][\s\xA0].*$', ''), '[\s\xA0](feat|ft|featuring)\b.*$', ''),
+        '([\s\xA0]*[(\[{{][^)\]}}]*[)\]}}])+[\s\xA0]*$', ''), '[\s\xA0][-\x{{2010}}-\x{{2015}}][\s\xA0].*$', '')),
+        '[^\p{{L}}\p{{N}}]+', '', 'g'), ''),
+      nullif(regexp_replace(strip_accents(lower(coalesce({0}, ''))), '[^\p{{L}}\p{{N}}]+', '', 'g'), ''),
+      regexp_replace(lower(coalesce({0}, '')), '[\s\xA0]+', '', 'g'))
+"""
+
+_RUNS = f"""
+WITH events AS (
+  SELECT DISTINCT client_id, service, id, played_at, {_COMPARABLE.format("title")} AS t, {_COMPARABLE.format("artist")} AS a
+  FROM media_events WHERE played_at IS NOT NULL),
+flagged AS (
+  SELECT *, CASE WHEN lag(t) OVER w = t AND lag(a) OVER w = a THEN 0 ELSE 1 END AS changed
+  FROM events WINDOW w AS (PARTITION BY client_id, service ORDER BY played_at, id)),
+numbered AS (
+  SELECT *, sum(changed) OVER (PARTITION BY client_id, service ORDER BY played_at, id ROWS UNBOUNDED PRECEDING) AS run FROM flagged),
+runs AS (
+  SELECT client_id, service, run, arg_min(id, struct_pack(p := played_at, i := id)) AS first_event_id,
+    arg_max(id, struct_pack(p := played_at, i := id)) AS last_event_id, count(*) AS n_events,
+    CAST(floor((epoch_us(max(played_at)) - epoch_us(min(played_at))) / 1000) AS BIGINT) AS duration_ms
+  FROM numbered GROUP BY ALL)
+"""
+
+
 def p6_ids(spark, sf_dir):
     return tokens.encode_documents(table(spark, sf_dir, "documents"))
 
@@ -34,8 +73,12 @@ def p8_canonical(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {"p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_canonical": p8_canonical}
+    return {"p5_found": p5_found, "p5_by_service": p5_by_service, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_canonical": p8_canonical}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
+    return {
+        "p5_found": _RUNS + "SELECT first_event_id, last_event_id, n_events, duration_ms FROM runs WHERE n_events >= 2",
+        "p5_by_service": _RUNS + "SELECT service, count(*) AS runs, CAST(sum(n_events) AS BIGINT) AS events, max(n_events) AS longest_run FROM runs GROUP BY service",
+        "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    }
