@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lorekeep.llm import lookalike, mixing, runs, tokens
+from lorekeep.llm import lookalike, mixing, neardup, runs, tokens
 from lorekeep.session import table
 
 
+def p4_found(spark, sf_dir):
+    return neardup.found_pairs(table(spark, sf_dir, "memories"))
+
+
+def p4_groups(spark, sf_dir):
+    return neardup.groups(table(spark, sf_dir, "memories"))
+
+
 def p5_found(spark, sf_dir):
     return runs.event_runs(table(spark, sf_dir, "media_events")).select("first_event_id", "last_event_id", "n_events", "duration_ms")
 
@@ -73,7 +81,7 @@ def p8_canonical(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {"p5_found": p5_found, "p5_by_service": p5_by_service, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_canonical": p8_canonical}
+    return {"p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_by_service": p5_by_service, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_canonical": p8_canonical}
 
 
 def oracle_sql() -> dict[str, str]:
