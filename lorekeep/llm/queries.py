@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lorekeep.llm import knn, lookalike, mixing, neardup, runs, tokens
+from lorekeep.llm import knn, lookalike, mixing, neardup, personal, runs, tokens
 from lorekeep.session import table
 
 
+def p1_found(spark, sf_dir):
+    return personal.found_items(table(spark, sf_dir, "memories"), table(spark, sf_dir, "entities"))
+
+
+def p1_redacted(spark, sf_dir):
+    return personal.redacted(table(spark, sf_dir, "memories"), table(spark, sf_dir, "entities"))
+
+
 def p2_found(spark, sf_dir):
     return knn.found_pairs(table(spark, sf_dir, "memories"))
 
@@ -89,7 +97,7 @@ def p8_canonical(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_by_service": p5_by_service, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_canonical": p8_canonical}
+    return {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_by_service": p5_by_service, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_canonical": p8_canonical}
 
 
 def oracle_sql() -> dict[str, str]:
