@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("timestamps",)
+MODULES = ("timestamps", "visibility", "statistics")
 
 
 def _collect(attribute: str) -> dict:
