@@ -4,8 +4,8 @@ The similarity of two contents is the share of their distinct three-word sequenc
 both have. Contents with the same set of sequences form one class, which is compared once.
 Every class has a fingerprint of ``SYMBOLS`` minhash symbols, two of which agree with the
 probability of the similarity. The fingerprint is split into blocks of ``BLOCK`` symbols,
-sized so that a pair at the threshold shares a block with a probability of 98 %, at 0.6 of
-99.99 %, above that of practically one. Classes are joined on blocks; pairs so met are
+sized so that a pair at the threshold shares a block with a probability of 95 %, at 0.55 of
+99 %, at 0.6 of 99.9 %, above that of practically one. Classes are joined on blocks; pairs so met are
 verified by the Hamming distance of one-bit fingerprints (five standard deviations of room
 for a pair at the threshold), and then exactly on their sequences.
 
@@ -32,7 +32,7 @@ from lorekeep.session import checkpointed
 WORDS = 3
 THRESHOLD = 0.5
 BLOCK = 4
-BLOCKS = 64
+BLOCKS = 48
 SYMBOLS = BLOCK * BLOCKS
 
 
@@ -47,7 +47,7 @@ def sequences(found: Column, words: int = WORDS) -> Column:
     The list must be a column of its own, or it would be made again for each of its words.
     """
     starts = F.when(F.size(found) >= words, F.sequence(F.lit(0), F.size(found) - words)).otherwise(F.array().cast("array<int>"))
-    hashes = F.transform(starts, lambda i: F.xxhash64(*[F.get(found, i + k) for k in range(words)]))
+    hashes = F.transform(starts, lambda i: F.hash(*[F.get(found, i + k) for k in range(words)]))
     return F.array_sort(F.array_distinct(hashes))
 
 
@@ -61,7 +61,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         if not len(lists):
             continue
         offsets = lists.offsets.to_numpy().astype(np.int64)
-        values = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
+        values = lists.values.to_numpy(zero_copy_only=False).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         n = len(lists)
         symbols = np.empty((n, SYMBOLS), np.uint64)
         starts, values = offsets[:-1] - offsets[0], values[offsets[0] : offsets[-1]]
@@ -70,44 +70,43 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             symbols[:, k] = np.minimum.reduceat(hashed ^ (hashed >> np.uint64(31)), starts)
         blocks = (symbols.reshape(n, BLOCKS, BLOCK) * mix).sum(axis=2, dtype=np.uint64)
         bits = np.packbits(((symbols * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)).astype(np.uint8), axis=1).view(np.int64)
-        as_lists = lambda x, width: pa.ListArray.from_arrays(pa.array(np.arange(0, n * width + 1, width, dtype=np.int32)), pa.array(x.reshape(-1).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("class_id"), as_lists(blocks, BLOCKS), as_lists(bits, SYMBOLS // 64)], ["class_id", "blocks", "bits"])
+        keys = (blocks >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        as_lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.reshape(-1)))
+        yield pa.RecordBatch.from_arrays([batch.column("class_id"), as_lists(keys), as_lists(bits)], ["class_id", "blocks", "bits"])
 
 
 def classes(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members (``id, text_key, class_id``) and classes (``class_id, sequences``)."""
-    rows = memories.groupBy("id").agg(F.max("namespace").alias("namespace"), F.max("content").alias("content"))
-    cut = rows.select("id", "namespace", F.xxhash64("namespace", "content").alias("text_key"), word_list(F.col("content")).alias("words")).where(F.size("words") >= WORDS)
+    cut = memories.select("id", "namespace", F.xxhash64("namespace", "content").alias("text_key"), word_list(F.col("content")).alias("words")).where(F.size("words") >= WORDS)
     keyed = cut.select("id", "namespace", "text_key", sequences(F.col("words")).alias("sequences"))
-    keyed = checkpointed(keyed.select("id", "text_key", F.xxhash64("namespace", "sequences").alias("class_id"), "sequences"))
-    members = keyed.select("id", "text_key", "class_id")
-    one_each = keyed.join(keyed.groupBy("class_id").agg(F.min("id").alias("id")), ["class_id", "id"]).select("class_id", "sequences")
-    return members, one_each
+    keyed = keyed.select("id", "text_key", F.xxhash64("namespace", "sequences").alias("class_id"), "sequences")
+    # made twice from the source, which moves less than writing contents or sequences of every row
+    return checkpointed(keyed.select("id", "text_key", "class_id").distinct()), checkpointed(keyed.select("class_id", "sequences").dropDuplicates(["class_id"]))
 
 
 def similar_classes(kinds: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``a, b, similarity`` of every pair of different classes at or above the threshold, a < b."""
-    printed = checkpointed(kinds.mapInArrow(_fingerprints, "class_id long, blocks array<long>, bits array<long>"))
-    # the block number is part of the key, and a class carries a namespace's hash, which the exact check settles
-    rows = printed.select("class_id", F.posexplode("blocks").alias("block", "key")).select("class_id", F.xxhash64("block", "key").alias("key"))
+    printed = checkpointed(kinds.mapInArrow(_fingerprints, "class_id long, blocks array<int>, bits array<long>"))
+    # the number of the block is the upper half of the key
+    key = F.shiftleft(F.col("block").cast("long"), 32) + F.col("key").cast("long") + F.lit(1 << 31)
+    rows = printed.select("class_id", F.posexplode("blocks").alias("block", "key")).select("class_id", key.alias("key"))
     met = rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.class_id") < F.col("y.class_id")))
     pairs = met.select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b")).distinct()
-    side = printed.select("class_id", "bits").join(kinds, "class_id")
-    left = side.select(F.col("class_id").alias("a"), F.col("bits").alias("bits_a"), F.col("sequences").alias("set_a"))
-    right = side.select(F.col("class_id").alias("b"), F.col("bits").alias("bits_b"), F.col("sequences").alias("set_b"))
+    prints = printed.select("class_id", "bits")
     distance = sum((F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(SYMBOLS // 64)), F.lit(0))
     differ = (1 - threshold) / 2
     furthest = SYMBOLS * differ + 5 * (SYMBOLS * differ * (1 - differ)) ** 0.5
-    near = pairs.join(left, "a").join(right, "b").where(distance <= furthest)
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    near = near.withColumn("both", both)
+    near = pairs.join(prints.select(F.col("class_id").alias("a"), F.col("bits").alias("bits_a")), "a").join(prints.select(F.col("class_id").alias("b"), F.col("bits").alias("bits_b")), "b")
+    near = near.where(distance <= furthest).select("a", "b")
+    near = near.join(kinds.select(F.col("class_id").alias("a"), F.col("sequences").alias("set_a")), "a").join(kinds.select(F.col("class_id").alias("b"), F.col("sequences").alias("set_b")), "b")
+    near = near.withColumn("both", F.size(F.array_intersect("set_a", "set_b")))
     similarity = F.col("both") / (F.size("set_a") + F.size("set_b") - F.col("both"))
     return near.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def _parts(memories: DataFrame, threshold: float):
     members, kinds = classes(memories)
-    return members, checkpointed(similar_classes(checkpointed(kinds), threshold).select("a", "b"))
+    return members, checkpointed(similar_classes(kinds, threshold).select("a", "b"))
 
 
 def found_pairs(memories: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
