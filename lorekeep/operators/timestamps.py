@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorekeep.session import checkpointed
+
 # Month names of the notations in use (English, German, Spanish, French,
 # Portuguese, Italian), folded to lower-case ASCII; a name is matched by its whole form.
 MONTHS = {
@@ -219,9 +221,9 @@ def normalise(imports: DataFrame, feeds: DataFrame, default_zone: str = "UTC") -
     records = imports.select("import_id", "feed_id", "played_at", F.unix_micros(F.col("received_at").cast("timestamp")).alias("_received_us")).dropDuplicates(["import_id"])
     by_feed = feeds.select("feed_id", "source_timezone", "day_first").dropDuplicates(["feed_id"])
     with_feed = records.join(by_feed, "feed_id", "left")
-    parsed = parse(with_feed, "played_at", "day_first")
-    silent = parse(with_feed.where(F.col("source_timezone").isNull()), "played_at", "day_first")
-    histories = feed_histories(silent, feeds, default_zone)
+    # read by the estimate and by the conversion, so it is written once
+    parsed = checkpointed(parse(with_feed, "played_at", "day_first").drop("played_at", "day_first"))
+    histories = feed_histories(parsed.where(F.col("source_timezone").isNull()), feeds, default_zone)
     known = parsed.drop("source_timezone").join(histories, "feed_id", "left").withColumn("zone", F.coalesce("zone", F.lit(default_zone)))
     special = F.lit(None).cast("int")
     for (zone, name), minutes in ABBREVIATIONS_BY_REGION.items():

@@ -97,6 +97,12 @@ class Spark:
     def join(self, array: str, separator: str) -> str:
         return f"array_join({array}, '{separator}')"
 
+    def count_in(self, array: str, items: list[str]) -> str:
+        return f"coalesce(array_size(filter({array}, x -> array_contains({self.values_in(items)}, x))), 0)"
+
+    def distinct_in(self, array: str, items: list[str]) -> str:
+        return f"coalesce(array_size(array_intersect({self.values_in(items)}, {array})), 0)"
+
     text = "STRING"
 
 
@@ -159,7 +165,7 @@ class Duck(Spark):
 
     def union_tags(self, a, b):
         both = f"list_concat({a}, {b})"
-        return f"array_to_string(list_filter({both}, (x, i) -> list_position({both}, x) = i), ',')"
+        return f"array_to_string(list_filter({both}, lambda x, i: list_position({both}, x) = i), ',')"
 
     def sorted_distinct(self, a):
         return f"array_to_string(list_sort(list_distinct({a})), ',')"
@@ -170,6 +176,12 @@ class Duck(Spark):
     def join(self, array, separator):
         return f"array_to_string({array}, '{separator}')"
 
+    def count_in(self, array, items):
+        return f"coalesce(len(list_filter({array}, lambda x: list_contains({self.values_in(items)}, x))), 0)"
+
+    def distinct_in(self, array, items):
+        return f"coalesce(len(list_intersect({self.values_in(items)}, {array})), 0)"
+
     text = "VARCHAR"
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("timestamps", "visibility", "statistics")
+MODULES = ("timestamps", "visibility", "statistics", "retrieval", "similarity")
 
 
 def _collect(attribute: str) -> dict:
