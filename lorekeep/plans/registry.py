@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("timestamps", "visibility", "statistics", "retrieval", "similarity", "lifecycle", "evaluation")
+MODULES = ("timestamps", "visibility", "statistics", "retrieval", "similarity", "lifecycle", "evaluation", "texts", "streams")
 
 
 def _collect(attribute: str) -> dict:
