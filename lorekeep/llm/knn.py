@@ -1,12 +1,12 @@
 """Problem 2: for every vector the k most similar vectors of its own embedding identity.
 
 Vectors of one identity are spread over shards of about ``SHARD`` vectors by their nearest
-centre; centres are fitted on a sample of at most ``SAMPLE`` vectors (documented bound, all
-identities together). Every shard gets a hierarchical navigable small-world graph over all its
+centre; centres are fitted on a sample (sixteen vectors for each centre, at least 16,384, at most
+``SAMPLE``, all identities together). Every shard gets a hierarchical navigable small-world graph over all its
 vectors, stored as flat neighbour arrays (``smallworld``). Each vector is searched in the
 ``PROBES`` shards whose centres are nearest to it, and the shards' results are merged.
 
-A centre that attracts far more than ``SHARD`` vectors is split into as many shards as it
+A centre that attracts more than ``MOST_SHARD`` vectors is split into as many shards as it
 needs; queries for it then visit all of them, so no task holds an unbounded shard and
 nothing is dropped. Equal vectors are one class, indexed once, so a group of copies costs
 no more than one vector; each member of it gets the class's result without itself.
@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 from lorekeep.llm.smallworld import SmallWorld
 from lorekeep.session import checkpointed
 
-SHARD = 16_384
-SAMPLE = 16_384
+SHARD = 2_048
+MOST_SHARD = 32_768
+SAMPLE = 262_144
 PROBES = 3
 LINKS = 16
 WIDTH = 20
@@ -48,7 +49,7 @@ def usable(memories: DataFrame) -> DataFrame:
     )
     kept = memories.select("id", *IDENTITY, vector.alias("embedding")).dropna(subset=["id", *IDENTITY, "embedding"]).where(good)
     keyed = kept.withColumn("identity", F.xxhash64(*IDENTITY)).withColumn("class_id", F.xxhash64("identity", "embedding"))
-    return keyed.groupBy("id").agg(F.max("identity").alias("identity"), F.max("class_id").alias("class_id"), F.max("embedding").alias("embedding"))
+    return keyed.select("id", "identity", "class_id", "embedding")  # an id may still be there twice
 
 
 def _unit(column: pa.ListArray) -> np.ndarray:
@@ -57,14 +58,19 @@ def _unit(column: pa.ListArray) -> np.ndarray:
     return flat / np.linalg.norm(flat, axis=1, keepdims=True)
 
 
-def fit_centres(kinds: DataFrame, shard: int = SHARD, sample: int = SAMPLE, rounds: int = 8) -> dict[int, np.ndarray]:
-    """Centres of every identity with more than one shard's vectors, by spherical k-means on a bounded sample."""
-    sizes = {r["identity"]: r["n"] for r in kinds.groupBy("identity").agg(F.count("*").alias("n")).where(F.col("n") > shard).collect()}  # at most one row a shard
+def fit_centres(rows: DataFrame, sizes_of: DataFrame, shard: int = SHARD, sample: int = SAMPLE, rounds: int = 8) -> dict[int, np.ndarray]:
+    """Centres of every identity with more than one shard's vectors, by spherical k-means on a bounded sample.
+
+    ``sizes_of`` has the identity of every class. Counts come back for identities of more than a shard only.
+    """
+    sizes = {r["identity"]: r["n"] for r in sizes_of.groupBy("identity").agg(F.count("*").alias("n")).where(F.col("n") > shard).collect()}
     if not sizes:
         return {}
-    share = min(1.0, sample / sum(sizes.values()))
-    large = kinds.where(F.col("identity").isin(list(sizes)) & (F.pmod(F.xxhash64("class_id", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000)))
-    drawn = large.select("identity", "embedding").limit(2 * sample).toArrow()
+    total = sum(sizes.values())
+    wanted = min(sample, max(16_384, 16 * total // shard))
+    share = min(1.0, wanted / total)
+    large = rows.where(F.col("identity").isin(list(sizes)) & (F.pmod(F.xxhash64("class_id", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000)))
+    drawn = large.select("identity", "class_id", "embedding").dropDuplicates(["class_id"]).limit(2 * wanted).toArrow()
     out = {}
     of = drawn.column("identity").to_numpy()
     for identity, n in sizes.items():
@@ -120,14 +126,16 @@ def _search(k: int, least: float, links: int, width: int):
     return search
 
 
-def similar_classes(kinds: DataFrame, k: int = 10, least: float = 0.8, shard: int = SHARD, probes: int = PROBES, sample: int = SAMPLE) -> DataFrame:
-    """``class_id, other, similarity`` of each class's nearest classes. ``kinds``: ``class_id, identity, embedding``."""
-    centres = fit_centres(kinds, shard, sample)
+def similar_classes(rows: DataFrame, members: DataFrame, k: int = 10, least: float = 0.8, shard: int = SHARD, probes: int = PROBES, sample: int = SAMPLE) -> DataFrame:
+    """``class_id, other, similarity`` of each class's nearest classes."""
+    centres = fit_centres(rows, members.select("identity", "class_id").distinct(), shard, sample)
+    kinds = rows.select("class_id", "identity", "embedding").dropDuplicates(["class_id"])
     routed = checkpointed(kinds.mapInArrow(_route(centres, probes), "class_id long, identity long, embedding array<float>, cells array<int>"))
-    own = F.get("cells", F.lit(0))
-    # cells that are far too large become several shards; at most one row for each centre
-    sizes = routed.groupBy("identity", own.alias("cell")).agg(F.count("*").alias("n")).select("identity", "cell", F.ceil(F.col("n") / (2 * shard)).cast("int").alias("parts"))
-    cells = routed.select("class_id", "identity", "embedding", F.posexplode("cells").alias("place", "cell")).join(sizes, ["identity", "cell"])
+    # cells that are far too large become several shards; there is at most one of them for every ``MOST_SHARD`` vectors
+    sizes = routed.groupBy("identity", F.get("cells", F.lit(0)).alias("cell")).agg(F.count("*").alias("n")).where(F.col("n") > MOST_SHARD)
+    sizes = sizes.select("identity", "cell", F.ceil(F.col("n") / MOST_SHARD).cast("int").alias("parts"))
+    cells = routed.select("class_id", "identity", "embedding", F.posexplode("cells").alias("place", "cell")).join(F.broadcast(sizes), ["identity", "cell"], "left")
+    cells = cells.withColumn("parts", F.coalesce("parts", F.lit(1)))
     part = F.pmod(F.xxhash64("class_id", F.lit(9)), F.col("parts")).cast("int")
     # a vector visits all parts of its cells and is stored in one part of the nearest
     visits = cells.withColumn("home", F.when(F.col("place") == 0, part)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -144,11 +152,11 @@ def _drop_shard(search):
 
 def neighbours(memories: DataFrame, k: int = 10, least: float = 0.8, **sizes) -> DataFrame:
     """``memory_id, neighbour_id, similarity, rank`` (1 to k) of every usable record that has any."""
-    rows = checkpointed(usable(memories))
-    kinds = rows.groupBy("class_id").agg(F.max("identity").alias("identity"), F.max("embedding").alias("embedding"))
-    links = checkpointed(similar_classes(kinds, k, least, **sizes))
+    rows = usable(memories)
+    keyed = checkpointed(rows.select("id", "identity", "class_id").distinct())
+    links = checkpointed(similar_classes(rows, keyed, k, least, **sizes))
     # a class gives at most its k + 1 smallest ids: none of the others can be among anybody's k nearest
-    members = rows.select("class_id", "id")
+    members = keyed.select("class_id", "id")
     first = members.withColumn("_n", F.row_number().over(Window.partitionBy("class_id").orderBy("id"))).where(F.col("_n") <= k + 1).select(F.col("class_id").alias("other"), F.col("id").alias("neighbour_id"))
     itself = members.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").select("class_id", F.col("class_id").alias("other"), F.lit(1.0).alias("similarity"))
     offered = links.unionByName(itself).join(first, "other")
