@@ -83,9 +83,9 @@ def joined_letters() -> dict[str, str]:
 
 def look(text: Column) -> Column:
     """The mapped value of a text; equal under the collation for equal looks."""
-    joiner = r"(?<=[\p{So}\p{Sk}\x{FE0F}\x{1F3FB}-\x{1F3FF}])\x{200D}(?=[\p{So}])"
-    out = F.regexp_replace(text, joiner, _JOINED)
-    out = F.regexp_replace(out, "‍", "")
+    joiner = r"([\p{So}\p{Sk}\x{FE0F}\x{1F3FB}-\x{1F3FF}])\x{200D}(?=[\p{So}])"
+    out = F.regexp_replace(text, joiner, "$1" + _JOINED)
+    out = F.regexp_replace(out, "\u200d", "")
     for char, form in joined_letters().items():
         out = F.replace(out, F.lit(char), F.lit(form))
     source, target = single_map()
