@@ -4,8 +4,8 @@ The similarity of two contents is the share of their distinct three-word sequenc
 both have. Contents with the same set of sequences form one class, which is compared once.
 Every class has a fingerprint of ``SYMBOLS`` minhash symbols, two of which agree with the
 probability of the similarity. The fingerprint is split into blocks of ``BLOCK`` symbols,
-sized so that a pair at the threshold shares a block with a probability of 95 %, at 0.55 of
-99 %, at 0.6 of 99.9 %, above that of practically one. Classes are joined on blocks; pairs so met are
+sized so that a pair at the threshold shares a block with a probability of 99.4 %, at 0.55 of
+99.9 %, above 0.6 of practically one. Classes are joined on blocks; pairs so met are
 verified by the Hamming distance of one-bit fingerprints (five standard deviations of room
 for a pair at the threshold), and then exactly on their sequences.
 
@@ -32,7 +32,7 @@ from lorekeep.session import checkpointed
 WORDS = 3
 THRESHOLD = 0.5
 BLOCK = 4
-BLOCKS = 48
+BLOCKS = 80
 SYMBOLS = BLOCK * BLOCKS
 
 
@@ -72,24 +72,24 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         bits = np.packbits(((symbols * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)).astype(np.uint8), axis=1).view(np.int64)
         keys = (blocks >> np.uint64(32)).astype(np.uint32).view(np.int32)
         as_lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([batch.column("class_id"), as_lists(keys), as_lists(bits)], ["class_id", "blocks", "bits"])
+        yield pa.RecordBatch.from_arrays([batch.column("class_id"), batch.column("space"), as_lists(keys), as_lists(bits)], ["class_id", "space", "blocks", "bits"])
 
 
 def classes(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (``id, text_key, class_id``) and classes (``class_id, sequences``)."""
-    cut = memories.select("id", "namespace", F.xxhash64("namespace", "content").alias("text_key"), word_list(F.col("content")).alias("words")).where(F.size("words") >= WORDS)
-    keyed = cut.select("id", "namespace", "text_key", sequences(F.col("words")).alias("sequences"))
-    keyed = keyed.select("id", "text_key", F.xxhash64("namespace", "sequences").alias("class_id"), "sequences")
+    """Members (``id, text_key, class_id``) and classes (``class_id, space, sequences``; ``space`` is the namespace's key)."""
+    space = F.xxhash64(F.col("namespace").isNull(), "namespace")
+    cut = memories.select("id", space.alias("space"), F.xxhash64(space, "content").alias("text_key"), word_list(F.col("content")).alias("words")).where(F.size("words") >= WORDS)
+    keyed = cut.select("id", "space", "text_key", sequences(F.col("words")).alias("sequences"))
+    keyed = keyed.select("id", "text_key", "space", F.xxhash64("space", "sequences").alias("class_id"), "sequences")
     # made twice from the source, which moves less than writing contents or sequences of every row
-    return checkpointed(keyed.select("id", "text_key", "class_id").distinct()), checkpointed(keyed.select("class_id", "sequences").dropDuplicates(["class_id"]))
+    return checkpointed(keyed.select("id", "text_key", "class_id").distinct()), checkpointed(keyed.select("class_id", "space", "sequences").dropDuplicates(["class_id"]))
 
 
 def similar_classes(kinds: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``a, b, similarity`` of every pair of different classes at or above the threshold, a < b."""
-    printed = checkpointed(kinds.mapInArrow(_fingerprints, "class_id long, blocks array<int>, bits array<long>"))
-    # the number of the block is the upper half of the key
-    key = F.shiftleft(F.col("block").cast("long"), 32) + F.col("key").cast("long") + F.lit(1 << 31)
-    rows = printed.select("class_id", F.posexplode("blocks").alias("block", "key")).select("class_id", key.alias("key"))
+    printed = checkpointed(kinds.mapInArrow(_fingerprints, "class_id long, space long, blocks array<int>, bits array<long>"))
+    # a key holds the namespace, the number of the block and the block
+    rows = printed.select("class_id", "space", F.posexplode("blocks").alias("block", "key")).select("class_id", F.xxhash64("space", "block", "key").alias("key"))
     met = rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.class_id") < F.col("y.class_id")))
     pairs = met.select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b")).distinct()
     prints = printed.select("class_id", "bits")
@@ -98,7 +98,7 @@ def similar_classes(kinds: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     furthest = SYMBOLS * differ + 5 * (SYMBOLS * differ * (1 - differ)) ** 0.5
     near = pairs.join(prints.select(F.col("class_id").alias("a"), F.col("bits").alias("bits_a")), "a").join(prints.select(F.col("class_id").alias("b"), F.col("bits").alias("bits_b")), "b")
     near = near.where(distance <= furthest).select("a", "b")
-    near = near.join(kinds.select(F.col("class_id").alias("a"), F.col("sequences").alias("set_a")), "a").join(kinds.select(F.col("class_id").alias("b"), F.col("sequences").alias("set_b")), "b")
+    near = near.join(kinds.select(F.col("class_id").alias("a"), F.col("space").alias("space_a"), F.col("sequences").alias("set_a")), "a").join(kinds.select(F.col("class_id").alias("b"), F.col("space").alias("space_b"), F.col("sequences").alias("set_b")), "b").where("space_a = space_b")
     near = near.withColumn("both", F.size(F.array_intersect("set_a", "set_b")))
     similarity = F.col("both") / (F.size("set_a") + F.size("set_b") - F.col("both"))
     return near.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold)

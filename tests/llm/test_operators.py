@@ -1,0 +1,248 @@
+import datetime as dt
+import random
+import re
+import unicodedata
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lorekeep.llm import knn, lookalike, mixing, neardup, personal, runs, tokens
+from lorekeep.llm.smallworld import SmallWorld
+
+pytest.importorskip("tokenizers")
+
+
+def pairs_of(frame):
+    return {tuple(r) for r in frame.collect()}
+
+
+# --- personal items
+
+PEOPLE = [("Renée Uldrurth",), ("Mateo Pellanovari",), ("Ana Korvandar",), ("Jun Pellanurth",), ("Ravi Korvovari",), ("Olga Uldrandar",), (None,), ("",)]
+
+
+@pytest.fixture(scope="module")
+def people(spark):
+    return spark.createDataFrame(PEOPLE, "display_name string").selectExpr("display_name", "'person' AS entity_type", "'x' AS content")
+
+
+CONTENTS = {
+    "a": ("Write to zoe.k+x@mail.example.org or bulky-napkin108 AT tessera DOT example now.", {("email", "zoe.k+x@mail.example.org"), ("email", "bulky-napkin108 AT tessera DOT example")}),
+    "b": ("mailto:ana (at) marrow.test; tel:+44 (0)7700 900 491, ring (415) 555-0121 ext. 9.", {("email", "ana (at) marrow.test"), ("phone", "+44 (0)7700 900 491"), ("phone", "(415) 555-0121 ext. 9")}),
+    "c": ("Prof. Renée Uldrurth met M. Korvandar, Korvovari, Ravi and ANA PELLANDAR; Uldrurth alone isn't.", {("name", "Renée Uldrurth"), ("name", "M. Korvandar"), ("name", "Korvovari, Ravi")}),
+    "d": ("noted SSN: 666 31 4967, passport no. ZZ4337988, NINO QQ 17 36 63 D.", {("id_number", "666 31 4967"), ("id_number", "ZZ4337988"), ("id_number", "QQ 17 36 63 D")}),
+    "e": ("At Flat 30, 335 Hazelreach Blvd, Port Brannock and 112 Copperdown Terrace\nMarrowford 12345 and P.O. Box 748, Tessaly 26241.", {("address", "Flat 30, 335 Hazelreach Blvd, Port Brannock"), ("address", "112 Copperdown Terrace\nMarrowford 12345"), ("address", "P.O. Box 748, Tessaly 26241")}),
+    "f": ("Version 724.339.846 of x, Install @a/b@1.9.4, epoch 1731322399, Order 2026-6449-71439, 192.0.2.1:2733, Ticket 345-265.", set()),
+    "g": ("call +１-２１２-５５５-０１２１ / zero seven seven zero zero nine zero zero one two three", {("phone", "+１-２１２-５５５-０１２１")}),
+    "h": ("", set()),
+    "i": (None, set()),
+    "j": ("word " * 50_000 + "x@y.example", {("email", "x@y.example")}),
+}
+
+
+def test_items_keep_their_place(spark, people):
+    rows = [(k, v) for k, (v, _) in CONTENTS.items()]
+    frame = spark.createDataFrame(rows + rows[:2], "id string, content string").withColumn("kind", F.lit(1))
+    found = personal.found_items(frame, people).collect()
+    assert len(found) == len(set(found))
+    names = personal.learn_names(people)
+    for key, (content, want) in CONTENTS.items():
+        spans = personal.items(content, names) if content else []
+        got = {(k, content[s:e]) for s, e, k in spans}
+        assert want <= got or (key == "g" and want <= got), (key, got)
+        if key not in ("c", "g"):
+            assert got == want, key
+        assert {(r.kind, r.start_pos) for r in found if r.memory_id == key} == {(k, s + 1) for s, _, k in spans}
+    clean = {r.memory_id: r.content for r in personal.redacted(frame, people).collect()}
+    assert clean["a"] == "Write to [EMAIL] or [EMAIL] now." and clean["i"] is None and clean["h"] == "" and clean["f"] == CONTENTS["f"][0]
+    assert len(clean) == len(CONTENTS)
+
+
+def test_no_people_and_no_rows(spark, people):
+    frame = spark.createDataFrame([("a", "Renée Uldrurth, x@y.example")], "id string, content string")
+    assert {r.kind for r in personal.found_items(frame, people.limit(0)).collect()} == {"email"}
+    assert personal.found_items(frame.limit(0), people).count() == 0
+
+
+# --- nearest vectors
+
+
+def test_small_world_against_brute_force():
+    draw = np.random.default_rng(3)
+    centres = draw.normal(size=(600, 64))
+    x = np.concatenate([centres + 0.35 * draw.normal(size=centres.shape) / 1 for _ in range(6)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids, _ = SmallWorld(x).search(x, 12)
+    sims = x @ x.T
+    np.fill_diagonal(sims, -1)
+    best = np.argsort(-sims, axis=1)[:, :5]
+    assert (best[:, :, None] == ids[:, None, :]).any(2).mean() > 0.95
+
+
+def test_neighbours_against_brute_force(spark):
+    draw = np.random.default_rng(4)
+    base = draw.normal(size=(40, 8))
+    rows = []
+    for i in range(240):
+        v = base[i % 40] + 0.15 * draw.normal(size=8)
+        rows.append([f"id{i:03d}", [float(np.float32(a)) for a in v * (1 + i % 3)], "p", "m" if i % 5 else "n", 8])
+    rows += [[f"same{i:02d}", rows[1][1], "p", "m", 8] for i in range(15)]
+    bad = [["z0", None, "p", "m", 8], ["z1", [0.0] * 8, "p", "m", 8], ["z2", [1.0] * 7, "p", "m", 8], ["z3", [float("nan")] * 8, "p", "m", 8], ["z4", [1.0] * 8, None, "m", 8], ["z5", [1.0] * 8, "p", "m", None], ["z6", [], "p", "m", 0]]
+    frame = spark.createDataFrame(rows + rows[:3] + bad, "id string, embedding array<float>, embedding_provider string, embedding_model string, embedding_dimensions int").withColumn("similarity", F.lit(0)).withColumn("class_id", F.lit(1))
+    want = set()
+    for model in "mn":
+        own = sorted((r[0], r[1]) for r in rows if r[3] == model)
+        x = np.array([v for _, v in own])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        sims = np.round(x @ x.T, 6)
+        np.fill_diagonal(sims, -2)
+        for i, order in enumerate(np.argsort(-sims, axis=1, kind="stable")[:, :10]):
+            want |= {tuple(sorted((own[i][0], own[j][0]))) for j in order if sims[i, j] >= 0.8}
+    got = pairs_of(knn.found_pairs(frame))
+    assert len(got & want) / len(want) > 0.99 and len(got - want) <= 2
+    sharded = pairs_of(knn.found_pairs(frame, shard=60))
+    assert len(sharded & want) / len(want) > 0.9
+    assert knn.found_pairs(frame.limit(0)).count() == 0
+
+
+# --- near duplicates
+
+
+def similarity(a, b):
+    sets = [set(zip(w, w[1:], w[2:])) for w in (re.findall(r"[^\W_]+", x.lower()) for x in (a, b))]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if all(sets) else 0
+
+
+def edited(draw, words, n):
+    out = list(words)
+    for _ in range(n):
+        out[draw.randrange(len(out))] = f"w{draw.randrange(10**6)}"
+    return " ".join(out)
+
+
+def test_near_duplicates_against_brute_force(spark):
+    draw = random.Random(5)
+    rows = []
+    for g in range(25):
+        words = [f"w{draw.randrange(10**6)}" for _ in range(80)]
+        rows += [(f"{g:02d}-{i}", edited(draw, words, draw.choice([0, 1, 3, 6, 12])), f"ns{g % 3}") for i in range(5)]
+    rows += [("p1", "One two  three, four", "x"), ("p2", "one TWO three four!", "x"), ("p3", "one two three four!", None), ("p4", "one two", "x"), ("p5", None, "x"), ("p6", "", "x"), ("p7", "One two  three, four", "x"), ("p8", "One two  three, four", "x")]
+    frame = spark.createDataFrame(rows + rows[:4], "id string, content string, namespace string").withColumn("class_id", F.lit("q")).withColumn("key", F.lit(1))
+    want = {tuple(sorted((a[0], b[0]))) for a in rows for b in rows if a[0] < b[0] and a[2] == b[2] and a[1] and b[1] and similarity(a[1], b[1]) >= 0.5}
+    got = pairs_of(neardup.found_pairs(frame))
+    assert got <= want
+    content = {r[0]: r[1] for r in rows}
+    lost = {(a, b): similarity(content[a], content[b]) for a, b in want - got if content[a] != content[b]}
+    assert len(lost) <= 0.02 * len(want) and all(s < 0.55 for s in lost.values()), lost
+    grouped = {r.memory_id: r.group_id for r in neardup.groups(frame).collect()}
+    assert all(grouped[a] == grouped[b] for a, b in got) and "p4" not in grouped
+    assert neardup.found_pairs(frame.limit(0)).count() == 0
+
+
+# --- runs
+
+
+def test_runs(spark):
+    t = dt.datetime(2024, 1, 1, 23, 59, 58)
+    names = ["Café Song (Live)", "cafe song - Remastered", "CAFÉ SONG feat. X", "Other", "Other", "", "(Live)", "Other"]
+    rows = [("c", "s", f"e{i}", n, None if i % 2 else " ", t + dt.timedelta(milliseconds=1500 * i)) for i, n in enumerate(names)]
+    rows += [("c", "s", "null", "Other", None, None), (None, "s", "n1", "A", "B", t), (None, "s", "n2", "a", "b!", t)]
+    frame = spark.createDataFrame(rows + rows[:3], "client_id string, service string, id string, title string, artist string, played_at timestamp_ntz").withColumn("run", F.lit(1)).withColumn("slice", F.lit(1))
+    got = {(r.first_event_id, r.last_event_id, r.n_events, r.duration_ms) for r in runs.event_runs(frame).collect()}
+    assert got == {("e0", "e2", 3, 3000), ("e3", "e4", 2, 1500), ("n1", "n2", 2, 0)}
+    assert runs.event_runs(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("width", [1, 7, 1000])
+def test_slices_change_nothing(spark, width):
+    draw = random.Random(width)
+    t = dt.datetime(2024, 1, 1)
+    rows = [(f"c{i % 3}", "s", f"e{i:03d}", draw.choice("aab"), None, t + dt.timedelta(seconds=draw.randrange(60))) for i in range(200)]
+    frame = spark.createDataFrame(rows, "client_id string, service string, id string, title string, artist string, played_at timestamp_ntz")
+    want = []
+    for c in ("c0", "c1", "c2"):
+        held = []
+        for r in [*sorted((x for x in rows if x[0] == c), key=lambda x: (x[5], x[2])), None]:
+            if held and (r is None or r[3] != held[-1][3]):
+                if len(held) > 1:
+                    want.append((held[0][2], held[-1][2], len(held)))
+                held = []
+            held.append(r)
+    got = sorted((r.first_event_id, r.last_event_id, r.n_events) for r in runs.event_runs(frame, slice_seconds=width).collect())
+    assert got == sorted(want)
+
+
+# --- tokens and mixes
+
+TEXTS = [None, "", " ", "\n\t ", "Hello world's  end", "it's 12,345 ½ ② naïve", "日本語のテキスト", "👩‍👧 ok x", "<|endoftext|> a", "word " * 20_000, "\U0001e4d0 new letters \U000105c0"]
+
+
+@pytest.mark.parametrize("head", [3, 16_384])
+def test_encoding_equals_tokenizer(spark, head):
+    rows = list(enumerate(TEXTS))
+    frame = spark.createDataFrame(rows + rows[4:6], "doc_id long, text string").withColumn("word", F.lit("x")).withColumn("pos", F.lit(1)).withColumn("n", F.lit(1))
+    encoded = tokens.encode_documents(frame, head_words=head)
+    tokenizer = tokens._tokenizer(tokens.vocabulary_path())
+    want = {i: tokenizer.encode(x, add_special_tokens=False).ids if x else [] for i, x in rows}
+    assert {r.doc_id: r.ids for r in encoded.collect()} == want
+    assert {r.doc_id: r.text for r in tokens.decode_documents(encoded).collect()} == {i: x or "" for i, x in rows}
+    assert {r.doc_id: r.tokens for r in tokens.token_counts(frame).collect()} == {i: len(x) for i, x in want.items()}
+    assert tokens.encode_documents(frame.limit(0)).count() == 0
+
+
+def test_mix_meets_budgets(spark):
+    draw = random.Random(2)
+    sized = spark.createDataFrame([(i, draw.choice(["a", "a", "a", "b", None]), draw.randrange(0, 50)) for i in range(900)], "doc_id long, source string, tokens long")
+    targets = spark.createDataFrame([("m", "a", 1.0, 2, 0.5), ("m", "b", 1.0, 9, 0.5), ("m", "c", 0.0, 1, 0.5), ("m", "gone", None, None, 0.5), ("full", "b", 3.0, 1, 2.0)], "mix_name string, source string, target_weight double, max_repeats int, size_ratio double")
+    shares = {(r.mix_name, r.source): r for r in mixing.mix_shares(sized, targets, buckets=16).collect()}
+    total = sized.agg(F.sum("tokens")).first()[0]
+    for source in "ab":
+        row = shares["m", source]
+        assert abs(row.mix_tokens - min(0.25 * total, row.max_repeats * row.source_tokens)) <= 25
+    assert shares["full", "b"].mix_tokens == shares["full", "b"].source_tokens
+    assert shares["m", "c"].mix_tokens == 0 == shares["m", "gone"].mix_tokens
+    copies = mixing.mix_documents(sized, targets, buckets=16)
+    assert copies.groupBy("mix_name", "doc_id").count().where("count > 1").count() == 0
+    assert copies.where("mix_name = 'full' AND copies > 1").count() == 0
+    assert mixing.mix_documents(sized.limit(0), targets).count() == 0 == mixing.mix_shares(sized, targets.limit(0)).count()
+
+
+# --- looks
+
+GROUPS = [
+    ["Café № 1", "Café № 1", "Ｃａｆé № １", "Caf­é​ № 1", "Саfé № 1"],
+    ["ﬁne-line ộ", "fine‐line ộ", "fine‑line ộ"],
+    ["ガ ス", "ｶﾞ ｽ"],
+    ["Ω K Å µ", "Ω K Å μ"],
+]
+APART = ["Cafe № 1", "café № 1", "Café No 1", "Café № ١", "fine–line ộ", "👩‍👧", "👩👧", "👍🏽", "👍", "² 2", "2 2", "① 1", "1 1", "カ ス", None, "", " ", " ​", "　"]
+
+
+def test_looks(spark):
+    rows, group = [], {}
+    for g, values in enumerate(GROUPS):
+        for v in values:
+            group[len(rows)] = g
+            rows.append((len(rows), v))
+    rows += [(len(rows) + i, v) for i, v in enumerate(APART)]
+    copy = len(rows)
+    rows.append((copy, GROUPS[2][0]))
+    group[copy] = 2
+    frame = spark.createDataFrame(rows + rows[:2], "doc_id long, text string").withColumn("looks", F.lit("x")).withColumn("class_id", F.lit("x"))
+    texts = dict(rows)
+    want = {(a, b) for a in group for b in group if a < b and group[a] == group[b] and texts[a] != texts[b]}
+    assert pairs_of(lookalike.found_pairs(frame)) == want
+    canonical = {r.doc_id: r.canonical for r in lookalike.canonical_texts(frame).collect()}
+    assert len(canonical) == len(rows)
+    for a in group:
+        members = [texts[b] for b in group if group[b] == group[a]]
+        assert canonical[a] == min(members)
+    assert all(canonical[i] == texts[i] for i in texts if i not in group)
+    assert lookalike.found_pairs(frame.limit(0)).count() == 0
+
+
+def test_map_is_consistent():
+    source, target = lookalike.single_map()
+    assert len(set(source)) == len(source) and len(target) <= len(source)
+    assert all(unicodedata.category(c) != "Zs" for c in target.replace(" ", ""))
