@@ -9,7 +9,8 @@ Defined results:
 
 * null, blank, placeholder or impossible values give a null instant (``normalise``
   keeps the row, ``instants`` leaves it out);
-* a record whose feed is unknown is read as a feed without a stated zone;
+* a record whose feed is unknown is read as a feed without a stated zone, and so is a feed
+  whose zone has no rules; a written zone without rules or offset names no instant;
 * repeated local times mean the first occurrence, skipped ones are read with the
   offset before the change (both are what the JVM's zone rules do by default);
 * rows that share ``import_id`` are one record; an empty input gives an empty
@@ -18,7 +19,7 @@ Defined results:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.session import checkpointed
@@ -161,6 +162,11 @@ def parse(df: DataFrame, value: str, day_first: str) -> DataFrame:
     ).drop("_s", "_p", "_q", "_d", "_h", "_mi", "_sec", "_f", "_ap", "_z", "_y", "_m", "_day", "_ord")
 
 
+def known_zones(spark: SparkSession) -> list[str]:
+    """Zone names that the JVM has rules for; others would make a conversion fail."""
+    return sorted(spark.sparkContext._jvm.java.time.ZoneId.getAvailableZoneIds())
+
+
 def _to_utc(local_us: Column, zone: Column) -> Column:
     """Microseconds UTC of a local time in a zone, by the JVM's rules for gaps and overlaps."""
     as_if = F.timestamp_micros(local_us)
@@ -219,6 +225,8 @@ def normalise(imports: DataFrame, feeds: DataFrame, default_zone: str = "UTC") -
     """
     # copies of a row are equal, so the first of each id is any of them
     records = imports.select("import_id", "feed_id", "played_at", F.unix_micros(F.col("received_at").cast("timestamp")).alias("_received_us")).dropDuplicates(["import_id"])
+    zones = known_zones(imports.sparkSession)
+    feeds = feeds.withColumn("source_timezone", F.when(F.col("source_timezone").isin(zones), F.col("source_timezone")))
     by_feed = feeds.select("feed_id", "source_timezone", "day_first").dropDuplicates(["feed_id"])
     with_feed = records.join(by_feed, "feed_id", "left")
     # read by the estimate and by the conversion, so it is written once
@@ -230,7 +238,7 @@ def normalise(imports: DataFrame, feeds: DataFrame, default_zone: str = "UTC") -
         special = F.coalesce(special, F.when((F.col("zone") == zone) & (F.col("p_abbreviation") == name), minutes))
     by_name = F.coalesce(special, _lookup(ABBREVIATIONS, F.col("p_abbreviation")))
     offset = F.coalesce("p_offset", by_name)
-    unknown = F.col("p_abbreviation").isNotNull() & by_name.isNull()
+    unknown = (F.col("p_abbreviation").isNotNull() & by_name.isNull()) | (offset.isNull() & F.col("p_zone").isNotNull() & ~F.col("p_zone").isin(zones))
     utc = (
         F.when(F.col("p_epoch").isNotNull(), F.col("p_epoch"))
         .when(F.col("p_date_only"), F.col("_days") * 86_400_000_000 + 43_200_000_000)

@@ -2,7 +2,7 @@ import datetime as dt
 
 from lorekeep.operators import timestamps as T
 
-FEEDS = [("us", "America/New_York", False), ("de", "Europe/Berlin", True), ("in", "Asia/Kolkata", True), ("none", None, False)]
+FEEDS = [("us", "America/New_York", False), ("de", "Europe/Berlin", True), ("in", "Asia/Kolkata", True), ("none", None, False), ("odd", "Mars/Base", False)]
 CASES = [
     ("us", "2024-03-10 02:30:00", "2024-03-10T07:30:00"),  # skipped: read with the offset before
     ("us", "2024-11-03 01:30:00", "2024-11-03T05:30:00"),  # twice: the first
@@ -28,7 +28,8 @@ CASES = [
     ("us", "April 21, 2020 at 12:31:22 a.m.", "2020-04-21T04:31:22"),
     ("none", "2024-05-01 08:00:00", "2024-05-01T08:00:00"),
     ("nobody", "2024-05-01 08:00:00", "2024-05-01T08:00:00"),
-    *(("us", bad, None) for bad in (None, "", "  ", "n/a", "2024-13-05T08:00:00Z", "2025-02-30 10:15:00", "2025-04-12T25:61:00Z", "31/02/2025 09:00", "0000-00-00 00:00:00", "[object Object]", "2024-05-01 08:00:00 QQQQ")),
+    *(("us", bad, None) for bad in (None, "", "  ", "n/a", "2024-13-05T08:00:00Z", "2025-02-30 10:15:00", "2025-04-12T25:61:00Z", "31/02/2025 09:00", "0000-00-00 00:00:00", "[object Object]", "2024-05-01 08:00:00 QQQQ", "2024-05-01T08:00:00[Mars/Base]")),
+    ("odd", "2024-05-01 08:00:00", "2024-05-01T08:00:00"),
 ]
 
 
