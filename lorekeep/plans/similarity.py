@@ -1,16 +1,17 @@
 """Similarity joins, duplicates and clusters of the reference's own kind, windows and graphs (2.6, 2.7).
 
-Pairs are only formed within an equality block (namespace, level, embedding identity, tag) of
-one client, never across the table.
+Pairs are only formed within an equality block (namespace, level, embedding identity), never
+across the table. The SQL counterparts of the pair queries are as given: they also ask for equal
+client and kind and know one identity, so they hold a part of the pairs only.
 """
 
 from __future__ import annotations
 
-from lorekeep.operators import clustering, graph
+from lorekeep.operators import clustering, graph, nearpairs
 from lorekeep.plans.dialect import DUCK, SPARK, Plans, active, cosine, memories, run
 from lorekeep.plans.retrieval import SPACE, usable
 from lorekeep.plans.visibility import series
-from lorekeep.session import table
+from lorekeep.session import checkpointed, table
 
 plan = Plans()
 QUERIES, ORACLE = plan.QUERIES, plan.ORACLE
@@ -28,13 +29,36 @@ def pairs(d, least: str) -> str:
         FROM {vectors(d)} a JOIN {vectors(d)} b ON {_BLOCK} AND a.id <> b.id WHERE {cosine(d, 'a.embedding', 'b.embedding')} >= {least})"""
 
 
-@plan
-def nearest_duplicate(d):
+IDENTITY = ["embedding_provider", "embedding_model", "embedding_dimensions"]
+#: Parts of documents and episodes are no duplicates of a record.
+_WHOLE = "coalesce({}, '') NOT IN ('document_chunk', 'episode_chunk')"
+#: Consolidation doesn't mix kinds.
+_KIND = ["kind"]
+
+
+def near(spark, sf_dir, least: float, more: str, also: list[str] = ()):
+    """``a_<column>, b_<column>, sim`` of near live records of a namespace, level and identity, all identities and clients, in both directions."""
+    more = "" if more == "id" else f", {more}"
+    records = run(spark, sf_dir, f"""SELECT id, embedding, namespace, coalesce(access_level, 'normal') AS level, coalesce(memory_kind, '') AS kind, {', '.join(IDENTITY)}{more}
+        FROM memories m WHERE {usable(SPARK)} AND {active(SPARK)}""")
+    return nearpairs.near_pairs(records if also else records.drop("kind"), ["namespace", "level", *IDENTITY, *also], least)
+
+
+def _given_nearest_duplicate(d):
     """The best earlier record of the same namespace, level and identity, if it is similar enough."""
     return f"""WITH p AS (SELECT a_id, b_id, sim, row_number() OVER (PARTITION BY a_id ORDER BY sim DESC, b_relevance DESC, b_at, b_id) AS pos FROM {pairs(d, '95e-2')} p WHERE b_at < a_at)
         SELECT a_id, b_id, round(sim, 6) AS sim FROM p WHERE pos = 1"""
 
 
+def nearest_duplicate(spark, sf_dir):
+    """The best earlier record of the same namespace, level and identity, if it is similar enough."""
+    return spark.sql(f"""WITH p AS (SELECT a_id, b_id, sim, row_number() OVER (PARTITION BY a_id ORDER BY sim DESC, b_relevance_score DESC, b_created_at, b_id) AS pos FROM {{near}} p WHERE b_created_at < a_created_at AND {_WHOLE.format('b_memory_kind')})
+        SELECT a_id, b_id, round(sim, 6) AS sim FROM p WHERE pos = 1""", near=near(spark, sf_dir, 0.95, "memory_kind, relevance_score, created_at"))
+
+
+plan.direct("nearest_duplicate", nearest_duplicate, _given_nearest_duplicate(DUCK))
+
+
 @plan
 def tag_union(d):
     """Tags of a record and of its exact copy in order of first sight."""
@@ -42,35 +66,65 @@ def tag_union(d):
         SELECT m.id, {d.union_tags('k.tags', 'm.tags')} AS tags FROM c JOIN m k ON k.id = c.first_id JOIN m ON m.namespace = c.namespace AND m.content = c.content AND m.id <> c.first_id"""
 
 
-@plan
-def chunk_duplicate(d):
+def _given_chunk_duplicate(d):
     """Sessions whose parts come closest to each other: greatest similarity over parts."""
     return f"""WITH s AS (SELECT DISTINCT id, session_id FROM memories WHERE session_id IS NOT NULL)
         SELECT x.session_id AS a_session, y.session_id AS b_session, round(max(p.sim), 6) AS sim FROM {pairs(d, '9e-1')} p JOIN s x ON x.id = p.a_id JOIN s y ON y.id = p.b_id WHERE x.session_id < y.session_id GROUP BY x.session_id, y.session_id"""
 
 
-@plan
-def contradiction_candidates(d):
+def chunk_duplicate(spark, sf_dir):
+    """Sessions whose parts come closest to each other: greatest similarity over parts."""
+    return spark.sql(f"""SELECT a_session_id AS a_session, b_session_id AS b_session, round(max(sim), 6) AS sim FROM {{near}} p
+        WHERE a_session_id < b_session_id AND {_WHOLE.format('a_memory_kind')} AND {_WHOLE.format('b_memory_kind')} GROUP BY a_session_id, b_session_id""", near=near(spark, sf_dir, 0.9, "memory_kind, session_id"))
+
+
+plan.direct("chunk_duplicate", chunk_duplicate, _given_chunk_duplicate(DUCK))
+
+
+def _given_contradiction_candidates(d):
     return f"""WITH p AS (SELECT a_id, b_id, sim, row_number() OVER (PARTITION BY a_id ORDER BY sim DESC, b_id) AS pos FROM {pairs(d, '85e-2')} p) SELECT a_id, b_id, round(sim, 6) AS sim, pos FROM p WHERE pos <= 5"""
 
 
+def contradiction_candidates(spark, sf_dir):
+    """The five semantic records that come closest to a record of any kind."""
+    return spark.sql("""WITH p AS (SELECT a_id, b_id, sim, row_number() OVER (PARTITION BY a_id ORDER BY sim DESC, b_id) AS pos FROM {near} p WHERE b_memory_kind = 'semantic')
+        SELECT a_id, b_id, round(sim, 6) AS sim, pos FROM p WHERE pos <= 5""", near=near(spark, sf_dir, 0.85, "memory_kind"))
+
+
+plan.direct("contradiction_candidates", contradiction_candidates, _given_contradiction_candidates(DUCK))
+
+
 @plan
 def anchors_page(d):
     at = d.ts("2025-06-01 00:00:00")
     return f"SELECT id, created_at FROM {vectors(d)} m WHERE created_at > {at} OR (created_at = {at} AND id > '0') ORDER BY created_at, id LIMIT 200"
 
 
-@plan
-def similar_pairs(d):
+def _given_similar_pairs(d):
     """Neighbours that come at or after their anchor, the first 21 of each."""
     return f"""WITH p AS (SELECT a_id, b_id, sim, row_number() OVER (PARTITION BY a_id ORDER BY b_at, b_id) AS pos FROM {pairs(d, '9e-1')} p WHERE b_at > a_at OR (b_at = a_at AND b_id > a_id)) SELECT a_id, b_id, round(sim, 6) AS sim FROM p WHERE pos <= 20"""
 
 
-@plan
-def pairwise_sim(d):
+def similar_pairs(spark, sf_dir):
+    """Neighbours that come at or after their anchor, the first 20 of each."""
+    return spark.sql("""WITH p AS (SELECT a_id, b_id, sim, row_number() OVER (PARTITION BY a_id ORDER BY b_created_at, b_id) AS pos FROM {near} p WHERE b_created_at > a_created_at OR (b_created_at = a_created_at AND b_id > a_id))
+        SELECT a_id, b_id, round(sim, 6) AS sim FROM p WHERE pos <= 20""", near=near(spark, sf_dir, 0.9, "created_at", _KIND))
+
+
+plan.direct("similar_pairs", similar_pairs, _given_similar_pairs(DUCK))
+
+
+def _given_pairwise_sim(d):
     return f"SELECT namespace, a_id, b_id, round(sim, 6) AS sim FROM {pairs(d, '92e-2')} p WHERE a_id < b_id"
 
 
+def pairwise_sim(spark, sf_dir):
+    return near(spark, sf_dir, 0.92, "id", _KIND).where("a_id < b_id").selectExpr("namespace", "a_id", "b_id", "round(sim, 6) AS sim")
+
+
+plan.direct("pairwise_sim", pairwise_sim, _given_pairwise_sim(DUCK))
+
+
 @plan
 def embedding_readiness(d):
     return f"""SELECT namespace, count(*) AS records, count(CASE WHEN {SPACE} THEN 1 END) AS eligible, count(CASE WHEN embedding_model IS NULL THEN 1 END) AS unknown, count(CASE WHEN embedding_model IS NOT NULL AND NOT ({SPACE}) THEN 1 END) AS foreign_space
@@ -102,8 +156,16 @@ def content_identity(d):
     return f"SELECT namespace, {d.sha('lower(trim(' + d.replace('content', '[ ' + chr(92) + 't' + chr(92) + 'r' + chr(92) + 'n]+', ' ') + '))')} AS identity, count(*) AS n, min(id) AS first_id FROM {memories(d, 'id, namespace, content')} m WHERE content IS NOT NULL GROUP BY 1, 2"
 
 
+def _cluster_pairs(spark, sf_dir):
+    return checkpointed(near(spark, sf_dir, 0.85, "id", _KIND).where("a_id < b_id").select("namespace", "a_id", "b_id", "sim"))
+
+
+def _clusters(spark, sf_dir, similar):
+    return clustering.complete_link(similar, run(spark, sf_dir, f"SELECT id, created_at FROM {memories(SPARK, 'id, created_at')} m"))
+
+
 def complete_link_clusters(spark, sf_dir):
-    return clustering.complete_link(run(spark, sf_dir, f"SELECT namespace, a_id, b_id, sim FROM {pairs(SPARK, '85e-2')} p WHERE a_id < b_id"), run(spark, sf_dir, f"SELECT id, created_at FROM {vectors(SPARK)} v"))
+    return _clusters(spark, sf_dir, _cluster_pairs(spark, sf_dir))
 
 
 plan.direct("complete_link_clusters", complete_link_clusters)
@@ -111,7 +173,8 @@ plan.direct("complete_link_clusters", complete_link_clusters)
 
 def cluster_violations(spark, sf_dir):
     """Pairs within a cluster that are below the threshold: there must be none."""
-    return clustering.violations(complete_link_clusters(spark, sf_dir), run(spark, sf_dir, f"SELECT a_id, b_id, sim FROM {pairs(SPARK, '85e-2')} p WHERE a_id < b_id"))
+    similar = _cluster_pairs(spark, sf_dir)
+    return clustering.violations(_clusters(spark, sf_dir, similar), similar)
 
 
 plan.direct("cluster_violations", cluster_violations, "SELECT CAST(0 AS BIGINT) AS violations")

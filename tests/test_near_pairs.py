@@ -1,0 +1,87 @@
+import duckdb
+import numpy as np
+import pytest
+
+import __spark_entry__ as entry
+from lorekeep.operators import nearpairs
+
+DATA = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def records():
+    """Live records with a usable vector, each once."""
+    rows = duckdb.sql(f"""SELECT DISTINCT id, namespace, coalesce(access_level, 'normal') AS level, memory_kind, session_id, embedding_provider AS p, embedding_model AS m, embedding_dimensions AS d, embedding, created_at, relevance_score
+        FROM read_parquet('{DATA}/memories.parquet') WHERE deleted_at IS NULL AND (expires_at IS NULL OR expires_at > TIMESTAMP '2026-03-01') AND len(embedding) = embedding_dimensions""").fetchall()
+    keep = []
+    for r in rows:
+        x = np.array(r[8], float)
+        if np.isfinite(x).all() and x.any():
+            keep.append((*r[:8], x / np.linalg.norm(x), *r[9:]))
+    return keep
+
+
+def brute(records, least):
+    """Ordered pairs of equal namespace, level and identity."""
+    blocks = {}
+    for r in records:
+        blocks.setdefault((r[1], r[2], *r[5:8]), []).append(r)
+    for key, own in blocks.items():
+        if None in key:
+            continue
+        sims = np.array([r[8] for r in own]) @ np.array([r[8] for r in own]).T
+        yield from ((own[i], own[j], round(float(sims[i, j]), 6)) for i, j in np.argwhere(sims >= least) if i != j)
+
+
+def got(spark, name):
+    return entry.queries()[name](spark, DATA).collect()
+
+
+def test_pairs_of_all_clients_and_identities(spark, records):
+    want = {(a[0], b[0]) for a, b, _ in brute(records, 0.92) if a[0] < b[0] and a[3] == b[3]}
+    assert {(r.a_id, r.b_id) for r in got(spark, "pairwise_sim")} == want
+    after = {(a[0], b[0]) for a, b, _ in brute(records, 0.9) if a[3] == b[3] and (a[9], a[0]) < (b[9], b[0])}
+    assert {(r.a_id, r.b_id) for r in got(spark, "similar_pairs")} == after  # none has more than 20
+
+
+def test_nearest_of_any_kind(spark, records):
+    want = {}
+    for a, b, sim in brute(records, 0.95):
+        if b[9] < a[9]:
+            want[a[0]] = min(want.get(a[0], (9,)), (-sim, b[0]))
+    assert {r.a_id: (-r.sim, r.b_id) for r in got(spark, "nearest_duplicate")} == want
+
+
+def test_candidates_are_semantic(spark, records):
+    want = {}
+    for a, b, sim in brute(records, 0.85):
+        if b[3] == "semantic":
+            want.setdefault(a[0], []).append((-sim, b[0]))
+    assert {(r.a_id, r.b_id) for r in got(spark, "contradiction_candidates")} == {(a, b) for a, all_ in want.items() for _, b in sorted(all_)[:5]}
+
+
+def test_sessions(spark, records):
+    want = {(a[4], b[4]) for a, b, _ in brute(records, 0.9) if a[4] and b[4] and a[4] < b[4]}
+    assert {(r.a_session, r.b_session) for r in got(spark, "chunk_duplicate")} == want
+
+
+def test_clusters(spark, records):
+    near = {(a[0], b[0]) for a, b, _ in brute(records, 0.85) if a[3] == b[3]}
+    clusters = {}
+    for r in got(spark, "complete_link_clusters"):
+        clusters.setdefault(r.cluster_id, []).append(r.id)
+    assert clusters and all((x, y) in near for own in clusters.values() for x in own for y in own if x != y)
+    placed = {x for own in clusters.values() for x in own}
+    assert all(a in placed or b in placed for a, b in near)  # no cluster is oversized here
+    assert got(spark, "cluster_violations")[0].violations == 0
+
+
+def test_parts_lose_nothing(spark):
+    x = np.random.default_rng(1).normal(size=(90, 4)).astype(np.float32)
+    rows = [(f"{i:03d}", "n", x[i].tolist(), i % 5 == 0) for i in range(90)]
+    frame = spark.createDataFrame(rows + rows[:9], "id string, namespace string, embedding array<float>, q boolean")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = {(f"{i:03d}", f"{j:03d}") for i, j in np.argwhere(unit @ unit.T >= 0.7) if i != j}
+    for asks, want in (("true", near), ("q", {(a, b) for a, b in near if int(a) % 5 == 0})):
+        out = nearpairs.near_pairs(frame, ["namespace"], 0.7, asks, part=16).collect()
+        assert len(out) == len(want) and {(r.a_id, r.b_id) for r in out} == want
