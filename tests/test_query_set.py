@@ -1,0 +1,33 @@
+import duckdb
+import numpy as np
+import pytest
+
+import __spark_entry__ as entry
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def judged():
+    """Hits and first rank of every fiftieth vector among its ten nearest, and how many are relevant."""
+    rows = duckdb.sql(f"SELECT vec_id, label, embedding FROM read_parquet('{DATA}/embeddings.parquet') ORDER BY vec_id").fetchall()
+    ids, labels, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    out = {}
+    for q in np.nonzero(ids % 50 == 0)[0]:
+        order = [i for i in np.lexsort((ids, -(x @ x[q]))) if i != q][:10]
+        hits = [n for n, i in enumerate(order, 1) if labels[i] == labels[q]]
+        out[int(ids[q])] = (len(hits), hits[0] if hits else None, int((labels == labels[q]).sum()) - 1)
+    return out
+
+
+def test_every_fiftieth_vector_is_asked(spark, judged):
+    named = entry.queries()
+    got = {r.qid: (r.hits, r.first_rank) for r in named["eval_case_metrics"](spark, DATA).collect()}
+    assert got == {q: x[:2] for q, x in judged.items() if x[2]}
+    summary = named["eval_summary"](spark, DATA).first()
+    assert summary.evaluated == len(got) and summary.recall == pytest.approx(np.mean([x[0] / x[2] for x in judged.values() if x[2]]), abs=1e-6)
+    gates = named["pilot_gates"](spark, DATA).first()
+    assert gates.misses == sum(x[1] is None for x in judged.values() if x[2])
+    assert named["space_compat"](spark, DATA).first().inputs == len(judged)
+    assert all(r.qid % 50 == 0 for r in named["rank_inversions"](spark, DATA).collect())
