@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lorekeep.operators import admission
-from lorekeep.plans.dialect import Plans, active, cosine, memories, run
-from lorekeep.plans.retrieval import SPACE, usable
+from lorekeep.operators import admission, nearpairs
+from lorekeep.plans.dialect import DUCK, SPARK, Plans, active, cosine, memories, run
+from lorekeep.plans.retrieval import IDENTITY, SPACE, usable
 from lorekeep.plans.statistics import jobs
 from lorekeep.session import table
 
@@ -114,31 +114,59 @@ def ttl_purge(d):
     return f"""SELECT namespace, count(*) AS purged, min(expires_at) AS oldest, CAST(ceil(count(*) / 5e1) AS BIGINT) AS batches FROM {memories(d, 'id, namespace, expires_at')} m WHERE expires_at <= {d.ts('2026-03-01 00:00:00')} GROUP BY namespace"""
 
 
-def subscriptions(d) -> str:
-    """Standing queries: the first twenty usable vectors of a space."""
+def _given_subscriptions(d) -> str:
+    """Standing queries of the given SQL: the first twenty usable vectors of a space."""
     return f"(SELECT id AS subscription_id, embedding AS qv, client_id AS owner, created_at AS since, namespace AS ns FROM (SELECT DISTINCT id, embedding, embedding_provider, embedding_model, embedding_dimensions, client_id, created_at, namespace FROM memories) p WHERE {SPACE} AND {usable(d)} ORDER BY id LIMIT 20)"
 
 
-def matches(d) -> str:
+def _given_matches(d) -> str:
     cols = "id, namespace, client_id, session_id, embedding, embedding_provider, embedding_model, embedding_dimensions, created_at, deleted_at, expires_at"
-    return f"""(SELECT s.subscription_id, m.id AS memory_id, m.session_id, s.since, m.created_at, {cosine(d, 'm.embedding', 's.qv')} AS sim FROM {memories(d, cols)} m JOIN {subscriptions(d)} s ON m.id <> s.subscription_id
+    return f"""(SELECT s.subscription_id, m.id AS memory_id, m.session_id, s.since, m.created_at, {cosine(d, 'm.embedding', 's.qv')} AS sim FROM {memories(d, cols)} m JOIN {_given_subscriptions(d)} s ON m.id <> s.subscription_id
         WHERE {SPACE} AND {usable(d)} AND {active(d)} AND {cosine(d, 'm.embedding', 's.qv')} >= 8e-1)"""
 
 
-@plan
-def subscription_match(d):
-    return f"""WITH r AS (SELECT subscription_id, memory_id, sim, row_number() OVER (PARTITION BY subscription_id ORDER BY sim DESC, memory_id) AS pos FROM {matches(d)} x) SELECT subscription_id, memory_id, round(sim, 6) AS sim, pos FROM r WHERE pos <= 100"""
+def _given_subscription_match(d):
+    return f"""WITH r AS (SELECT subscription_id, memory_id, sim, row_number() OVER (PARTITION BY subscription_id ORDER BY sim DESC, memory_id) AS pos FROM {_given_matches(d)} x) SELECT subscription_id, memory_id, round(sim, 6) AS sim, pos FROM r WHERE pos <= 100"""
 
 
-@plan
-def subscription_truncated(d):
-    return f"SELECT subscription_id, count(*) AS n, count(*) > 100 AS truncated FROM {matches(d)} x GROUP BY subscription_id"
+def _given_subscription_truncated(d):
+    return f"SELECT subscription_id, count(*) AS n, count(*) > 100 AS truncated FROM {_given_matches(d)} x GROUP BY subscription_id"
 
 
-@plan
-def subscription_match_chunks(d):
+def _given_subscription_match_chunks(d):
+    """Parts match for their session, which counts once with its best part, if the query is older."""
+    return f"SELECT subscription_id, session_id, round(max(sim), 6) AS sim FROM {_given_matches(d)} x WHERE session_id IS NOT NULL AND since < created_at GROUP BY subscription_id, session_id"
+
+
+#: About every fiftieth record is a standing query, by a digest of its id.
+SUBSCRIBED = "CAST(conv(substr(sha2(id, 256), 1, 8), 16, 10) AS BIGINT) % 50 = 0"
+
+
+def matches(spark, sf_dir):
+    """``a_`` of each standing query, ``b_`` of each live record of its embedding identity that it matches."""
+    records = run(spark, sf_dir, f"""SELECT id, embedding, {', '.join(IDENTITY)}, session_id, created_at, {active(SPARK)} AS live
+        FROM memories m WHERE {usable(SPARK)} AND ({active(SPARK)} OR {SUBSCRIBED})""")
+    return nearpairs.near_pairs(records, IDENTITY, 0.8, SUBSCRIBED).where("b_live")
+
+
+def subscription_match(spark, sf_dir):
+    return spark.sql("""WITH r AS (SELECT a_id AS subscription_id, b_id AS memory_id, sim, row_number() OVER (PARTITION BY a_id ORDER BY sim DESC, b_id) AS pos FROM {near} x)
+        SELECT subscription_id, memory_id, round(sim, 6) AS sim, pos FROM r WHERE pos <= 100""", near=matches(spark, sf_dir))
+
+
+def subscription_truncated(spark, sf_dir):
+    return spark.sql("SELECT a_id AS subscription_id, count(*) AS n, count(*) > 100 AS truncated FROM {near} x GROUP BY a_id", near=matches(spark, sf_dir))
+
+
+def subscription_match_chunks(spark, sf_dir):
     """Parts match for their session, which counts once with its best part, if the query is older."""
-    return f"SELECT subscription_id, session_id, round(max(sim), 6) AS sim FROM {matches(d)} x WHERE session_id IS NOT NULL AND since < created_at GROUP BY subscription_id, session_id"
+    return spark.sql("""SELECT a_id AS subscription_id, b_session_id AS session_id, round(max(sim), 6) AS sim FROM {near} x
+        WHERE b_session_id IS NOT NULL AND a_created_at < b_created_at GROUP BY a_id, b_session_id""", near=matches(spark, sf_dir))
+
+
+plan.direct("subscription_match", subscription_match, _given_subscription_match(DUCK))
+plan.direct("subscription_truncated", subscription_truncated, _given_subscription_truncated(DUCK))
+plan.direct("subscription_match_chunks", subscription_match_chunks, _given_subscription_match_chunks(DUCK))
 
 
 @plan

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from lorekeep.operators import clustering, graph, nearpairs
 from lorekeep.plans.dialect import DUCK, SPARK, Plans, active, cosine, memories, run
-from lorekeep.plans.retrieval import SPACE, usable
+from lorekeep.plans.retrieval import IDENTITY, SPACE, usable
 from lorekeep.plans.visibility import series
 from lorekeep.session import checkpointed, table
 
@@ -29,7 +29,6 @@ def pairs(d, least: str) -> str:
         FROM {vectors(d)} a JOIN {vectors(d)} b ON {_BLOCK} AND a.id <> b.id WHERE {cosine(d, 'a.embedding', 'b.embedding')} >= {least})"""
 
 
-IDENTITY = ["embedding_provider", "embedding_model", "embedding_dimensions"]
 #: Parts of documents and episodes are no duplicates of a record.
 _WHOLE = "coalesce({}, '') NOT IN ('document_chunk', 'episode_chunk')"
 #: Consolidation doesn't mix kinds.

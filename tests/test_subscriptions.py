@@ -1,0 +1,29 @@
+import hashlib
+
+import duckdb
+import numpy as np
+
+import __spark_entry__ as entry
+
+DATA = "/root/testdata/sf0.01"
+
+
+def test_every_standing_query_of_every_identity(spark):
+    rows = duckdb.sql(f"""SELECT DISTINCT id, embedding_provider, embedding_model, embedding_dimensions, embedding, created_at, session_id, deleted_at IS NULL AND (expires_at IS NULL OR expires_at > TIMESTAMP '2026-03-01')
+        FROM read_parquet('{DATA}/memories.parquet') WHERE len(embedding) = embedding_dimensions AND embedding_provider IS NOT NULL AND embedding_model IS NOT NULL""").fetchall()
+    rows = [r for r in rows if np.isfinite(r[4]).all() and any(r[4])]
+    unit = [np.array(r[4], float) / np.linalg.norm(np.array(r[4], float)) for r in rows]
+    want, sessions = {}, {}
+    for i, a in enumerate(rows):
+        if int(hashlib.sha256(a[0].encode()).hexdigest()[:8], 16) % 50:
+            continue
+        for j, b in enumerate(rows):
+            if i != j and b[7] and a[1:4] == b[1:4] and (sim := float(unit[i] @ unit[j])) >= 0.8:
+                want.setdefault(a[0], []).append((-round(sim, 12), b[0]))
+                if b[6] and a[5] < b[5]:
+                    sessions[a[0], b[6]] = max(sessions.get((a[0], b[6]), 0), round(sim, 6))
+    named = entry.queries()
+    got = {(r.subscription_id, r.memory_id) for r in named["subscription_match"](spark, DATA).collect()}
+    assert want and got == {(a, b) for a, own in want.items() for _, b in sorted(own)[:100]}
+    assert {(r.subscription_id, r.n, r.truncated) for r in named["subscription_truncated"](spark, DATA).collect()} == {(a, len(own), len(own) > 100) for a, own in want.items()}
+    assert {(r.subscription_id, r.session_id) for r in named["subscription_match_chunks"](spark, DATA).collect()} == set(sessions)
