@@ -40,16 +40,22 @@ def greedy(pairs: pd.DataFrame, order: dict[str, tuple], most: int = MOST) -> li
 
 
 def _connected(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """``id, component`` by least labels; each round is written to the checkpoint folder."""
+    """``id, component`` by least labels; each round is written to the checkpoint folder.
+
+    A round takes the least label among neighbours and then follows labels once more, so rounds
+    grow with the logarithm of the longest path.
+    """
     edges = checkpointed(pairs.select(F.col("a_id").alias("id"), F.col("b_id").alias("other")).unionByName(pairs.select(F.col("b_id").alias("id"), F.col("a_id").alias("other"))))
     labels = checkpointed(edges.groupBy("id").agg(F.least(F.first("id"), F.min("other")).alias("label")))
     for _ in range(most_rounds):
         heard = edges.join(labels.select(F.col("id").alias("other"), "label"), "other").groupBy("id").agg(F.min("label").alias("theirs"))
-        moved = checkpointed(labels.join(heard, "id").select("id", F.col("label").alias("before"), F.least("label", "theirs").alias("label")))
+        near = labels.join(heard, "id").select("id", F.col("label").alias("before"), F.least("label", "theirs").alias("label"))
+        jump = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
+        moved = checkpointed(near.join(jump, "label").select("id", "before", F.least("label", "further").alias("label")))
         labels = moved.select("id", "label")
         if moved.where("before <> label").isEmpty():
-            break
-    return labels.select("id", F.col("label").alias("component"))
+            return labels.select("id", F.col("label").alias("component"))
+    raise RuntimeError(f"components not settled after {most_rounds} rounds")
 
 
 def complete_link(pairs: DataFrame, records: DataFrame) -> DataFrame:
