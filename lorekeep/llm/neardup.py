@@ -2,16 +2,19 @@
 
 The similarity of two contents is the share of their distinct three-word sequences that
 both have. Contents with the same set of sequences form one class, which is compared once.
-Every class has a fingerprint of ``SYMBOLS`` minhash symbols, two of which agree with the
-probability of the similarity. The fingerprint is split into blocks of ``BLOCK`` symbols,
-sized so that a pair at the threshold shares a block with a probability of 99.4 %, at 0.55 of
-99.9 %, above 0.6 of practically one. Classes are joined on blocks; pairs so met are
-verified by the Hamming distance of one-bit fingerprints (five standard deviations of room
-for a pair at the threshold), and then exactly on their sequences.
+Every class has a fingerprint of ``SYMBOLS`` minhash symbols of one byte, two of which agree
+with the probability of the similarity. The fingerprint is cut into blocks of ``BLOCK`` symbols.
+By the pigeonhole principle a pair that differs in fewer symbols than there are blocks
+shares one. At the threshold itself pairs differ in more; they share a block with a probability
+of 99.4 %, at 0.55 of 99.9 %, above 0.6 of practically one. (A guarantee at 0.5 would take
+blocks of one symbol, which nearly all pairs share.) Classes are joined on blocks; pairs so
+met are verified by the Hamming distance of the fingerprints that were joined (five standard
+deviations of room for a pair at the threshold), and then on the word sequences of their texts.
 
 A block key is a row of its own, so a block that many share is split like any skewed join
-key; nothing is collected by block. Copies of a text never meet each other: they are linked
-to the least id of their text.
+key; nothing is collected by block. Joins of block rows are told to sort and merge: the
+planner takes an array for one element, so the side that it holds for small is not.
+Copies of a text never meet each other: they are linked to the least id of their text.
 
 Defined results: contents that are null, blank or of fewer than three words have no
 sequences and no pairs; null is a namespace like any other; rows that share ``id`` are one
@@ -51,11 +54,16 @@ def sequences(found: Column, words: int = WORDS) -> Column:
     return F.array_sort(F.array_distinct(hashes))
 
 
+def spelt_sequences(found: Column, words: int = WORDS) -> Column:
+    """The distinct sequences themselves; words hold letters and digits only, so a space keeps them apart."""
+    starts = F.when(F.size(found) >= words, F.sequence(F.lit(0), F.size(found) - words)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(found, i + k) for k in range(words)])))
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     draw = np.random.default_rng(20240501)
     factors = draw.integers(1, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     terms = draw.integers(0, 2**63, SYMBOLS, dtype=np.uint64)
-    mix = draw.integers(1, 2**63, BLOCK, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     for batch in batches:
         lists = batch.column("sequences")
         if not len(lists):
@@ -63,50 +71,72 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         offsets = lists.offsets.to_numpy().astype(np.int64)
         values = lists.values.to_numpy(zero_copy_only=False).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         n = len(lists)
-        symbols = np.empty((n, SYMBOLS), np.uint64)
+        symbols = np.empty((n, SYMBOLS), np.uint8)
         starts, values = offsets[:-1] - offsets[0], values[offsets[0] : offsets[-1]]
         for k in range(SYMBOLS):  # over the symbols, each for all rows of the batch at once
             hashed = values * factors[k] + terms[k]
-            symbols[:, k] = np.minimum.reduceat(hashed ^ (hashed >> np.uint64(31)), starts)
-        blocks = (symbols.reshape(n, BLOCKS, BLOCK) * mix).sum(axis=2, dtype=np.uint64)
-        bits = np.packbits(((symbols * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)).astype(np.uint8), axis=1).view(np.int64)
-        keys = (blocks >> np.uint64(32)).astype(np.uint32).view(np.int32)
-        as_lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([batch.column("class_id"), batch.column("space"), as_lists(keys), as_lists(bits)], ["class_id", "space", "blocks", "bits"])
+            least = np.minimum.reduceat(hashed ^ (hashed >> np.uint64(31)), starts)
+            symbols[:, k] = (least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)
+        blocks = symbols.view(np.int32)  # four symbols of one byte make a block
+        cells = pa.ListArray.from_arrays(pa.array(np.arange(0, blocks.size + 1, BLOCKS, dtype=np.int32)), pa.array(blocks.reshape(-1)))
+        yield pa.RecordBatch.from_arrays([batch.column("class_id"), batch.column("space"), batch.column("id"), cells], ["class_id", "space", "id", "blocks"])
 
 
 def classes(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (``id, text_key, class_id``) and classes (``class_id, space, sequences``; ``space`` is the namespace's key)."""
+    """Members (``id, text_key, class_id``) and fingerprints (``class_id, space, id, blocks``; ``space`` is the namespace's key, ``id`` one member)."""
     space = F.xxhash64(F.col("namespace").isNull(), "namespace")
     cut = memories.select("id", space.alias("space"), F.xxhash64(space, "content").alias("text_key"), word_list(F.col("content")).alias("words")).where(F.size("words") >= WORDS)
     keyed = cut.select("id", "space", "text_key", sequences(F.col("words")).alias("sequences"))
     keyed = keyed.select("id", "text_key", "space", F.xxhash64("space", "sequences").alias("class_id"), "sequences")
     # made twice from the source, which moves less than writing contents or sequences of every row
-    return checkpointed(keyed.select("id", "text_key", "class_id").distinct()), checkpointed(keyed.select("class_id", "space", "sequences").dropDuplicates(["class_id"]))
+    members = checkpointed(keyed.select("id", "text_key", "class_id").distinct())
+    kinds = keyed.select("class_id", "space", "id", "sequences").dropDuplicates(["class_id"])
+    return members, checkpointed(kinds.mapInArrow(_fingerprints, "class_id long, space long, id string, blocks array<int>"))
 
 
-def similar_classes(kinds: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``a, b, similarity`` of every pair of different classes at or above the threshold, a < b."""
-    printed = checkpointed(kinds.mapInArrow(_fingerprints, "class_id long, space long, blocks array<int>, bits array<long>"))
+def merged(x: DataFrame, y: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join by sort and merge, whatever size the planner expects of arrays."""
+    return x.hint("merge").join(y.hint("merge"), on, how)
+
+
+def met_classes(printed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``a, b, id_a, id_b`` of different classes that share a block and whose fingerprints are near enough, a < b."""
     # a key holds the namespace, the number of the block and the block
     rows = printed.select("class_id", "space", F.posexplode("blocks").alias("block", "key")).select("class_id", F.xxhash64("space", "block", "key").alias("key"))
-    met = rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.class_id") < F.col("y.class_id")))
+    met = merged(rows.alias("x"), rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.class_id") < F.col("y.class_id")))
     pairs = met.select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b")).distinct()
-    prints = printed.select("class_id", "bits")
-    distance = sum((F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(SYMBOLS // 64)), F.lit(0))
-    differ = (1 - threshold) / 2
-    furthest = SYMBOLS * differ + 5 * (SYMBOLS * differ * (1 - differ)) ** 0.5
-    near = pairs.join(prints.select(F.col("class_id").alias("a"), F.col("bits").alias("bits_a")), "a").join(prints.select(F.col("class_id").alias("b"), F.col("bits").alias("bits_b")), "b")
-    near = near.where(distance <= furthest).select("a", "b")
-    near = near.join(kinds.select(F.col("class_id").alias("a"), F.col("space").alias("space_a"), F.col("sequences").alias("set_a")), "a").join(kinds.select(F.col("class_id").alias("b"), F.col("space").alias("space_b"), F.col("sequences").alias("set_b")), "b").where("space_a = space_b")
-    near = near.withColumn("both", F.size(F.array_intersect("set_a", "set_b")))
-    similarity = F.col("both") / (F.size("set_a") + F.size("set_b") - F.col("both"))
-    return near.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
+    end = lambda side: printed.select(F.col("class_id").alias(side), F.col("id").alias(f"id_{side}"), F.col("blocks").alias(f"blocks_{side}"))
+    # counted as a long of 32 bits, as the count extends the sign
+    apart = lambda i: F.get("blocks_a", F.lit(i)).bitwiseXOR(F.get("blocks_b", F.lit(i))).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
+    distance = sum((F.bit_count(apart(i)) for i in range(BLOCKS)), F.lit(0))
+    near = merged(merged(pairs, end("a"), "a"), end("b"), "b").where(distance <= furthest_bits(threshold))
+    return near.select("a", "b", "id_a", "id_b")
+
+
+def similar_classes(printed: DataFrame, memories: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``a, b, similarity`` of every pair of different classes at or above the threshold, a < b."""
+    near = checkpointed(met_classes(printed, threshold))
+    # the words themselves decide; only contents of the classes that have met are read again
+    wanted = near.select(F.col("id_a").alias("id")).unionByName(near.select(F.col("id_b").alias("id"))).distinct()
+    words = merged(memories.select("id", "content"), wanted, "id").dropDuplicates(["id"]).select("id", word_list(F.col("content")).alias("words"))
+    sets = words.select("id", spelt_sequences(F.col("words")).alias("set"))
+    both = merged(merged(near, sets.select(F.col("id").alias("id_a"), F.col("set").alias("set_a")), "id_a"), sets.select(F.col("id").alias("id_b"), F.col("set").alias("set_b")), "id_b")
+    both = both.select("a", "b", F.size("set_a").alias("n_a"), F.size("set_b").alias("n_b"), F.size(F.array_intersect("set_a", "set_b")).alias("both"))
+    return both.select("a", "b", (F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def furthest_bits(threshold: float) -> float:
+    """The most bits in which fingerprints of a pair at the threshold differ: five standard deviations above the mean.
+
+    A symbol that differs differs in half of its eight bits on the average, with a variance of two.
+    """
+    differ = SYMBOLS * (1 - threshold)
+    return 4 * differ + 5 * (16 * differ * threshold + 2 * differ) ** 0.5
 
 
 def _parts(memories: DataFrame, threshold: float):
-    members, kinds = classes(memories)
-    return members, checkpointed(similar_classes(kinds, threshold).select("a", "b"))
+    members, printed = classes(memories)
+    return members, checkpointed(similar_classes(printed, memories, threshold).select("a", "b"))
 
 
 def found_pairs(memories: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
