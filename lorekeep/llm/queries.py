@@ -96,8 +96,12 @@ def p8_canonical(spark, sf_dir):
     return lookalike.canonical_texts(table(spark, sf_dir, "documents"))
 
 
+def p8_classes(spark, sf_dir):
+    return lookalike.document_classes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_by_service": p5_by_service, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_canonical": p8_canonical}
+    return {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p2_neighbours": p2_neighbours, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_by_service": p5_by_service, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_canonical": p8_canonical, "p8_classes": p8_classes}
 
 
 def oracle_sql() -> dict[str, str]:
