@@ -7,8 +7,9 @@ vectors, stored as flat neighbour arrays (``smallworld``). Each vector is search
 ``PROBES`` shards whose centres are nearest to it, and the shards' results are merged.
 
 A centre that attracts more than ``MOST_SHARD`` vectors is split into as many shards as it
-needs; queries for it then visit all of them, so no task holds an unbounded shard and
-nothing is dropped. Equal vectors are one class, indexed once, so a group of copies costs
+needs; queries for it then visit all of them. A shard that more than ``MOST_VISITORS`` vectors
+visit is searched in as many tasks as that takes, each with the shard's graph and its own
+visitors. So no task holds an unbounded shard or unbounded visitors, and nothing is dropped. Equal vectors are one class, indexed once, so a group of copies costs
 no more than one vector; each member of it gets the class's result without itself.
 
 Defined results: a vector takes no part if it is null, all zero, of another length than its
@@ -32,6 +33,7 @@ from lorekeep.session import checkpointed
 
 SHARD = 2_048
 MOST_SHARD = 32_768
+MOST_VISITORS = 131_072
 SAMPLE = 262_144
 PROBES = 3
 LINKS = 16
@@ -111,14 +113,14 @@ def _search(k: int, least: float, links: int, width: int):
     def search(table: pa.Table) -> pa.Table:
         x = _unit(table.column("embedding").combine_chunks())
         classes = table.column("class_id").to_numpy()
-        stored = np.nonzero(table.column("stored").to_numpy())[0]
+        stored, asks = (np.nonzero(table.column(c).to_numpy())[0] for c in ("stored", "asks"))
         names = ["class_id", "other", "similarity"]
-        if not len(stored):
+        if not len(stored) or not len(asks):
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names)
         graph = SmallWorld(x[stored], links, width)
-        ids, sims = graph.search(x, min(k + 2, len(stored)))
+        ids, sims = graph.search(x[asks], min(k + 2, len(stored)))
         row, col = np.nonzero((ids >= 0) & (sims >= least - 1e-3))
-        other = stored[ids[row, col]]
+        other, row = stored[ids[row, col]], asks[row]
         exact = np.round(np.einsum("ij,ij->i", x[row], x[other]), 6)
         keep = (exact >= least) & (classes[row] != classes[other])
         return pa.table([pa.array(classes[row[keep]]), pa.array(classes[other[keep]]), pa.array(exact[keep])], names)
@@ -126,26 +128,35 @@ def _search(k: int, least: float, links: int, width: int):
     return search
 
 
-def similar_classes(rows: DataFrame, members: DataFrame, k: int = 10, least: float = 0.8, shard: int = SHARD, probes: int = PROBES, sample: int = SAMPLE) -> DataFrame:
+def similar_classes(
+    rows: DataFrame, members: DataFrame, k: int = 10, least: float = 0.8, shard: int = SHARD, probes: int = PROBES, sample: int = SAMPLE,
+    most_shard: int = MOST_SHARD, most_visitors: int = MOST_VISITORS,
+) -> DataFrame:
     """``class_id, other, similarity`` of each class's nearest classes."""
     centres = fit_centres(rows, members.select("identity", "class_id").distinct(), shard, sample)
     kinds = rows.select("class_id", "identity", "embedding").dropDuplicates(["class_id"])
     routed = checkpointed(kinds.mapInArrow(_route(centres, probes), "class_id long, identity long, embedding array<float>, cells array<int>"))
-    # cells that are far too large become several shards; there is at most one of them for every ``MOST_SHARD`` vectors
-    sizes = routed.groupBy("identity", F.get("cells", F.lit(0)).alias("cell")).agg(F.count("*").alias("n")).where(F.col("n") > MOST_SHARD)
-    sizes = sizes.select("identity", "cell", F.ceil(F.col("n") / MOST_SHARD).cast("int").alias("parts"))
-    cells = routed.select("class_id", "identity", "embedding", F.posexplode("cells").alias("place", "cell")).join(F.broadcast(sizes), ["identity", "cell"], "left")
-    cells = cells.withColumn("parts", F.coalesce("parts", F.lit(1)))
-    part = F.pmod(F.xxhash64("class_id", F.lit(9)), F.col("parts")).cast("int")
-    # a vector visits all parts of its cells and is stored in one part of the nearest
-    visits = cells.withColumn("home", F.when(F.col("place") == 0, part)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    visits = visits.select("class_id", "embedding", F.coalesce(F.col("home") == F.col("part"), F.lit(False)).alias("stored"), F.xxhash64("identity", "cell", "part").alias("shard"))
+    # cells that are far too large become several shards, those with far too many visitors are searched by several tasks;
+    # there is at most one row here for every ``MOST_SHARD`` vectors
+    visited = routed.select("identity", F.posexplode("cells").alias("place", "cell")).groupBy("identity", "cell").agg(F.count_if(F.col("place") == 0).alias("n"), F.count("*").alias("v"))
+    sizes = visited.where((F.col("n") > most_shard) | (F.col("v") > most_visitors)).select(
+        "identity", "cell", F.greatest(F.lit(1), F.ceil(F.col("n") / most_shard)).cast("int").alias("parts"), F.ceil(F.col("v") / most_visitors).cast("int").alias("tasks")
+    )
+    cells = routed.select("class_id", "identity", "embedding", F.posexplode("cells").alias("place", "cell")).join(F.broadcast(sizes), ["identity", "cell"], "left").fillna(1, ["parts", "tasks"])
+    drawn = lambda seed, n: F.pmod(F.xxhash64("class_id", F.lit(seed)), F.col(n)).cast("int")
+    # a vector asks every part in one of the tasks, and is stored in one part of its nearest cell, for every task
+    cells = cells.withColumns({"part": F.when(F.col("place") == 0, drawn(9, "parts")).otherwise(-1), "task": drawn(11, "tasks")})
+    grid = F.expr("""array_union(transform(sequence(0, parts - 1), p -> struct(task AS t, p AS p)),
+        CASE WHEN part >= 0 THEN transform(sequence(0, tasks - 1), t -> struct(t AS t, part AS p)) ELSE array() END)""")
+    visits = cells.withColumn("at", F.explode(grid)).select(
+        "class_id", "embedding", (F.col("at.p") == F.col("part")).alias("stored"), (F.col("at.t") == F.col("task")).alias("asks"), F.xxhash64("identity", "cell", "at.p", "at.t").alias("shard")
+    )
     return visits.groupBy("shard").applyInArrow(_drop_shard(_search(k, least, LINKS, WIDTH)), "class_id long, other long, similarity double")
 
 
 def _drop_shard(search):
     def run(table: pa.Table) -> pa.Table:
-        return search(table.select(["class_id", "embedding", "stored"]))
+        return search(table.select(["class_id", "embedding", "stored", "asks"]))
 
     return run
 
