@@ -103,6 +103,8 @@ def test_neighbours_against_brute_force(spark):
     assert len(got & want) / len(want) > 0.99 and len(got - want) <= 2
     sharded = pairs_of(knn.found_pairs(frame, shard=60))
     assert len(sharded & want) / len(want) > 0.9
+    cut = pairs_of(knn.found_pairs(frame, most_shard=50, most_visitors=70))  # four parts, searched by three tasks each
+    assert len(cut & want) / len(want) > 0.99 and len(cut - want) <= 2
     assert knn.found_pairs(frame.limit(0)).count() == 0
 
 
@@ -135,6 +137,8 @@ def test_near_duplicates_against_brute_force(spark):
     content = {r[0]: r[1] for r in rows}
     lost = {(a, b): similarity(content[a], content[b]) for a, b in want - got if content[a] != content[b]}
     assert len(lost) <= 0.02 * len(want) and all(s < 0.55 for s in lost.values()), lost
+    _, printed = neardup.classes(frame)
+    assert "Broadcast" not in neardup.met_classes(printed)._jdf.queryExecution().executedPlan().toString()
     grouped = {r.memory_id: r.group_id for r in neardup.groups(frame).collect()}
     assert all(grouped[a] == grouped[b] for a, b in got) and "p4" not in grouped
     assert neardup.found_pairs(frame.limit(0)).count() == 0
@@ -175,7 +179,7 @@ def test_slices_change_nothing(spark, width):
 
 # --- tokens and mixes
 
-TEXTS = [None, "", " ", "\n\t ", "Hello world's  end", "it's 12,345 ½ ② naïve", "日本語のテキスト", "👩‍👧 ok x", "<|endoftext|> a", "word " * 20_000, "\U0001e4d0 new letters \U000105c0"]
+TEXTS = [None, "", " ", "\n\t ", "Hello world's  end", "it's 12,345 ½ ② naïve", "日本語のテキスト", "👩‍👧 ok x", "<|endoftext|> a", "word " * 20_000, "\U0001e4d0 new letters \U000105c0", "it's old  x\U0001e4d0y's\n\n (\U000105c0!) new-1"]
 
 
 @pytest.mark.parametrize("head", [3, 16_384])
@@ -240,9 +244,11 @@ def test_looks(spark):
         assert canonical[a] == min(members)
     assert all(canonical[i] == texts[i] for i in texts if i not in group)
     assert lookalike.found_pairs(frame.limit(0)).count() == 0
+    placed = {r.doc_id: (r.class_id, r.documents) for r in lookalike.document_classes(frame).collect()}
+    assert placed == {a: (min(b for b in group if group[b] == group[a]), sum(group[b] == group[a] for b in group)) for a in group}
 
 
-def test_map_is_consistent():
+def test_map_is_consistent(spark):
     source, target = lookalike.single_map()
     assert len(set(source)) == len(source) and len(target) <= len(source)
     assert all(unicodedata.category(c) != "Zs" for c in target.replace(" ", ""))
