@@ -103,6 +103,9 @@ class Spark:
     def distinct_in(self, array: str, items: list[str]) -> str:
         return f"coalesce(array_size(array_intersect({self.values_in(items)}, {array})), 0)"
 
+    def first_per(self, x: str, order: str) -> str:
+        return f"min_by({x}, {order})"
+
     text = "STRING"
 
 
@@ -182,6 +185,9 @@ class Duck(Spark):
     def distinct_in(self, array, items):
         return f"coalesce(len(list_intersect({self.values_in(items)}, {array})), 0)"
 
+    def first_per(self, x, order):
+        return f"arg_min({x}, {order})"
+
     text = "VARCHAR"
 
 
@@ -241,9 +247,11 @@ class Plans:
             self.ORACLE[name] = oracle
 
 
+_READ = re.compile(rf"\b(FROM|JOIN)\s+({'|'.join(TABLES)})\b")
+
+
 def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """Run a statement over the input tables that it names."""
-    for name in TABLES:
-        if re.search(rf"\b{name}\b", sql):
-            table(spark, sf_dir, name).createOrReplaceTempView(name)
-    return spark.sql(sql)
+    """Run a statement over the input tables that it names; views of the caller keep their names."""
+    for name in {m[2] for m in _READ.finditer(sql)}:
+        table(spark, sf_dir, name).createOrReplaceTempView(f"lorekeep_{name}")
+    return spark.sql(_READ.sub(r"\1 lorekeep_\2", sql))

@@ -17,11 +17,20 @@ def accepted_keys(d):
     return "SELECT service_id AS k FROM media_events WHERE nullif(trim(service_id), '') IS NOT NULL UNION SELECT event_key AS k FROM media_events"
 
 
+#: What identifies an event without an id of its provider, in this order.
+IDENTITY_FIELDS = ("event_type", "title", "artist", "album", "show_title", "season", "episode", "release_year", "duration_ms")
+
+
 def identity(d) -> str:
-    """The provider's id if there is one, else a digest of a length-prefixed tuple."""
-    part = lambda x: f"CAST({d.bytes(x)} AS {d.text}) || ':' || {x}"
-    fields = [f"coalesce({c}, '')" for c in ("service", "source_id", "event_type", "title", "artist")] + [f"coalesce(CAST({d.us('played_at')} AS {d.text}), '')"]
-    return f"CASE WHEN nullif(trim(service_id), '') IS NOT NULL THEN 'id:' || trim(service_id) ELSE 'h:' || {d.sha(' || '.join(part(f) for f in fields))} END"
+    """The provider's id if there is one, else a digest of a tuple whose parts state their length; null and empty differ."""
+    x = lambda c: f"CAST({c} AS {d.text})"
+    part = lambda c: f"CASE WHEN {c} IS NULL THEN 'N;' ELSE 'V' || CAST({d.bytes(x(c))} AS {d.text}) || ':' || {x(c)} || ';' END"
+    return f"CASE WHEN nullif(trim(service_id), '') IS NOT NULL THEN 'id:' || service_id ELSE 'fallback:v1:' || {d.sha(chr(39) + 'v1;' + chr(39) + ' || ' + ' || '.join(part(f) for f in IDENTITY_FIELDS))} END"
+
+
+def events(d, where: str = "1 = 1") -> str:
+    """Events with their effective identity, each once."""
+    return f"(SELECT DISTINCT id, client_id, service, coalesce(nullif(trim(source_id), ''), 'default') AS source_id, event_key, title, played_at, created_at, metadata, service_id, {identity(d)} AS ident FROM media_events WHERE {where})"
 
 
 @plan
@@ -29,20 +38,34 @@ def event_identity(d):
     return f"SELECT DISTINCT id, {identity(d)} AS identity FROM media_events"
 
 
+#: Events before this instant are stored, later ones arrive as a batch.
+_ARRIVAL = "2025-11-01 00:00:00"
+
+
 @plan
 def event_upsert(d):
-    """First of a batch wins under the effective identity; what is already stored is skipped."""
-    return f"""WITH e AS (SELECT DISTINCT id, client_id, service, source_id, played_at, created_at, {identity(d)} AS ident FROM media_events), stored AS (SELECT DISTINCT client_id, service, ident FROM e WHERE created_at < {d.ts('2025-11-01 00:00:00')}),
-        batch AS (SELECT id, client_id, service, ident, row_number() OVER (PARTITION BY client_id, service, ident ORDER BY created_at, id) AS pos FROM e WHERE created_at >= {d.ts('2025-11-01 00:00:00')})
-        SELECT b.id, CASE WHEN s.ident IS NOT NULL THEN 'stored' WHEN b.pos > 1 THEN 'repeated' ELSE 'inserted' END AS outcome FROM batch b LEFT JOIN stored s ON s.client_id = b.client_id AND s.service = b.service AND s.ident = b.ident"""
+    """First of a batch wins; a batch's event is skipped if a stored one has its key or its identity at its time."""
+    at = d.ts(_ARRIVAL)
+    by_key, by_ident = "client_id, service, source_id, event_key", "client_id, service, source_id, played_at, ident"
+    on = lambda alias, cols: " AND ".join(f"{alias}.{c} IS NOT DISTINCT FROM b.{c}" if c == "played_at" else f"{alias}.{c} = b.{c}" for c in cols.split(", "))
+    return f"""WITH e AS {events(d)}, old AS (SELECT * FROM e WHERE created_at < {at}), k AS (SELECT DISTINCT {by_key} FROM old), i AS (SELECT DISTINCT {by_ident} FROM old),
+        batch AS (SELECT *, row_number() OVER (PARTITION BY {by_key} ORDER BY created_at, id) AS nth_key, row_number() OVER (PARTITION BY {by_ident} ORDER BY created_at, id) AS nth_ident FROM e WHERE created_at >= {at})
+        SELECT b.id, CASE WHEN k.event_key IS NOT NULL OR i.ident IS NOT NULL THEN 'stored' WHEN b.nth_key > 1 OR b.nth_ident > 1 THEN 'repeated' ELSE 'inserted' END AS outcome
+        FROM batch b LEFT JOIN k ON {on('k', by_key)} LEFT JOIN i ON {on('i', by_ident)}"""
 
 
 @plan
 def bucket_suppress(d):
-    """Records without an exact time are skipped where a stored event lies in their day."""
-    return f"""WITH e AS (SELECT DISTINCT id, client_id, service, title, played_at, {d.day('played_at')} AS day, {d.has_key('metadata', 'device')} AS exact FROM media_events WHERE played_at IS NOT NULL),
-        n AS (SELECT * FROM e WHERE NOT exact), o AS (SELECT DISTINCT client_id, service, title, day FROM e WHERE exact)
-        SELECT n.id, o.title IS NOT NULL AS suppressed FROM n LEFT JOIN o ON o.client_id = n.client_id AND o.service = n.service AND o.title = n.title AND o.day = n.day"""
+    """An inexact event is skipped if a stored one of its identity, without a stated bucket, lies in its bucket [start, end).
+
+    An event that states no device stands for an inexact one; its bucket is its day.
+    """
+    day = d.day("played_at")
+    return f"""WITH e AS (SELECT DISTINCT id, client_id, service, source_id, service_id, played_at, {d.has_key('metadata', 'device')} AS exact FROM {events(d, 'played_at IS NOT NULL')} x),
+        n AS (SELECT id, client_id, service, source_id, service_id, CAST({day} AS {'TIMESTAMP_NTZ' if d.name == 'spark' else 'TIMESTAMP'}) AS bucket_start, {d.plus(f"CAST({day} AS {'TIMESTAMP_NTZ' if d.name == 'spark' else 'TIMESTAMP'})", '1', 'DAY')} AS bucket_end FROM e WHERE NOT exact AND nullif(trim(service_id), '') IS NOT NULL),
+        o AS (SELECT client_id, service, source_id, service_id, played_at, {day} AS day FROM e WHERE exact),
+        hit AS (SELECT DISTINCT n.id FROM n JOIN o ON o.client_id = n.client_id AND o.service = n.service AND o.source_id = n.source_id AND o.service_id = n.service_id AND o.day = {d.day('n.bucket_start')} AND o.played_at >= n.bucket_start AND o.played_at < n.bucket_end)
+        SELECT n.id, hit.id IS NOT NULL AS suppressed FROM n LEFT JOIN hit ON hit.id = n.id"""
 
 
 @plan
@@ -187,10 +210,19 @@ def job_transition(d):
     return f"""SELECT memory_id, status, attempts, CASE WHEN status = 'processing' AND inline_ready THEN 'ready' WHEN status = 'processing' AND attempts >= 5 THEN 'embedding_failed' WHEN status = 'processing' THEN 'retry_wait' WHEN status IN ('pending', 'retry_wait') THEN 'processing' ELSE status END AS next_status FROM {jobs(d)} j"""
 
 
+def ladder(attempts: str, asked: str = "NULL") -> str:
+    """Seconds until the next attempt: a step of the ladder by the attempts made, or longer if the other side asked for that; at most half a day."""
+    return f"CAST(least(43200, greatest(CASE greatest(least({attempts}, 5), 1) WHEN 1 THEN 60 WHEN 2 THEN 300 WHEN 3 THEN 1800 WHEN 4 THEN 7200 ELSE 43200 END, coalesce({asked}, 0))) AS BIGINT)"
+
+
+def doubling(attempts: str) -> str:
+    return f"CAST(least(3600, 15 * power(2, {attempts})) AS BIGINT)"
+
+
 @plan
 def retry_schedule(d):
     """The ladder of waits without jitter, and the doubling one."""
-    return f"""SELECT memory_id, attempts, CASE least(attempts, 4) WHEN 0 THEN 60 WHEN 1 THEN 300 WHEN 2 THEN 1800 WHEN 3 THEN 7200 ELSE 43200 END AS ladder_s, CAST(least(3600, 15 * power(2, attempts)) AS BIGINT) AS doubling_s FROM {jobs(d)} j WHERE status = 'retry_wait'"""
+    return f"SELECT memory_id, attempts, {ladder('attempts')} AS ladder_s, {ladder('attempts', 'asked_s')} AS asked_ladder_s, {doubling('attempts')} AS doubling_s FROM (SELECT memory_id, attempts, CASE WHEN attempts = 2 THEN 900 END AS asked_s FROM {jobs(d)} j WHERE status = 'retry_wait') r"
 
 
 @plan

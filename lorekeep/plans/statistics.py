@@ -10,8 +10,16 @@ QUERIES, ORACLE = plan.QUERIES, plan.ORACLE
 _LISTEN = "CAST(coalesce(played_ms, CASE WHEN completed IS TRUE THEN duration_ms ELSE 0 END, 0) AS BIGINT)"
 
 
-def media(d) -> str:
-    return f"(SELECT DISTINCT id, service, title, artist, album, show_title, season, episode, event_type, client_id, played_at, completed, {_LISTEN} AS listen_ms FROM media_events)"
+def media(d, columns: str, where: str = "1 = 1") -> str:
+    """The listening facts of events, each event once; a caller's filters go into the scan."""
+    return f"(SELECT DISTINCT id, {columns}, {_LISTEN} AS listen_ms FROM media_events WHERE {where})"
+
+
+def media_filter(d, client: str | None = None, service: str | None = None, after: str | None = None, before: str | None = None) -> str:
+    """What limits statistics of events: equality of client and service, and a range of time that is closed at both ends."""
+    parts = [f"client_id = '{client}'"] * (client is not None) + [f"service = '{service}'"] * (service is not None)
+    parts += [f"played_at >= {d.ts(after)}"] * (after is not None) + [f"played_at <= {d.ts(before)}"] * (before is not None)
+    return " AND ".join(parts) or "1 = 1"
 
 
 @plan
@@ -33,82 +41,164 @@ def namespace_counts(d):
     return f"SELECT namespace, count(*) AS n FROM {memories(d, 'id, namespace, deleted_at, expires_at')} m WHERE {active(d)} GROUP BY namespace"
 
 
+def _top(d, names: str, where: str = "1 = 1", k: int = 10) -> str:
+    given = " AND ".join(f"{n} IS NOT NULL" for n in names.split(", ") if n != "title")
+    given = given if "artist" in names else f"{given} AND artist IS NOT NULL"
+    return f"SELECT {names}, count(*) AS plays, CAST(sum(listen_ms) AS BIGINT) AS duration_ms FROM {media(d, names, where)} e WHERE {given} GROUP BY {names} ORDER BY plays DESC, {names} LIMIT {k}"
+
+
 @plan
 def media_stats_totals(d):
-    return f"SELECT count(*) AS total_events, CAST(coalesce(sum(listen_ms), 0) AS BIGINT) AS listening_ms FROM {media(d)} e"
+    return f"SELECT count(*) AS total_events, CAST(coalesce(sum(listen_ms), 0) AS BIGINT) AS listening_ms FROM {media(d, 'service')} e"
 
 
 @plan
 def media_by_service(d):
-    return f"SELECT service, count(*) AS n, CAST(sum(listen_ms) AS BIGINT) AS duration_ms FROM {media(d)} e GROUP BY service"
+    return f"SELECT service, count(*) AS n, CAST(sum(listen_ms) AS BIGINT) AS duration_ms FROM {media(d, 'service')} e GROUP BY service"
 
 
 @plan
 def top_artists(d):
-    return f"SELECT artist, count(*) AS plays, CAST(sum(listen_ms) AS BIGINT) AS duration_ms FROM {media(d)} e WHERE artist IS NOT NULL GROUP BY artist ORDER BY plays DESC, artist LIMIT 10"
+    return _top(d, "artist")
 
 
 @plan
 def top_albums(d):
-    return f"SELECT album, artist, count(*) AS plays, CAST(sum(listen_ms) AS BIGINT) AS duration_ms FROM {media(d)} e WHERE artist IS NOT NULL AND album IS NOT NULL GROUP BY album, artist ORDER BY plays DESC, album, artist LIMIT 10"
+    return _top(d, "album, artist")
 
 
 @plan
 def top_tracks(d):
-    return f"SELECT title, artist, count(*) AS plays, CAST(sum(listen_ms) AS BIGINT) AS duration_ms FROM {media(d)} e WHERE artist IS NOT NULL GROUP BY title, artist ORDER BY plays DESC, title, artist LIMIT 10"
+    return _top(d, "title, artist")
 
 
 @plan
 def media_daily(d):
-    return f"SELECT {d.day('played_at')} AS day, count(*) AS n, CAST(sum(listen_ms) AS BIGINT) AS duration_ms FROM {media(d)} e GROUP BY {d.day('played_at')}"
+    return f"SELECT {d.day('played_at')} AS day, count(*) AS n, CAST(sum(listen_ms) AS BIGINT) AS duration_ms FROM {media(d, 'played_at')} e GROUP BY {d.day('played_at')}"
+
+
+@plan
+def media_stats_filtered(d):
+    """Statistics of one service within a range of time, by client: what the six reports above look like under filters."""
+    where = media_filter(d, service="spotify", after="2025-11-01 00:00:00", before="2025-11-14 23:59:59")
+    return f"""WITH f AS {media(d, 'client_id, title, artist, played_at', where)}
+        SELECT client_id, count(*) AS total_events, CAST(sum(listen_ms) AS BIGINT) AS listening_ms, count(DISTINCT artist) AS artists, count(DISTINCT {d.day('played_at')}) AS days FROM f GROUP BY client_id"""
+
+
+@plan
+def top_tracks_filtered(d):
+    return _top(d, "title, artist", media_filter(d, service="ytmusic", after="2025-11-01 00:00:00"))
+
+
+#: The period whose taste is described, the one before it, and where the other windows of it begin.
+PERIOD, PREVIOUS, END = "2025-11-01", "2025-10-01", "2025-12-01"
+_TRAILING = (("days30", "2025-11-01"), ("days90", "2025-09-02"), ("days365", "2024-12-01"))
+TOP = 10
+CATEGORIES = ("music", "viewing")
+
+
+def is_music(artist: str = "artist", service: str = "service") -> str:
+    return f"(nullif(trim({artist}), '') IS NOT NULL OR lower({service}) IN ('spotify', 'ytmusic'))"
+
+
+def category(name: str) -> str:
+    """Whether an event counts for a category of taste; a null service is no music service."""
+    music = f"coalesce({is_music()}, false)"
+    watched = "nullif(trim(show_title), '') IS NOT NULL OR season IS NOT NULL OR episode IS NOT NULL OR lower(event_type) IN ('watch', 'watched', 'view', 'viewed', 'complete', 'completed')"
+    return music if name == "music" else f"(NOT {music} AND ({watched}))"
+
+
+def entity(name: str) -> str:
+    return "nullif(trim(artist), '')" if name == "music" else "coalesce(nullif(trim(show_title), ''), nullif(trim(title), ''))"
 
 
 def _windows(d) -> str:
     """Six half-open windows; the range join has these six rows on one side."""
-    rows = [("period", "2025-11-01", "2025-12-01"), ("previous", "2025-10-01", "2025-11-01"), ("week_1", "2025-11-01", "2025-11-08"), ("week_2", "2025-11-08", "2025-11-15"), ("week_3", "2025-11-15", "2025-11-22"), ("all", "2025-01-01", "2026-01-01")]
-    return "(" + " UNION ALL ".join(f"SELECT '{n}' AS win, {d.ts(a + ' 00:00:00')} AS lo, {d.ts(b + ' 00:00:00')} AS hi" for n, a, b in rows) + ")"
+    rows = [("period", PERIOD), ("previous", PREVIOUS), *_TRAILING, ("allTime", "0001-01-01")]
+    return "(" + " UNION ALL ".join(f"SELECT '{n}' AS win, {d.ts(a + ' 00:00:00')} AS lo, {d.ts((PERIOD if n == 'previous' else END) + ' 00:00:00')} AS hi" for n, a in rows) + ")"
+
+
+def _counts(d, name: str) -> str:
+    """Events by window and dimension for one category; every event is one row before anything is counted."""
+    precision = d.json("metadata", "played_precision")
+    approximate = f"({d.has_key('metadata', 'played_precision')} AND coalesce({precision} NOT IN ('exact', 'instant'), false))"
+    return f"""(WITH e AS (SELECT DISTINCT id, service, {entity(name)} AS entity, genres, played_at, {approximate} AS approximate FROM media_events WHERE played_at < {d.ts(END + ' 00:00:00')} AND {category(name)}),
+        w AS (SELECT win, id, service, entity, genres, approximate FROM e JOIN {_windows(d)} t ON e.played_at >= t.lo AND e.played_at < t.hi)
+        SELECT '{name}' AS category, win, dimension, label, n FROM (
+        SELECT win, 'total' AS dimension, 'events' AS label, count(*) AS n FROM w GROUP BY win
+        UNION ALL SELECT win, 'service' AS dimension, service AS label, count(*) AS n FROM w GROUP BY win, service
+        UNION ALL SELECT win, 'entity' AS dimension, entity AS label, count(*) AS n FROM w WHERE entity IS NOT NULL GROUP BY win, entity
+        UNION ALL SELECT win, 'quality' AS dimension, 'missing_entity' AS label, count(*) AS n FROM w WHERE entity IS NULL GROUP BY win
+        UNION ALL SELECT win, 'quality' AS dimension, 'approximate_timestamps' AS label, count(*) AS n FROM w WHERE approximate GROUP BY win
+        UNION ALL SELECT win, 'genre' AS dimension, g AS label, count(DISTINCT id) AS n FROM w {d.unnest('w.genres', 'x', 'g')} WHERE nullif(trim(g), '') IS NOT NULL GROUP BY win, g) f)"""
+
 
+def _taste(d) -> str:
+    return "(" + " UNION ALL ".join(f"SELECT * FROM {_counts(d, name)} {name}" for name in CATEGORIES) + ")"
 
-def _facts(d) -> str:
-    entity = f"CASE WHEN nullif(trim(artist), '') IS NOT NULL THEN trim(artist) ELSE nullif(trim(show_title), '') END"
-    return f"""(WITH e AS (SELECT DISTINCT id, service, {entity} AS entity, genres, played_at, metadata FROM media_events),
-        w AS (SELECT win, id, service, entity, genres, metadata FROM e JOIN {_windows(d)} t ON e.played_at >= t.lo AND e.played_at < t.hi)
-        SELECT win, 'total' AS dimension, '' AS label, id FROM w
-        UNION ALL SELECT win, 'service' AS dimension, service AS label, id FROM w
-        UNION ALL SELECT win, 'entity' AS dimension, entity AS label, id FROM w WHERE entity IS NOT NULL
-        UNION ALL SELECT win, 'missing_entity' AS dimension, '' AS label, id FROM w WHERE entity IS NULL
-        UNION ALL SELECT win, 'approximate_timestamps' AS dimension, '' AS label, id FROM w WHERE {d.has_key('metadata', 'played_bucket')}
-        UNION ALL SELECT win, 'genre' AS dimension, lower(trim(g)) AS label, id FROM w {d.unnest('w.genres', 'x', 'g')} WHERE trim(g) <> '')"""
+
+def _ranked(d) -> str:
+    """The greatest of each window and dimension; totals and warnings are kept whole (two values at most)."""
+    return f"""(SELECT category, win, dimension, label, n, pos FROM (SELECT category, win, dimension, label, n, row_number() OVER (PARTITION BY category, win, dimension ORDER BY n DESC, label) AS pos FROM {_taste(d)} c) r WHERE pos <= {TOP})"""
 
 
 @plan
 def taste_windows(d):
-    return f"SELECT win, dimension, label, count(DISTINCT id) AS n FROM {_facts(d)} f GROUP BY win, dimension, label"
+    return f"SELECT category, win, dimension, label, n FROM {_taste(d)} c"
 
 
 @plan
 def taste_topn(d):
-    return f"""WITH c AS (SELECT win, dimension, label, count(DISTINCT id) AS n FROM {_facts(d)} f GROUP BY win, dimension, label),
-        r AS (SELECT win, dimension, label, n, row_number() OVER (PARTITION BY win, dimension ORDER BY n DESC, label) AS pos FROM c)
-        SELECT win, dimension, label, n, pos FROM r WHERE pos <= 10"""
+    return f"SELECT category, win, dimension, label, n, pos FROM {_ranked(d)} r"
+
+
+def _warnings(d, ranked: str) -> str:
+    return f"""(SELECT category, label || ':' || CAST(n AS {d.text}) AS warning FROM {ranked} q WHERE win = 'period' AND dimension = 'quality' AND n > 0
+        UNION ALL SELECT category, 'single_service' AS warning FROM {ranked} q WHERE win = 'period' AND dimension = 'service' GROUP BY category HAVING count(*) = 1)"""
 
 
 @plan
 def taste_warnings(d):
-    return f"""WITH c AS (SELECT win, dimension, label, count(DISTINCT id) AS n FROM {_facts(d)} f GROUP BY win, dimension, label),
-        t AS (SELECT win, CAST(coalesce(sum(CASE WHEN dimension = 'total' THEN n END), 0) AS BIGINT) AS total, count(CASE WHEN dimension = 'service' THEN 1 END) AS services, CAST(coalesce(sum(CASE WHEN dimension = 'missing_entity' THEN n END), 0) AS BIGINT) AS missing FROM c GROUP BY win)
-        SELECT win, total, services = 1 AS single_service, total < 20 AS sparse, missing * 5 > total AS many_missing FROM t"""
+    """What limits the trust in a period: events without an entity, inexact times, one service only."""
+    return f"WITH r AS {_ranked(d)} SELECT category, warning FROM {_warnings(d, 'r')} w"
+
+
+def clean_label(d, x: str) -> str:
+    """Control characters and white space collapsed, at most 200 characters."""
+    flat = "trim(" + d.replace(x, "[" + chr(92) + "x00-" + chr(92) + "x20" + chr(92) + "x7f]+", " ") + ")"
+    return f"coalesce(nullif(substr({flat}, 1, 200), ''), 'unknown')"
 
 
 @plan
 def taste_trends(d):
-    """Entities whose count and share changed enough between two periods that are both large enough; facts are numbered."""
-    return f"""WITH c AS (SELECT win, dimension, label, count(DISTINCT id) AS n FROM {_facts(d)} f WHERE win IN ('period', 'previous') GROUP BY win, dimension, label),
-        totals AS (SELECT max(CASE WHEN win = 'period' THEN n END) AS now_total, max(CASE WHEN win = 'previous' THEN n END) AS old_total FROM c WHERE dimension = 'total'),
-        e AS (SELECT label, max(CASE WHEN win = 'period' THEN n ELSE 0 END) AS now_n, max(CASE WHEN win = 'previous' THEN n ELSE 0 END) AS old_n FROM c WHERE dimension = 'entity' GROUP BY label),
-        x AS (SELECT label, now_n, old_n, round(now_n / CAST(now_total AS DOUBLE) - old_n / CAST(old_total AS DOUBLE), 6) AS share_change FROM e, totals WHERE now_total >= 20 AND old_total >= 20)
-        SELECT label, now_n, old_n, share_change, 'E' || {d.lpad("row_number() OVER (ORDER BY abs(now_n - old_n) DESC, label)", 3)} AS fact FROM x
-        WHERE abs(now_n - old_n) >= 3 AND abs(share_change) >= 1e-4 ORDER BY abs(now_n - old_n) DESC, label LIMIT 128"""
+    """The evidence of a category's taste as numbered statements, at most 128: totals, services, entities, genres, wider windows, trends, warnings.
+
+    A trend compares entities that are among the greatest of both periods, if both periods are large enough
+    and both the count and the share have changed enough; an entity without an earlier count has no trend.
+    """
+    label = clean_label(d, "label")
+    text = lambda x: f"CAST({x} AS {d.text})"
+    thing = "CASE category WHEN 'music' THEN 'artist' ELSE 'title or show' END"
+    span = "CASE win WHEN 'days30' THEN 'the trailing 30 days' WHEN 'days90' THEN 'the trailing 90 days' WHEN 'days365' THEN 'the trailing 365 days' ELSE 'all recorded time before the period end' END"
+    order = "CASE win WHEN 'days30' THEN 0 WHEN 'days90' THEN 2 WHEN 'days365' THEN 4 ELSE 6 END"
+    month = PERIOD[:7]
+    return f"""WITH r AS {_ranked(d)},
+        every AS (SELECT k.category, t.win, coalesce(max(r.n), 0) AS n FROM (SELECT 'music' AS category UNION ALL SELECT 'viewing' AS category) k CROSS JOIN {_windows(d)} t
+          LEFT JOIN r ON r.category = k.category AND r.win = t.win AND r.dimension = 'total' GROUP BY k.category, t.win),
+        moved AS (SELECT a.category, a.label, a.pos, a.n AS now_n, b.n AS old_n, ta.n AS now_total, tb.n AS old_total FROM r a JOIN r b ON b.category = a.category AND b.dimension = 'entity' AND b.label = a.label AND b.win = 'previous'
+          JOIN every ta ON ta.category = a.category AND ta.win = 'period' JOIN every tb ON tb.category = a.category AND tb.win = 'previous' WHERE a.dimension = 'entity' AND a.win = 'period' AND ta.n >= 20 AND tb.n >= 20),
+        facts AS (
+        SELECT category, 'total' AS kind, 0 AS part, 0 AS place, {text('n')} || ' accepted ' || category || ' events occurred in {month}.' AS statement FROM every WHERE win = 'period'
+        UNION ALL SELECT category, 'service' AS kind, 1 AS part, pos AS place, {label} || ' contributed ' || {text('n')} || ' accepted events in {month}.' AS statement FROM r WHERE win = 'period' AND dimension = 'service'
+        UNION ALL SELECT category, 'entity' AS kind, 2 AS part, pos AS place, {label} || ' had ' || {text('n')} || ' accepted events and is a top ' || {thing} || ' for {month}.' AS statement FROM r WHERE win = 'period' AND dimension = 'entity'
+        UNION ALL SELECT category, 'genre' AS kind, 3 AS part, pos AS place, {label} || ' appeared on ' || {text('n')} || ' accepted events in {month}.' AS statement FROM r WHERE win = 'period' AND dimension = 'genre'
+        UNION ALL SELECT category, 'context' AS kind, 4 AS part, {order} AS place, {text('n')} || ' accepted ' || category || ' events occurred in ' || {span} || '.' AS statement FROM every WHERE win NOT IN ('period', 'previous')
+        UNION ALL SELECT category, 'context' AS kind, 4 AS part, {order} + 1 AS place, {label} || ' was the leading ' || {thing} || ' in ' || {span} || ' with ' || {text('n')} || ' accepted events.' AS statement FROM r WHERE dimension = 'entity' AND pos = 1 AND win NOT IN ('period', 'previous')
+        UNION ALL SELECT category, 'trend' AS kind, 5 AS part, pos AS place, {label} || CASE WHEN now_n > old_n THEN ' increased from ' ELSE ' decreased from ' END || {text('old_n')} || ' of ' || {text('old_total')} || ' accepted events in the previous month to ' || {text('now_n')} || ' of ' || {text('now_total')} || ' in {month}.' AS statement
+          FROM moved WHERE abs(now_n - old_n) >= 3 AND abs(now_n / CAST(now_total AS DOUBLE) - old_n / CAST(old_total AS DOUBLE)) >= 1e-4
+        UNION ALL SELECT category, 'quality' AS kind, 6 AS part, row_number() OVER (PARTITION BY category ORDER BY warning) AS place, 'Quality warning: ' || warning || '.' AS statement FROM {_warnings(d, 'r')} w),
+        numbered AS (SELECT category, kind, statement, row_number() OVER (PARTITION BY category ORDER BY part, place) AS pos FROM facts)
+        SELECT category, 'E' || {d.lpad('pos', 3)} AS fact, kind, statement FROM numbered WHERE pos <= 128"""
 
 
 @plan
@@ -119,36 +209,70 @@ def agent_activity(d):
 
 
 def jobs(d) -> str:
-    """A queue of jobs, one for each record: derived from counters and times."""
-    return f"""(SELECT id AS memory_id, session_id AS document_id, created_at AS accepted_at, abs(access_count) % 6 AS attempts, client_id,
-        CASE abs(access_count) % 7 WHEN 0 THEN 'pending' WHEN 1 THEN 'processing' WHEN 2 THEN 'ready' WHEN 3 THEN 'deduplicated' WHEN 4 THEN 'retry_wait' WHEN 5 THEN 'embedding_failed' ELSE 'cancelled' END AS status,
-        accessed_at AS next_attempt_at, updated_at AS lease_expires_at, embedding_model IS NOT NULL AS inline_ready
-        FROM {memories(d, 'id, session_id, created_at, access_count, client_id, accessed_at, updated_at, embedding_model')} j)"""
+    """A queue of jobs, one for each record: stands in for the queue's own table, derived from counters and times."""
+    return f"""(SELECT id AS memory_id, session_id AS document_id, created_at AS accepted_at, abs(access_count) % 6 AS attempts, client_id, deleted_at, embedding_model IS NOT NULL AS has_vector,
+        CASE abs(access_count) % 8 WHEN 0 THEN 'pending' WHEN 1 THEN 'processing' WHEN 2 THEN 'ready' WHEN 3 THEN 'deduplicated' WHEN 4 THEN 'retry_wait' WHEN 5 THEN 'embedding_failed' WHEN 6 THEN 'cancelled' END AS status,
+        CASE WHEN abs(access_count) % 8 IN (4, 5, 6) THEN CASE revision % 3 WHEN 0 THEN 'rate_limited' WHEN 1 THEN 'transient' ELSE 'input_rejected' END END AS failure_category,
+        accessed_at AS next_attempt_at, updated_at AS lease_expires_at, updated_at AS finalized_at, embedding_model IS NOT NULL AS inline_ready, revision % 2 = 1 AS inline_attempted
+        FROM {memories(d, 'id, session_id, created_at, access_count, client_id, accessed_at, updated_at, embedding_model, deleted_at, revision')} j)"""
+
+
+LIVE = "('pending', 'retry_wait', 'processing')"
 
 
 @plan
 def queue_monitor(d):
-    return f"""SELECT status, count(*) AS depth, min(accepted_at) AS oldest, min(CASE WHEN status = 'retry_wait' THEN next_attempt_at END) AS next_retry, count(DISTINCT CASE WHEN status = 'pending' THEN document_id END) AS pending_documents
-        FROM {jobs(d)} j GROUP BY status"""
+    """Depth of the live states, and failures of live jobs and of those that ended within the last day."""
+    now = d.ts("2026-03-01 00:00:00")
+    return f"""WITH j AS {jobs(d)}, live AS (SELECT * FROM j WHERE status IN {LIVE}),
+        failures AS (SELECT failure_category FROM live WHERE failure_category IS NOT NULL UNION ALL SELECT failure_category FROM j WHERE status IN ('embedding_failed', 'cancelled') AND failure_category IS NOT NULL AND finalized_at >= {d.plus(now, '-1', 'DAY')})
+        SELECT 'depth' AS measure, status AS label, count(*) AS n FROM live GROUP BY status UNION ALL SELECT 'failures' AS measure, failure_category AS label, count(*) AS n FROM failures GROUP BY failure_category"""
+
+
+@plan
+def queue_waiting(d):
+    """How long the oldest live job waits, when the next retry is due and how many documents are pending."""
+    return f"""SELECT ({d.us(d.ts('2026-03-01 00:00:00'))} - {d.us('min(accepted_at)')}) / 1e6 AS oldest_pending_age_seconds, min(CASE WHEN status = 'retry_wait' THEN next_attempt_at END) AS next_retry_at, count(DISTINCT document_id) AS pending_documents
+        FROM {jobs(d)} j WHERE status IN {LIVE}"""
 
 
 @plan
 def queue_history(d):
-    return f"""SELECT {d.day('accepted_at')} AS day, attempts, count(*) AS n, round(count(CASE WHEN inline_ready THEN 1 END) / CAST(nullif(count(*), 0) AS DOUBLE), 6) AS inline_rate
-        FROM {jobs(d)} j GROUP BY {d.day('accepted_at')}, attempts"""
+    """Depth of all states, attempts, and how many of the tried inline jobs were ready at once."""
+    return f"""WITH j AS {jobs(d)} SELECT 'depth' AS measure, status AS label, count(*) AS n, CAST(NULL AS DOUBLE) AS rate FROM j WHERE status IS NOT NULL GROUP BY status
+        UNION ALL SELECT 'attempts' AS measure, CAST(attempts AS {d.text}) AS label, count(*) AS n, CAST(NULL AS DOUBLE) AS rate FROM j GROUP BY attempts
+        UNION ALL SELECT 'inline' AS measure, CAST(NULL AS {d.text}) AS label, count(*) AS n, round(count(CASE WHEN inline_ready THEN 1 END) / CAST(nullif(count(CASE WHEN inline_attempted THEN 1 END), 0) AS DOUBLE), 6) AS rate FROM j"""
+
+
+def document_states(d, jobs_: str) -> str:
+    """States of documents from the states of their parts; a part without a job that has a vector is ready."""
+    return f"""WITH c AS (SELECT document_id, accepted_at, CASE WHEN deleted_at IS NOT NULL OR status = 'cancelled' THEN 'cancelled' WHEN status = 'embedding_failed' THEN 'failed' WHEN status IN ('ready', 'deduplicated') OR (status IS NULL AND has_vector) THEN 'ready' ELSE 'queued' END AS state
+          FROM {jobs_} j WHERE document_id IS NOT NULL),
+        n AS (SELECT document_id, count(*) AS chunk_count, count(CASE WHEN state = 'ready' THEN 1 END) AS ready, count(CASE WHEN state = 'queued' THEN 1 END) AS queued, count(CASE WHEN state = 'failed' THEN 1 END) AS failed, count(CASE WHEN state = 'cancelled' THEN 1 END) AS cancelled, min(CASE WHEN state = 'queued' THEN accepted_at END) AS oldest_queued_at FROM c GROUP BY document_id)
+        SELECT document_id, chunk_count, ready, queued, failed, cancelled, oldest_queued_at, CASE WHEN ready = chunk_count THEN 'ready' WHEN queued = 0 AND failed > 0 THEN 'embedding_failed' ELSE 'queued' END AS state FROM n"""
 
 
 @plan
 def document_state(d):
-    return f"""WITH c AS (SELECT document_id, count(*) AS chunks, count(CASE WHEN status IN ('ready', 'deduplicated') THEN 1 END) AS done, count(CASE WHEN status = 'embedding_failed' THEN 1 END) AS failed,
-          count(CASE WHEN status IN ('pending', 'processing', 'retry_wait') THEN 1 END) AS open FROM {jobs(d)} j WHERE document_id IS NOT NULL GROUP BY document_id)
-        SELECT document_id, chunks, done, failed, open, CASE WHEN done = chunks THEN 'ready' WHEN open > 0 THEN 'processing' WHEN failed > 0 AND done > 0 THEN 'partial' WHEN failed > 0 THEN 'failed' ELSE 'cancelled' END AS state FROM c"""
+    return document_states(d, jobs(d))
+
+
+#: The embedding identity in use.
+_CURRENT = "embedding_provider = 'fernwood' AND embedding_model = 'meadow-base' AND embedding_dimensions = 128"
 
 
 @plan
 def embedding_census(d):
-    return f"""SELECT embedding_provider, embedding_model, embedding_dimensions, count(*) AS n, count(CASE WHEN {active(d)} THEN 1 END) AS live
-        FROM {memories(d, 'id, embedding_provider, embedding_model, embedding_dimensions, deleted_at, expires_at')} m GROUP BY embedding_provider, embedding_model, embedding_dimensions ORDER BY embedding_provider NULLS FIRST, embedding_model NULLS FIRST, embedding_dimensions NULLS FIRST"""
+    return f"""SELECT namespace, embedding_provider, embedding_model, embedding_dimensions, count(*) AS n
+        FROM {memories(d, 'id, namespace, embedding_provider, embedding_model, embedding_dimensions, deleted_at, expires_at')} m WHERE {active(d)} GROUP BY namespace, embedding_provider, embedding_model, embedding_dimensions ORDER BY namespace, embedding_provider NULLS FIRST, embedding_model NULLS FIRST, embedding_dimensions NULLS FIRST"""
+
+
+@plan
+def embedding_retirement(d):
+    """Whether all other identities can be given up: no live record is of another or of an unknown one."""
+    unknown = "coalesce(embedding_provider, '') = '' OR coalesce(embedding_model, '') = '' OR coalesce(embedding_dimensions, 0) = 0"
+    return f"""SELECT count(CASE WHEN {unknown} THEN 1 END) AS unknown_count, count(CASE WHEN {_CURRENT} THEN 1 END) AS current_count, count(CASE WHEN NOT ({unknown}) AND NOT ({_CURRENT}) THEN 1 END) AS legacy_count,
+        count(CASE WHEN {_CURRENT} THEN 1 END) = count(*) AS retirement_ready FROM {memories(d, 'id, embedding_provider, embedding_model, embedding_dimensions, deleted_at, expires_at')} m WHERE {active(d)}"""
 
 
 @plan
@@ -159,7 +283,14 @@ def coverage_status(d):
 
 @plan
 def subscription_summary(d):
-    return f"""SELECT id, {d.listagg('ns', ',', 'ns')} AS namespaces, count(*) AS n_namespaces FROM (SELECT DISTINCT k.id, ns FROM api_keys k {d.unnest('k.namespaces', 'n', 'ns')}) x GROUP BY id"""
+    """Namespaces and deliveries of each subscription; both fan out, so each is reduced to one row before they meet.
+
+    A key stands for a subscription, and its records for deliveries of their job's state.
+    """
+    n = lambda states: f"count(CASE WHEN status IN ({states}) THEN 1 END)"
+    return f"""WITH s AS (SELECT DISTINCT id FROM api_keys), ns AS (SELECT id, {d.listagg('ns', ',', 'ns')} AS namespaces FROM (SELECT DISTINCT k.id, ns FROM api_keys k {d.unnest('k.namespaces', 'n', 'ns')}) x WHERE ns IS NOT NULL GROUP BY id),
+        dl AS (SELECT client_id, {n("'pending', 'processing', 'retry_wait'")} AS pending, {n("'ready', 'deduplicated'")} AS delivered, {n("'embedding_failed'")} AS dead, {n("'cancelled'")} AS cancelled FROM {jobs(d)} j GROUP BY client_id)
+        SELECT s.id, coalesce(ns.namespaces, '') AS namespaces, coalesce(pending, 0) AS pending, coalesce(delivered, 0) AS delivered, coalesce(dead, 0) AS dead, coalesce(cancelled, 0) AS cancelled FROM s LEFT JOIN ns ON ns.id = s.id LEFT JOIN dl ON dl.client_id = s.id"""
 
 
 @plan
@@ -193,10 +324,18 @@ def monthly_spend(d):
     return f"SELECT {d.month('created_at')} AS month, client_id, CAST(sum(abs(access_count) * 150) AS BIGINT) AS micro_usd FROM {memories(d, 'id, client_id, created_at, access_count')} m GROUP BY 1, 2"
 
 
+def duplicate_groups(d, k: int = 200) -> str:
+    """Different events of one identity at one time: the first groups by time, rows that were delivered twice count once."""
+    from lorekeep.plans.lifecycle import IDENTITY_FIELDS, identity
+
+    return f"""WITH e AS (SELECT DISTINCT id, client_id, service, played_at, created_at, {identity(d)} AS identity FROM (SELECT DISTINCT id, client_id, service, service_id, played_at, created_at, {', '.join(IDENTITY_FIELDS)} FROM media_events WHERE client_id IS NOT NULL) x),
+        g AS (SELECT client_id, service, played_at, identity, count(*) AS group_size, min(created_at) AS first_seen FROM e GROUP BY client_id, service, played_at, identity HAVING count(*) > 1)
+        SELECT client_id, service, played_at, identity, group_size, first_seen FROM g ORDER BY played_at NULLS FIRST, client_id, service, identity LIMIT {k}"""
+
+
 @plan
 def event_duplicates(d):
-    return """WITH e AS (SELECT id, client_id, service, service_id, min(created_at) OVER (PARTITION BY client_id, service, service_id, played_at) AS first_seen, count(*) OVER (PARTITION BY client_id, service, service_id, played_at) AS n, played_at FROM media_events WHERE nullif(trim(service_id), '') IS NOT NULL)
-        SELECT client_id, service, service_id, played_at, max(n) AS n, min(first_seen) AS first_seen FROM e WHERE n > 1 GROUP BY client_id, service, service_id, played_at ORDER BY n DESC, client_id, service, service_id, played_at LIMIT 200"""
+    return duplicate_groups(d)
 
 
 @plan
