@@ -11,12 +11,20 @@ from lorekeep.session import checkpointed
 MOST = 20
 
 
-def greedy(pairs: pd.DataFrame, order: dict[str, tuple], most: int = MOST) -> list[list[str]]:
-    """Anchors in order take, in order, every later neighbour that is near all members so far.
+def cluster_of(anchor: str, later: list[str], near: dict[str, set[str]], most: int = MOST) -> tuple[list[str], bool]:
+    """The anchor and, in order, each later neighbour that is near all members so far; with more than ``most`` members it is oversized."""
+    members = [anchor]
+    for x in later:
+        if all(x in near[y] for y in members):
+            members.append(x)
+            if len(members) > most:
+                return members, True
+    return members, False
 
-    An anchor with more than ``most`` candidates (itself included) is oversized and skipped;
-    members of a cluster aren't used again.
-    """
+
+def greedy(pairs: pd.DataFrame, order: dict[str, tuple], most: int = MOST) -> list[list[str]]:
+    """Clusters of anchors in order. An anchor looks at its first ``most`` later neighbours; a member of a cluster is no
+    anchor any more, but may still be a neighbour. Oversized clusters are left out and use up nobody."""
     near: dict[str, set[str]] = {}
     for a, b in zip(pairs["a_id"], pairs["b_id"]):
         near.setdefault(a, set()).add(b)
@@ -26,16 +34,11 @@ def greedy(pairs: pd.DataFrame, order: dict[str, tuple], most: int = MOST) -> li
     for anchor in sorted(near, key=lambda x: order[x]):
         if anchor in used:
             continue
-        later = sorted((x for x in near[anchor] if order[x] > order[anchor]), key=lambda x: order[x])
-        if 1 + len(later) > most:
-            continue
-        cluster = [anchor]
-        for x in later:
-            if x not in used and all(x in near[y] for y in cluster):
-                cluster.append(x)
-        if len(cluster) >= 2:
-            used.update(cluster)
-            out.append(cluster)
+        later = sorted((x for x in near[anchor] if order[x] > order[anchor]), key=lambda x: order[x])[:most]
+        members, oversized = cluster_of(anchor, later, near, most)
+        if len(members) >= 2 and not oversized:
+            used.update(members)
+            out.append(members)
     return out
 
 
@@ -58,17 +61,17 @@ def _connected(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components not settled after {most_rounds} rounds")
 
 
-def complete_link(pairs: DataFrame, records: DataFrame) -> DataFrame:
-    """``namespace, cluster_id, id`` from pairs at or above the threshold and each record's time.
+def complete_link(pairs: DataFrame) -> DataFrame:
+    """``namespace, cluster_id, id`` from pairs at or above the threshold (``namespace, a_id, b_id, a_created_at, b_created_at``).
 
     The greedy pass is sequential by definition, so it runs per connected component of the
     pair graph, which is what its result can depend on; components are small where the
     threshold is high. Empty input gives an empty result.
     """
     parts = _connected(pairs)
-    times = records.select("id", F.unix_micros(F.col("created_at").cast("timestamp")).alias("at"))
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     placed = pairs.join(parts.select(F.col("id").alias("a_id"), "component"), "a_id")
-    placed = placed.join(times.select(F.col("id").alias("a_id"), F.col("at").alias("a_at")), "a_id").join(times.select(F.col("id").alias("b_id"), F.col("at").alias("b_at")), "b_id")
+    placed = placed.select("component", "namespace", "a_id", "b_id", us("a_created_at").alias("a_at"), us("b_created_at").alias("b_at"))
 
     def cluster(group: pd.DataFrame) -> pd.DataFrame:
         order = {i: (t, i) for i, t in zip(group["a_id"], group["a_at"])} | {i: (t, i) for i, t in zip(group["b_id"], group["b_at"])}

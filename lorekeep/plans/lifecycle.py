@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lorekeep.operators import admission, nearpairs
 from lorekeep.plans.dialect import DUCK, SPARK, Plans, active, cosine, memories, run
-from lorekeep.plans.retrieval import IDENTITY, SPACE, usable
+from lorekeep.plans.retrieval import IDENTITY, usable
 from lorekeep.plans.statistics import jobs
 from lorekeep.session import table
 
@@ -137,59 +137,69 @@ def ttl_purge(d):
     return f"""SELECT namespace, count(*) AS purged, min(expires_at) AS oldest, CAST(ceil(count(*) / 5e1) AS BIGINT) AS batches FROM {memories(d, 'id, namespace, expires_at')} m WHERE expires_at <= {d.ts('2026-03-01 00:00:00')} GROUP BY namespace"""
 
 
-def _given_subscriptions(d) -> str:
-    """Standing queries of the given SQL: the first twenty usable vectors of a space."""
-    return f"(SELECT id AS subscription_id, embedding AS qv, client_id AS owner, created_at AS since, namespace AS ns FROM (SELECT DISTINCT id, embedding, embedding_provider, embedding_model, embedding_dimensions, client_id, created_at, namespace FROM memories) p WHERE {SPACE} AND {usable(d)} ORDER BY id LIMIT 20)"
+def subscribed(d) -> str:
+    """About every fiftieth record stands for a standing query, by a digest of its id."""
+    return "CAST(conv(substr(sha2(id, 256), 1, 8), 16, 10) AS BIGINT) % 50 = 0" if d.name == "spark" else "CAST('0x' || substr(sha256(id), 1, 8) AS BIGINT) % 50 = 0"
 
 
-def _given_matches(d) -> str:
-    cols = "id, namespace, client_id, session_id, embedding, embedding_provider, embedding_model, embedding_dimensions, created_at, deleted_at, expires_at"
-    return f"""(SELECT s.subscription_id, m.id AS memory_id, m.session_id, s.since, m.created_at, {cosine(d, 'm.embedding', 's.qv')} AS sim FROM {memories(d, cols)} m JOIN {_given_subscriptions(d)} s ON m.id <> s.subscription_id
-        WHERE {SPACE} AND {usable(d)} AND {active(d)} AND {cosine(d, 'm.embedding', 's.qv')} >= 8e-1)"""
+#: The most standing queries that one record is delivered to; one more is reported as cut.
+MOST_MATCHES = 100
+LEAST = 0.8
+_STANDING = "client_id, namespace, session_id, created_at, threshold, exclude_self, live, shown"
 
 
-def _given_subscription_match(d):
-    return f"""WITH r AS (SELECT subscription_id, memory_id, sim, row_number() OVER (PARTITION BY subscription_id ORDER BY sim DESC, memory_id) AS pos FROM {_given_matches(d)} x) SELECT subscription_id, memory_id, round(sim, 6) AS sim, pos FROM r WHERE pos <= 100"""
+def _standing(d) -> str:
+    """Records with the threshold and the self-exclusion that they have as standing queries of their owner."""
+    return f"""SELECT DISTINCT id, embedding, {', '.join(IDENTITY)}, client_id, namespace, session_id, created_at, 8e-1 + (revision % 3) * 5e-2 AS threshold, revision % 2 = 1 AS exclude_self,
+        {active(d)} AS live, {active(d)} AND coalesce(access_level, 'normal') = 'normal' AS shown FROM memories m WHERE {usable(d)}"""
 
 
-def _given_subscription_truncated(d):
-    return f"SELECT subscription_id, count(*) AS n, count(*) > 100 AS truncated FROM {_given_matches(d)} x GROUP BY subscription_id"
+def _received(near: str) -> str:
+    """What an enabled key's standing queries receive: records of its own namespaces, at or above their threshold, on request not its own."""
+    return f"""(SELECT a_id AS subscription_id, b_id AS memory_id, b_session_id AS session_id, b_namespace AS namespace, a_created_at AS since, b_created_at AS created_at, sim FROM {near} x JOIN api_keys k ON k.id = x.a_client_id
+        WHERE k.enabled AND array_contains(k.namespaces, x.b_namespace) AND x.a_live AND x.b_shown AND sim >= a_threshold AND (NOT a_exclude_self OR x.b_client_id <> x.a_client_id))"""
 
 
-def _given_subscription_match_chunks(d):
-    """Parts match for their session, which counts once with its best part, if the query is older."""
-    return f"SELECT subscription_id, session_id, round(max(sim), 6) AS sim FROM {_given_matches(d)} x WHERE session_id IS NOT NULL AND since < created_at GROUP BY subscription_id, session_id"
+def _near_standing() -> str:
+    names = ["id", *_STANDING.split(", ")]
+    both = ", ".join(f"{t}.{c} AS {t}_{c}" for t in "ab" for c in names)
+    sim = f"round({cosine(DUCK, 'a.embedding', 'b.embedding')}, 12)"
+    return f"(WITH r AS ({_standing(DUCK)}) SELECT {both}, {sim} AS sim FROM (SELECT * FROM r WHERE {subscribed(DUCK)}) a JOIN r b ON {' AND '.join(f'a.{c} = b.{c}' for c in IDENTITY)} AND a.id <> b.id WHERE {sim} >= {LEAST})"
 
 
-#: About every fiftieth record is a standing query, by a digest of its id.
-SUBSCRIBED = "CAST(conv(substr(sha2(id, 256), 1, 8), 16, 10) AS BIGINT) % 50 = 0"
+def _matched(name: str, sql: str) -> None:
+    """A query over what standing queries receive, in both engines."""
 
+    def query(spark, sf_dir):
+        view = f"lorekeep_standing_{name}"
+        rows = run(spark, sf_dir, f"SELECT id, embedding, {', '.join(IDENTITY)}, {_STANDING} FROM ({_standing(SPARK)}) s WHERE live OR {subscribed(SPARK)}")
+        nearpairs.near_pairs(rows, IDENTITY, LEAST, subscribed(SPARK)).createOrReplaceTempView(view)
+        return run(spark, sf_dir, sql.format(received=_received(view), pending=_pending(SPARK), sessions=_sessions(SPARK)))
 
-def matches(spark, sf_dir):
-    """``a_`` of each standing query, ``b_`` of each live record of its embedding identity that it matches."""
-    records = run(spark, sf_dir, f"""SELECT id, embedding, {', '.join(IDENTITY)}, session_id, created_at, {active(SPARK)} AS live
-        FROM memories m WHERE {usable(SPARK)} AND ({active(SPARK)} OR {SUBSCRIBED})""")
-    return nearpairs.near_pairs(records, IDENTITY, 0.8, SUBSCRIBED).where("b_live")
+    plan.direct(name, query, sql.format(received=_received(_near_standing()), pending=_pending(DUCK), sessions=_sessions(DUCK)))
 
 
-def subscription_match(spark, sf_dir):
-    return spark.sql("""WITH r AS (SELECT a_id AS subscription_id, b_id AS memory_id, sim, row_number() OVER (PARTITION BY a_id ORDER BY sim DESC, b_id) AS pos FROM {near} x)
-        SELECT subscription_id, memory_id, round(sim, 6) AS sim, pos FROM r WHERE pos <= 100""", near=matches(spark, sf_dir))
+def _pending(d) -> str:
+    """When the first standing query without a vector began to wait, by owner, namespace and self-exclusion (at most one row each)."""
+    return f"""(SELECT k.id AS owner, ns AS namespace, exclude_self, min(created_at) AS since FROM (SELECT DISTINCT id, client_id, created_at, revision % 2 = 1 AS exclude_self FROM memories m WHERE embedding IS NULL AND {active(d)} AND {subscribed(d)}) s
+        JOIN (SELECT k.id, ns FROM api_keys k {d.unnest('k.namespaces', 'n', 'ns')} WHERE k.enabled) k ON k.id = s.client_id GROUP BY k.id, ns, exclude_self)"""
 
 
-def subscription_truncated(spark, sf_dir):
-    return spark.sql("SELECT a_id AS subscription_id, count(*) AS n, count(*) > 100 AS truncated FROM {near} x GROUP BY a_id", near=matches(spark, sf_dir))
+def _sessions(d) -> str:
+    return f"""(SELECT session_id, min(namespace) AS namespace, min(client_id) AS client_id, max(created_at) AS inserted_at FROM {memories(d, 'id, session_id, namespace, client_id, created_at, deleted_at, expires_at')} m WHERE session_id IS NOT NULL AND {active(d)} GROUP BY session_id)"""
 
 
-def subscription_match_chunks(spark, sf_dir):
-    """Parts match for their session, which counts once with its best part, if the query is older."""
-    return spark.sql("""SELECT a_id AS subscription_id, b_session_id AS session_id, round(max(sim), 6) AS sim FROM {near} x
-        WHERE b_session_id IS NOT NULL AND a_created_at < b_created_at GROUP BY a_id, b_session_id""", near=matches(spark, sf_dir))
+# the hundred standing queries that come closest to a record, which is when it is delivered to them
+_matched("subscription_match", f"""WITH r AS (SELECT subscription_id, memory_id, sim, row_number() OVER (PARTITION BY memory_id ORDER BY sim DESC, subscription_id) AS pos FROM {{received}} x) SELECT subscription_id, memory_id, round(sim, 6) AS sim, pos FROM r WHERE pos <= {MOST_MATCHES}""")
 
+# records that more standing queries match than are delivered to
+_matched("subscription_truncated", f"SELECT memory_id, namespace, count(*) AS n, count(*) > {MOST_MATCHES} AS truncated FROM {{received}} x GROUP BY memory_id, namespace")
 
-plan.direct("subscription_match", subscription_match, _given_subscription_match(DUCK))
-plan.direct("subscription_truncated", subscription_truncated, _given_subscription_truncated(DUCK))
-plan.direct("subscription_match_chunks", subscription_match_chunks, _given_subscription_match_chunks(DUCK))
+# parts match for their session, which counts once with its best part and only for older queries; a session waits while an older query that could receive it has no vector
+_matched("subscription_match_chunks", f"""WITH waiting AS (SELECT DISTINCT s.session_id FROM {{sessions}} s JOIN {{pending}} p ON p.namespace = s.namespace AND p.since < s.inserted_at AND (NOT p.exclude_self OR p.owner <> s.client_id)),
+        best AS (SELECT x.subscription_id, x.session_id, max(x.sim) AS sim FROM {{received}} x JOIN {{sessions}} s ON s.session_id = x.session_id AND x.since < s.inserted_at LEFT JOIN waiting w ON w.session_id = x.session_id WHERE w.session_id IS NULL GROUP BY x.subscription_id, x.session_id),
+        r AS (SELECT subscription_id, session_id, sim, row_number() OVER (PARTITION BY session_id ORDER BY sim DESC, subscription_id) AS pos FROM best)
+        SELECT subscription_id, session_id, round(sim, 6) AS sim, pos FROM r WHERE pos <= {MOST_MATCHES}""")
 
 
 @plan

@@ -1,14 +1,14 @@
 """Similarity joins, duplicates and clusters of the reference's own kind, windows and graphs (2.6, 2.7).
 
 Pairs are only formed within an equality block (namespace, level, embedding identity), never
-across the table. The SQL counterparts of the pair queries are as given: they also ask for equal
-client and kind and know one identity, so they hold a part of the pairs only.
+across the table. Spark finds them with matrix products over parts of a block; the SQL
+counterparts join the block with itself, which small tables allow.
 """
 
 from __future__ import annotations
 
-from lorekeep.operators import clustering, graph, nearpairs
-from lorekeep.plans.dialect import DUCK, SPARK, Plans, active, cosine, memories, run
+from lorekeep.operators import chunks, clustering, graph, nearpairs
+from lorekeep.plans.dialect import DUCK, SPARK, Plans, active, cosine, decay, memories, run
 from lorekeep.plans.retrieval import IDENTITY, SPACE, usable
 from lorekeep.plans.visibility import series
 from lorekeep.session import checkpointed, table
@@ -16,118 +16,121 @@ from lorekeep.session import checkpointed, table
 plan = Plans()
 QUERIES, ORACLE = plan.QUERIES, plan.ORACLE
 
-_V = "id, namespace, access_level, client_id, memory_kind, embedding, embedding_provider, embedding_model, embedding_dimensions, relevance_score, created_at, deleted_at, expires_at, tags, content, revision"
-_BLOCK = "b.namespace = a.namespace AND coalesce(b.access_level, 'normal') = coalesce(a.access_level, 'normal') AND b.client_id = a.client_id AND b.memory_kind = a.memory_kind"
+_NOW = "2026-03-01 00:00:00"
+#: Parts of documents and episodes are no duplicates of a record.
+_WHOLE = "coalesce(memory_kind, '') NOT IN ('document_chunk', 'episode_chunk')"
+#: Cosines that count as a duplicate, as worth a contradiction check, and as the same insight.
+DUPLICATE, CONTRADICTION, CONSOLIDATION = 0.95, 0.85, 0.92
 
 
-def vectors(d, more: str = "1 = 1") -> str:
-    return f"(SELECT {_V} FROM {memories(d, _V)} v WHERE {SPACE} AND {usable(d)} AND {active(d)} AND {more})"
+def current(d) -> str:
+    """Neither superseded nor not yet valid, nor a copy that another record of its content stands for."""
+    return f"(valid_to IS NULL AND (valid_from IS NULL OR valid_from <= {d.ts(_NOW)}) AND NOT consolidated)"
 
 
-def pairs(d, least: str) -> str:
-    return f"""(SELECT a.namespace, a.id AS a_id, b.id AS b_id, {cosine(d, 'a.embedding', 'b.embedding')} AS sim, a.created_at AS a_at, b.created_at AS b_at, b.relevance_score AS b_relevance
-        FROM {vectors(d)} a JOIN {vectors(d)} b ON {_BLOCK} AND a.id <> b.id WHERE {cosine(d, 'a.embedding', 'b.embedding')} >= {least})"""
+def records(d) -> str:
+    """Live records with a usable vector, each once, with what decides who may take part.
 
+    A record without a source key belongs to no series, so nothing supersedes it.
+    ``duplicates`` may be the target of a store-time duplicate, ``insights`` take part in consolidation and
+    ``claims`` can be contradicted.
+    """
+    columns = "id, namespace, access_level, memory_kind, source_key, session_id, content, embedding, embedding_provider, embedding_model, embedding_dimensions, created_at, deleted_at, expires_at, valid_from, relevance_base_score, decay_rate, accessed_at, access_count"
+    copies = "PARTITION BY namespace, " + d.sha("coalesce(content, '')") + " ORDER BY id"
+    return f"""(WITH once AS (SELECT DISTINCT {columns} FROM memories m WHERE {active(d)}), s AS (SELECT id, valid_to FROM {series(d)} v),
+        c AS (SELECT id, lag(id) OVER ({copies}) IS NOT NULL AS consolidated FROM once WHERE content IS NOT NULL AND source_key IS NULL),
+        m AS (SELECT once.*, CASE WHEN source_key IS NOT NULL THEN s.valid_to END AS valid_to, coalesce(c.consolidated, false) AS consolidated FROM once JOIN s ON s.id = once.id LEFT JOIN c ON c.id = once.id WHERE {usable(d)})
+        SELECT id, namespace, coalesce(access_level, 'normal') AS level, embedding, {', '.join(IDENTITY)}, created_at, session_id, {decay(d)} AS relevance,
+          source_key IS NULL AND expires_at IS NULL AND {current(d)} AND {_WHOLE} AS duplicates,
+          access_level = 'normal' AND memory_kind = 'semantic' AND {current(d)} AND source_key IS NULL AS insights,
+          access_level = 'normal' AND memory_kind = 'semantic' AND {current(d)} AS claims FROM m)"""
 
-#: Parts of documents and episodes are no duplicates of a record.
-_WHOLE = "coalesce({}, '') NOT IN ('document_chunk', 'episode_chunk')"
-#: Consolidation doesn't mix kinds.
-_KIND = ["kind"]
 
+_BLOCK = ["namespace", "level", *IDENTITY]
 
-def near(spark, sf_dir, least: float, more: str, also: list[str] = ()):
-    """``a_<column>, b_<column>, sim`` of near live records of a namespace, level and identity, all identities and clients, in both directions."""
-    more = "" if more == "id" else f", {more}"
-    records = run(spark, sf_dir, f"""SELECT id, embedding, namespace, coalesce(access_level, 'normal') AS level, coalesce(memory_kind, '') AS kind, {', '.join(IDENTITY)}{more}
-        FROM memories m WHERE {usable(SPARK)} AND {active(SPARK)}""")
-    return nearpairs.near_pairs(records if also else records.drop("kind"), ["namespace", "level", *IDENTITY, *also], least)
 
+def near(spark, sf_dir, least: float, columns: str, only: str = "true", asks: str = "true"):
+    """``a_<column>, b_<column>, sim`` of near records of a namespace, level and identity, in both directions."""
+    rows = run(spark, sf_dir, f"SELECT id, embedding, {', '.join(_BLOCK)}, {columns} FROM {records(SPARK)} r WHERE {only}")
+    return nearpairs.near_pairs(rows, _BLOCK, least, asks)
 
-def _given_nearest_duplicate(d):
-    """The best earlier record of the same namespace, level and identity, if it is similar enough."""
-    return f"""WITH p AS (SELECT a_id, b_id, sim, row_number() OVER (PARTITION BY a_id ORDER BY sim DESC, b_relevance DESC, b_at, b_id) AS pos FROM {pairs(d, '95e-2')} p WHERE b_at < a_at)
-        SELECT a_id, b_id, round(sim, 6) AS sim FROM p WHERE pos = 1"""
 
+def near_sql(least: float, columns: str, only: str = "true") -> str:
+    """The same as a join of each block with itself."""
+    names = ["id", *columns.split(", ")]
+    sim = f"round({cosine(DUCK, 'a.embedding', 'b.embedding')}, 12)"
+    both = ", ".join(f"{t}.{c} AS {t}_{c}" for t in "ab" for c in names)
+    return f"""(WITH r AS (SELECT * FROM {records(DUCK)} r WHERE {only}) SELECT a.namespace, {both}, {sim} AS sim FROM r a JOIN r b ON {' AND '.join(f'b.{c} = a.{c}' for c in _BLOCK)} AND b.id <> a.id WHERE {sim} >= {least})"""
 
-def nearest_duplicate(spark, sf_dir):
-    """The best earlier record of the same namespace, level and identity, if it is similar enough."""
-    return spark.sql(f"""WITH p AS (SELECT a_id, b_id, sim, row_number() OVER (PARTITION BY a_id ORDER BY sim DESC, b_relevance_score DESC, b_created_at, b_id) AS pos FROM {{near}} p WHERE b_created_at < a_created_at AND {_WHOLE.format('b_memory_kind')})
-        SELECT a_id, b_id, round(sim, 6) AS sim FROM p WHERE pos = 1""", near=near(spark, sf_dir, 0.95, "memory_kind, relevance_score, created_at"))
 
+def _pairs(name: str, sql: str, least: float, columns: str, only: str = "true") -> None:
+    """A query over near pairs, in both engines."""
 
-plan.direct("nearest_duplicate", nearest_duplicate, _given_nearest_duplicate(DUCK))
+    def query(spark, sf_dir):
+        near(spark, sf_dir, least, columns, only).createOrReplaceTempView(f"lorekeep_near_{name}")
+        return spark.sql(sql.format(near=f"lorekeep_near_{name}"))
 
+    query.__name__ = name
+    globals()[name] = query
+    plan.direct(name, query, sql.format(near=near_sql(least, columns, only)))
 
-@plan
-def tag_union(d):
-    """Tags of a record and of its exact copy in order of first sight."""
-    return f"""WITH m AS {memories(d, 'id, namespace, content, tags')}, c AS (SELECT namespace, content, min(id) AS first_id FROM m WHERE content IS NOT NULL GROUP BY namespace, content HAVING count(*) > 1)
-        SELECT m.id, {d.union_tags('k.tags', 'm.tags')} AS tags FROM c JOIN m k ON k.id = c.first_id JOIN m ON m.namespace = c.namespace AND m.content = c.content AND m.id <> c.first_id"""
 
+# the stored record that an incoming one repeats: the most similar, then the most relevant, then the oldest
+_pairs("nearest_duplicate", """WITH p AS (SELECT a_id, b_id, sim, row_number() OVER (PARTITION BY a_id ORDER BY sim DESC, b_relevance DESC, b_created_at, b_id) AS pos FROM {near} p WHERE b_duplicates)
+        SELECT a_id, b_id, round(sim, 6) AS sim FROM p WHERE pos = 1""", DUPLICATE, "duplicates, relevance, created_at")
 
-def _given_chunk_duplicate(d):
-    """Sessions whose parts come closest to each other: greatest similarity over parts."""
-    return f"""WITH s AS (SELECT DISTINCT id, session_id FROM memories WHERE session_id IS NOT NULL)
-        SELECT x.session_id AS a_session, y.session_id AS b_session, round(max(p.sim), 6) AS sim FROM {pairs(d, '9e-1')} p JOIN s x ON x.id = p.a_id JOIN s y ON y.id = p.b_id WHERE x.session_id < y.session_id GROUP BY x.session_id, y.session_id"""
+# the five claims that come closest to a record of any kind
+_pairs("contradiction_candidates", """WITH p AS (SELECT a_id, b_id, sim, row_number() OVER (PARTITION BY a_id ORDER BY sim DESC, b_id) AS pos FROM {near} p WHERE b_claims)
+        SELECT a_id, b_id, round(sim, 6) AS sim, pos FROM p WHERE pos <= 5""", CONTRADICTION, "claims")
 
+# neighbours that come after their anchor in order; the anchor itself is the first of at most 21
+_pairs("similar_pairs", """WITH p AS (SELECT a_id, b_id, sim, 1 + row_number() OVER (PARTITION BY a_id ORDER BY b_created_at, b_id) AS pos FROM {near} p WHERE b_created_at > a_created_at OR (b_created_at = a_created_at AND b_id > a_id))
+        SELECT a_id, b_id, round(sim, 6) AS sim, pos FROM p WHERE pos <= 21""", CONSOLIDATION, "created_at", "insights")
 
-def chunk_duplicate(spark, sf_dir):
-    """Sessions whose parts come closest to each other: greatest similarity over parts."""
-    return spark.sql(f"""SELECT a_session_id AS a_session, b_session_id AS b_session, round(max(sim), 6) AS sim FROM {{near}} p
-        WHERE a_session_id < b_session_id AND {_WHOLE.format('a_memory_kind')} AND {_WHOLE.format('b_memory_kind')} GROUP BY a_session_id, b_session_id""", near=near(spark, sf_dir, 0.9, "memory_kind, session_id"))
+_pairs("pairwise_sim", "SELECT namespace, a_id, b_id, round(sim, 6) AS sim FROM {near} p WHERE a_id < b_id", CONSOLIDATION, "created_at", "insights")
 
 
-plan.direct("chunk_duplicate", chunk_duplicate, _given_chunk_duplicate(DUCK))
+def _session_chunks(spark, sf_dir):
+    """Records of a session as the parts of a document: parents, their manifests and their chunks, from the input tables."""
+    rows = run(spark, sf_dir, f"""SELECT session_id, id, content, embedding, access_level, namespace, revision, created_at, {active(SPARK)} AS live, {usable(SPARK)} AND {SPACE} AS has_vector
+        FROM {memories(SPARK, 'session_id, id, content, embedding, embedding_provider, embedding_model, embedding_dimensions, access_level, namespace, revision, created_at, deleted_at, expires_at')} m WHERE session_id IS NOT NULL""")
+    return chunks.from_parts(rows.where("live"), "session_id")
 
 
-def _given_contradiction_candidates(d):
-    return f"""WITH p AS (SELECT a_id, b_id, sim, row_number() OVER (PARTITION BY a_id ORDER BY sim DESC, b_id) AS pos FROM {pairs(d, '85e-2')} p) SELECT a_id, b_id, round(sim, 6) AS sim, pos FROM p WHERE pos <= 5"""
+def chunk_duplicate(spark, sf_dir):
+    """Documents that repeat another: one chunk each and near enough, or the same source."""
+    parents, manifests, parts = _session_chunks(spark, sf_dir)
+    return chunks.duplicates(parents, manifests, parts, DUPLICATE)
 
 
-def contradiction_candidates(spark, sf_dir):
-    """The five semantic records that come closest to a record of any kind."""
-    return spark.sql("""WITH p AS (SELECT a_id, b_id, sim, row_number() OVER (PARTITION BY a_id ORDER BY sim DESC, b_id) AS pos FROM {near} p WHERE b_memory_kind = 'semantic')
-        SELECT a_id, b_id, round(sim, 6) AS sim, pos FROM p WHERE pos <= 5""", near=near(spark, sf_dir, 0.85, "memory_kind"))
+_PARTS = f"""parts AS (SELECT session_id, id, namespace, coalesce(content, '') AS content, embedding, {active(DUCK)} AS live, {usable(DUCK)} AND {SPACE} AS has_vector, row_number() OVER (PARTITION BY session_id ORDER BY created_at, id) - 1 AS ordinal
+        FROM {memories(DUCK, 'session_id, id, content, namespace, embedding, embedding_provider, embedding_model, embedding_dimensions, created_at, deleted_at, expires_at')} m WHERE session_id IS NOT NULL AND {active(DUCK)}),
+        docs AS (SELECT session_id AS id, min(namespace) AS namespace, count(*) AS chunk_count, bool_and(coalesce(has_vector, false)) AS complete, {DUCK.sha("string_agg(content, chr(10) ORDER BY ordinal)")} AS source_sha256 FROM parts GROUP BY session_id)"""
+plan.direct("chunk_duplicate", chunk_duplicate, f"""WITH {_PARTS}, ok AS (SELECT * FROM docs WHERE complete), v AS (SELECT k.id, k.namespace, k.chunk_count, k.source_sha256, p.embedding FROM ok k JOIN parts p ON p.session_id = k.id)
+        SELECT a.id AS a_id, b.id AS b_id, round(max({cosine(DUCK, 'a.embedding', 'b.embedding')}), 6) AS sim FROM v a JOIN v b ON b.namespace = a.namespace AND a.id <> b.id AND ((a.chunk_count = 1 AND b.chunk_count = 1) OR a.source_sha256 = b.source_sha256)
+        GROUP BY a.id, b.id HAVING round(max({cosine(DUCK, 'a.embedding', 'b.embedding')}), 12) >= {DUPLICATE}""")
 
 
-plan.direct("contradiction_candidates", contradiction_candidates, _given_contradiction_candidates(DUCK))
+@plan
+def tag_union(d):
+    """Tags of a record and of its exact copy in order of first sight."""
+    return f"""WITH m AS {memories(d, 'id, namespace, content, tags')}, c AS (SELECT namespace, content, min(id) AS first_id FROM m WHERE content IS NOT NULL GROUP BY namespace, content HAVING count(*) > 1)
+        SELECT m.id, {d.union_tags('k.tags', 'm.tags')} AS tags FROM c JOIN m k ON k.id = c.first_id JOIN m ON m.namespace = c.namespace AND m.content = c.content AND m.id <> c.first_id"""
 
 
 @plan
 def anchors_page(d):
+    """The next anchors of consolidation after a cursor of time and id."""
     at = d.ts("2025-06-01 00:00:00")
-    return f"SELECT id, created_at FROM {vectors(d)} m WHERE created_at > {at} OR (created_at = {at} AND id > '0') ORDER BY created_at, id LIMIT 200"
-
-
-def _given_similar_pairs(d):
-    """Neighbours that come at or after their anchor, the first 21 of each."""
-    return f"""WITH p AS (SELECT a_id, b_id, sim, row_number() OVER (PARTITION BY a_id ORDER BY b_at, b_id) AS pos FROM {pairs(d, '9e-1')} p WHERE b_at > a_at OR (b_at = a_at AND b_id > a_id)) SELECT a_id, b_id, round(sim, 6) AS sim FROM p WHERE pos <= 20"""
-
-
-def similar_pairs(spark, sf_dir):
-    """Neighbours that come at or after their anchor, the first 20 of each."""
-    return spark.sql("""WITH p AS (SELECT a_id, b_id, sim, row_number() OVER (PARTITION BY a_id ORDER BY b_created_at, b_id) AS pos FROM {near} p WHERE b_created_at > a_created_at OR (b_created_at = a_created_at AND b_id > a_id))
-        SELECT a_id, b_id, round(sim, 6) AS sim FROM p WHERE pos <= 20""", near=near(spark, sf_dir, 0.9, "created_at", _KIND))
-
-
-plan.direct("similar_pairs", similar_pairs, _given_similar_pairs(DUCK))
-
-
-def _given_pairwise_sim(d):
-    return f"SELECT namespace, a_id, b_id, round(sim, 6) AS sim FROM {pairs(d, '92e-2')} p WHERE a_id < b_id"
-
-
-def pairwise_sim(spark, sf_dir):
-    return near(spark, sf_dir, 0.92, "id", _KIND).where("a_id < b_id").selectExpr("namespace", "a_id", "b_id", "round(sim, 6) AS sim")
-
-
-plan.direct("pairwise_sim", pairwise_sim, _given_pairwise_sim(DUCK))
+    return f"SELECT id, created_at FROM {records(d)} m WHERE insights AND (created_at > {at} OR (created_at = {at} AND id > '0')) ORDER BY created_at, id LIMIT 200"
 
 
 @plan
 def embedding_readiness(d):
-    return f"""SELECT namespace, count(*) AS records, count(CASE WHEN {SPACE} THEN 1 END) AS eligible, count(CASE WHEN embedding_model IS NULL THEN 1 END) AS unknown, count(CASE WHEN embedding_model IS NOT NULL AND NOT ({SPACE}) THEN 1 END) AS foreign_space
-        FROM {memories(d, 'id, namespace, embedding_provider, embedding_model, embedding_dimensions, deleted_at, expires_at')} m WHERE {active(d)} GROUP BY namespace"""
+    """How many live records could be consolidated, and how many have an unknown or another embedding identity."""
+    unknown = "embedding IS NULL OR embedding_provider IS NULL OR embedding_model IS NULL OR embedding_dimensions IS NULL"
+    return f"""SELECT namespace, count(*) AS records, count(CASE WHEN embedding IS NOT NULL AND {SPACE} THEN 1 END) AS eligible, count(CASE WHEN {unknown} THEN 1 END) AS unknown, count(CASE WHEN NOT ({unknown}) AND NOT ({SPACE}) THEN 1 END) AS foreign_space
+        FROM {memories(d, 'id, namespace, embedding, embedding_provider, embedding_model, embedding_dimensions, access_level, memory_kind, source_key, deleted_at, expires_at')} m WHERE {active(d)} AND access_level = 'normal' AND memory_kind = 'semantic' AND source_key IS NULL GROUP BY namespace"""
 
 
 @plan
@@ -139,7 +142,13 @@ def cluster_key(d):
 
 @plan
 def canonical_tags(d):
-    return f"SELECT id, {d.sorted_distinct('tags')} AS tags FROM {memories(d, 'id, tags')} m"
+    """At most 99 different tags in order, and the mark of a consolidated record, put in order with them."""
+    mark = "'consolidated'"
+    if d.name == "spark":
+        tags = f"array_sort(array_union(slice(array_sort(array_remove(array_distinct(tags), {mark})), 1, 99), array({mark})))"
+    else:
+        tags = f"list_sort(list_append(list_sort(list_filter(list_distinct(tags), lambda x: x <> {mark}))[1:99], {mark}))"
+    return f"SELECT id, {d.join(tags, ',')} AS tags FROM {memories(d, 'id, tags')} m WHERE tags IS NOT NULL"
 
 
 @plan
@@ -155,25 +164,22 @@ def content_identity(d):
     return f"SELECT namespace, {d.sha('lower(trim(' + d.replace('content', '[ ' + chr(92) + 't' + chr(92) + 'r' + chr(92) + 'n]+', ' ') + '))')} AS identity, count(*) AS n, min(id) AS first_id FROM {memories(d, 'id, namespace, content')} m WHERE content IS NOT NULL GROUP BY 1, 2"
 
 
-def _cluster_pairs(spark, sf_dir):
-    return checkpointed(near(spark, sf_dir, 0.85, "id", _KIND).where("a_id < b_id").select("namespace", "a_id", "b_id", "sim"))
-
-
-def _clusters(spark, sf_dir, similar):
-    return clustering.complete_link(similar, run(spark, sf_dir, f"SELECT id, created_at FROM {memories(SPARK, 'id, created_at')} m"))
+def _insight_pairs(spark, sf_dir):
+    return checkpointed(near(spark, sf_dir, CONSOLIDATION, "created_at", "insights").where("a_id < b_id").selectExpr("namespace", "a_id", "b_id", "a_created_at", "b_created_at", "sim"))
 
 
 def complete_link_clusters(spark, sf_dir):
-    return _clusters(spark, sf_dir, _cluster_pairs(spark, sf_dir))
+    return clustering.complete_link(_insight_pairs(spark, sf_dir))
 
 
+#: Anchors with one later neighbour, or two that are near each other, can be told by SQL; where these are all, they are the result.
 plan.direct("complete_link_clusters", complete_link_clusters)
 
 
 def cluster_violations(spark, sf_dir):
-    """Pairs within a cluster that are below the threshold: there must be none."""
-    similar = _cluster_pairs(spark, sf_dir)
-    return clustering.violations(_clusters(spark, sf_dir, similar), similar)
+    """Clusters of which some pair is below the threshold: there must be none, whatever number of clusters there is."""
+    similar = _insight_pairs(spark, sf_dir)
+    return clustering.violations(clustering.complete_link(similar), similar)
 
 
 plan.direct("cluster_violations", cluster_violations, "SELECT CAST(0 AS BIGINT) AS violations")
