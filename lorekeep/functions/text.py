@@ -1,4 +1,4 @@
-"""Text pieces that have no built-in: chunkers, stems, cover density, fuzzy times, sanitised addresses.
+"""Text pieces that have no built-in: chunkers, stems, cover density, fuzzy times.
 
 All are plain functions of one value, wrapped as Arrow UDFs where a frame needs them.
 """
@@ -8,103 +8,157 @@ from __future__ import annotations
 import calendar
 import datetime as dt
 import hashlib
-import ipaddress
+import hmac
 import json
+import math
 import re
 import unicodedata
-from collections.abc import Iterator
-from urllib.parse import urlsplit
+from collections import Counter
+from collections.abc import Callable, Iterator
 
-_BOUNDARY = re.compile(r"(?:\r?\n)[ \t]*(?:\r?\n)+|(?<=\n)(?=#{1,6} )")
+#: A segment begins after two or more line ends with nothing but blanks between them, and at a heading.
+_BOUNDARY = re.compile(r"(?:\r?\n[ \t]*){2,}|^(?=#{1,6}[ \t])", re.M)
 
 
 def lossless_chunks(text: str, most_bytes: int = 2000) -> list[str]:
-    """Pieces that join to the text again, cut at blank lines and headings, each within the bytes; longer blocks are cut by code point."""
-    blocks, last = [], 0
-    for m in _BOUNDARY.finditer(text):
-        if m.end() > last:
-            blocks.append(text[last : m.end()])
-            last = m.end()
-    blocks.append(text[last:])
-    out, held, size = [], [], 0
-    for block in blocks:
-        n = len(block.encode())
-        if size + n > most_bytes and held:
-            out.append("".join(held))
-            held, size = [], 0
-        if n <= most_bytes:
-            held.append(block)
-            size += n
-            continue
-        piece: list[str] = []
-        for char in block:
-            c = len(char.encode())
-            if size + c > most_bytes:
-                out.append("".join(piece))
-                piece, size = [], 0
-            piece.append(char)
-            size += c
-        held = ["".join(piece)]
-    if held and (whole := "".join(held)):
-        out.append(whole)
-    return [x for x in out if x]
-
-
-def token_plan(text: str, most: int = 256, tail: int = 64) -> list[tuple[int, int, int, str]]:
-    """Parts by byte offsets: paragraphs packed while their words fit, long ones halved, a short last paragraph on its own.
-
-    Gives (start, end, words, sha256) of each part; the parts cover the text.
+    """Pieces that join to the text again, cut at blank lines and headings, each within the bytes; longer segments are cut by code point."""
+    cuts = sorted({0, len(text), *(m.end() for m in _BOUNDARY.finditer(text))})
+    out: list[str] = []
+    held, room = "", most_bytes
+    for segment in (text[a:b] for a, b in zip(cuts, cuts[1:])):
+        size = len(segment.encode())
+        if size > room:  # doesn't fit: what is held ends here, and the segment is spread over as many pieces as it takes
+            out.append(held)
+            *full, segment = _by_bytes(segment, most_bytes)
+            out += full
+            held, room, size = "", most_bytes, len(segment.encode())
+        held, room = held + segment, room - size
+    return [x for x in (*out, held) if x]
+
+
+def _by_bytes(text: str, most: int) -> list[str]:
+    """Pieces of at most so many bytes of UTF-8, none of which splits a code point."""
+    raw, out, at = text.encode(), [], 0
+    while len(raw) - at > most:
+        end = at + most
+        while raw[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append(raw[at:end].decode())
+        at = end
+    return [*out, raw[at:].decode()]
+
+
+#: White space within a blank line, of any kind but line ends.
+_INNER = r"[^\S\r\n]"
+_PARAGRAPH_END = re.compile(rf"(?:\r\n|\r|\n)(?:{_INNER}*(?:\r\n|\r|\n))+")
+
+
+def token_plan(text: str, most: int = 256, tail: int = 64, count: Callable[[str], int] | None = None) -> list[tuple[int, int, int, str]]:
+    """Parts by byte offsets: paragraphs are packed while their tokens fit, long ones are halved, a short last paragraph stays alone.
+
+    Gives (start, end, tokens, sha256) of each part; the parts cover the text. ``count`` is the tokenizer's count and
+    counts words if none is given. A packed part is counted as a whole, as tokens may join across paragraphs.
     """
-    words = lambda x: len(x.split())
-
-    def halves(block: str) -> Iterator[str]:
-        if words(block) <= most or len(block) < 2:
-            yield block
-        else:
-            middle = len(block) // 2
-            yield from halves(block[:middle])
-            yield from halves(block[middle:])
-
-    paragraphs = [p for p in re.split(r"(?<=\n\n)", text) if p]
-    pieces = [piece for p in paragraphs for piece in halves(p)]
-    parts: list[str] = []
-    size = 0
-    for i, piece in enumerate(pieces):
-        n = words(piece)
-        alone = i == len(pieces) - 1 and n <= tail and len(pieces) > 1
-        if parts and size + n <= most and not alone:
-            parts[-1] += piece
-            size += n
+    count = count or (lambda x: len(x.split()))
+    ends = [m.end() for m in _PARAGRAPH_END.finditer(text)]
+    marks = [0, *ends] + ([len(text)] if not ends or ends[-1] < len(text) else [])
+    paragraphs = list(zip(marks, marks[1:])) or [(0, 0)]
+    last = paragraphs[-1]
+    alone = len(paragraphs) > 1 and text[slice(*last)].strip() != "" and count(text[slice(*last)]) <= tail
+    spans: list[tuple[int, int]] = []
+    open_span: tuple[int, int] | None = None
+    for span in paragraphs:
+        if open_span and not (alone and span == last) and count(text[open_span[0] : span[1]]) <= most:
+            open_span = (open_span[0], span[1])
+            continue
+        if open_span:
+            spans.append(open_span)
+            open_span = None
+        if count(text[slice(*span)]) > most:
+            spans.extend(_halves(text, span, most, count))
         else:
-            parts.append(piece)
-            size = n
+            open_span = span
+    if open_span:
+        spans.append(open_span)
     out, at = [], 0
-    for part in parts:
-        raw = part.encode()
-        out.append((at, at + len(raw), words(part), hashlib.sha256(raw).hexdigest()))
+    for a, b in spans:
+        raw = text[a:b].encode()
+        out.append((at, at + len(raw), count(text[a:b]), hashlib.sha256(raw).hexdigest()))
         at += len(raw)
     return out
 
 
-def markdown_sections(text: str, most: int = 2000, least: int = 20) -> list[tuple[str, str]]:
-    """(key, body) of sections under second-level headings; long ones split at third level; repeated headings are numbered."""
-    body = re.sub(r"\A---\n.*?\n---\n", "", text, flags=re.S)
+def _halves(text: str, span: tuple[int, int], most: int, count: Callable[[str], int]) -> Iterator[tuple[int, int]]:
+    a, b = span
+    if count(text[a:b]) <= most:
+        yield span
+    elif b - a < 2:
+        raise ValueError("one character has more tokens than a part may have")
+    else:
+        middle = a + (b - a) // 2
+        yield from _halves(text, (a, middle), most, count)
+        yield from _halves(text, (middle, b), most, count)
+
+
+def frontmatter(text: str) -> tuple[list[str], str]:
+    """The tags that a document states at its head, and what follows it."""
+    head = re.match(r"---\r?\n(.*?)^---(?:\r?\n|\Z)", text, re.S | re.M)
+    if not head:
+        return [], text
+    stated = re.search(r"tags:\s*\[([^\]]*)\]", head[1])
+    tags = [re.sub(r"^['\"]|['\"]$", "", t.strip()) for t in stated[1].split(",")] if stated else []
+    return [t for t in tags if t], text[head.end() :]
+
+
+def section_key(path: str, heading: str, nth: int, sub: str | None = None, sub_nth: int | None = None) -> str:
+    """Key of a section. The first of its name has a readable one, later ones a digest of a framed tuple that no heading can imitate."""
+    if nth == 1 and sub_nth in (None, 1):
+        return f"file-sync:{path}:{heading}" + (f":{sub}" if sub is not None else "")
+    frame = lambda x: b"\0" * 5 if x is None else b"\1" + len(x.encode()).to_bytes(4, "big") + x.encode()
+    fields = (path, heading, str(nth), sub, None if sub_nth is None else str(sub_nth))
+    return "file-sync:v2:" + hashlib.sha256(b"file-sync-key\0v2\0" + b"".join(map(frame, fields))).hexdigest()
+
+
+def _under(body: str, marks: str) -> tuple[str, list[tuple[str, int, str]]]:
+    """What comes before the first heading of a level, and (heading, its occurrence, text) of each section under one."""
+    before, *rest = re.split(rf"^({marks} [^\r\n]+)(?=\r?$)", body, flags=re.M)
+    seen: Counter[str] = Counter()
+    sections = []
+    for heading, content in zip(rest[::2], rest[1::2]):
+        heading = heading.strip()
+        seen[heading] += 1
+        sections.append((heading, seen[heading], content.strip()))
+    return before.strip(), sections
+
 
-    def split(block: str, level: int) -> list[str]:
-        return [x for x in re.split(rf"(?m)^(?=#{{{level}}} )", block) if x.strip()]
+def markdown_sections(text: str, path: str = "", most: int = 2000) -> list[tuple[str, str, str, list[str]]]:
+    """(key, heading, body, tags) of the sections under second-level headings; long ones are split at third level.
 
-    sections = []
-    for section in split(body, 2):
-        sections.extend(split(section, 3) if len(section) > most else [section])
-    seen: dict[str, int] = {}
+    Text before the first heading counts from ten characters, the text of a section from five. A document without
+    such headings is one section.
+    """
+    tags, body = frontmatter(text)
+    before, sections = _under(body, "##")
+    lead, short = 10, 5
     out = []
-    for section in sections:
-        if len(section.strip()) < least:
+    if len(before) >= lead:
+        name = "(preamble)" if sections else "(root)"
+        out.append((f"file-sync:{path}:{name}", name, before, tags))
+    for heading, nth, content in sections:
+        if len(content) < short:
             continue
-        heading = re.match(r"#{1,6} +(.*)", section.lstrip())
-        slug = re.sub(r"[^a-z0-9]+", "-", (heading[1] if heading else "intro").lower()).strip("-") or "section"
-        seen[slug] = seen.get(slug, 0) + 1
-        out.append((slug if seen[slug] == 1 else f"{slug}-{seen[slug]}", section.strip()))
+        whole = f"{heading}\n{content}"
+        first, parts = _under(content, "###") if len(whole) > most else ("", [])
+        if not parts:
+            out.append((section_key(path, heading, nth), heading, whole, tags))
+            continue
+        if len(first) >= lead:
+            out.append((section_key(path, heading, nth), heading, f"{heading}\n{first}", tags))
+        out += [
+            (section_key(path, heading, nth, sub, sub_nth), f"{heading} > {sub}", f"{heading}\n{sub}\n{inner}", tags)
+            for sub, sub_nth, inner in parts
+            if len(inner) >= short
+        ]
     return out
 
 
@@ -162,68 +216,88 @@ def cover_density(text: str, query: str) -> float:
     return score
 
 
-_UNITS = {"minute": 60, "hour": 3600, "day": 86400, "week": 604800}
-
-
-def fuzzy_time(label: str, now: dt.datetime) -> tuple[dt.datetime, dt.datetime, dt.datetime] | None:
-    """(midpoint, start, end) of a label such as "5 hours ago", "Today", "last week" or "March 2025"; None if unknown."""
-    text = re.sub(r"\s+", " ", label.strip().lower())
-    midnight = now.replace(hour=0, minute=0, second=0, microsecond=0)
-
-    def span(start: dt.datetime, end: dt.datetime):
-        return start + (end - start) / 2, start, end
-
-    day = dt.timedelta(days=1)
-    if text in ("today", "just now"):
-        return span(midnight, midnight + day)
-    if text == "yesterday":
-        return span(midnight - day, midnight)
-    monday = midnight - dt.timedelta(days=midnight.weekday())
-    if text in ("this week", "last week"):
-        start = monday if text == "this week" else monday - 7 * day
-        return span(start, start + 7 * day)
-    if m := re.fullmatch(r"(\d+|an?|one) (minute|hour|day|week)s? ago", text):
-        n = int(m[1]) if m[1].isdigit() else 1
-        unit = _UNITS[m[2]]
-        if unit >= 86400:
-            start = midnight - dt.timedelta(seconds=n * unit)
-            return span(start, start + dt.timedelta(seconds=unit))
-        middle = now - dt.timedelta(seconds=n * unit)
-        half = dt.timedelta(seconds=unit / 2)
-        return middle, middle - half, middle + half
-    if m := re.fullmatch(r"(\d+|an?|one) (month|year)s? ago|last (month)", text):
-        back = (int(m[1]) if m[1] and m[1].isdigit() else 1) * (12 if m[2] == "year" else 1)
-        index = now.year * 12 + now.month - 1 - back
-        year, month = divmod(index, 12)
-        start = midnight.replace(year=year, month=month + 1, day=1)
-        return start + dt.timedelta(days=calendar.monthrange(year, month + 1)[1] // 2, hours=12), start, start + dt.timedelta(days=calendar.monthrange(year, month + 1)[1])
-    names = {n.lower(): i for i, n in enumerate(calendar.month_name) if n}
-    if (m := re.fullmatch(r"([a-z]+) (\d{4})|([a-z]+)", text)) and (name := m[1] or m[3]) in names:
-        year = int(m[2]) if m[2] else now.year - (names[name] > now.month)
-        start = midnight.replace(year=year, month=names[name], day=1)
-        return span(start, start + dt.timedelta(days=calendar.monthrange(year, names[name])[1]))
-    return None
-
-
-#: Public suffixes of two labels that are common; others are taken to have one.
-TWO_LABELS = frozenset("co.uk org.uk ac.uk gov.uk com.au net.au org.au co.jp ne.jp or.jp co.nz com.br com.mx co.in co.za com.cn com.tr".split())
-
-
-def sanitised_url(url: str, keep_path: bool = False) -> str | None:
-    """The registrable domain of a public web address, with its path on request; None for private or unusable ones."""
+_MONTHS = {name.lower(): i for i in range(1, 13) for name in (calendar.month_name[i], calendar.month_abbr[i])} | {"sept": 9}
+_AGO = re.compile(r"\s*(\d+)\s+(minute|hour|day|week|month|year)s?\s+ago\s*")
+_NAMED = {"just now": (0, "day"), "today": (0, "day"), "yesterday": (1, "day")} | {
+    label: (n, unit) for unit in ("week", "month", "year") for label, n in ((f"this {unit}", 0), (f"last {unit}", 1), (f"a {unit} ago", 1)) if label != "this year"
+}
+
+
+def _bucket(unit: str, at: dt.datetime) -> tuple[dt.datetime, dt.datetime, dt.datetime]:
+    """The unit of the calendar that holds an instant: what stands for it, its start and its end."""
+    day = at.replace(hour=0, minute=0, second=0, microsecond=0)
+    if unit == "minute":
+        start = at.replace(second=0, microsecond=0)
+        return start, start, start + dt.timedelta(minutes=1)
+    if unit == "hour":
+        start = at.replace(minute=0, second=0, microsecond=0)
+        return start, start, start + dt.timedelta(hours=1)
+    if unit == "day":
+        return day + dt.timedelta(hours=12), day, day + dt.timedelta(days=1)
+    if unit == "week":
+        start = day - dt.timedelta(days=day.weekday())
+        return start + dt.timedelta(days=2, hours=12), start, start + dt.timedelta(days=7)
+    if unit == "month":
+        start = day.replace(day=1)
+        return start.replace(day=15, hour=12), start, (start + dt.timedelta(days=32)).replace(day=1)
+    start = day.replace(month=1, day=1)
+    return start.replace(month=7, day=2, hour=12), start, start.replace(year=start.year + 1)
+
+
+def fuzzy_time(label: str, now: dt.datetime) -> tuple[dt.datetime, dt.datetime, dt.datetime, str] | None:
+    """(instant, start, end, precision) of a label such as "5 hours ago", "Today", "last week" or "March"; None if it isn't understood.
+
+    All is UTC. A written instant with a zone is itself; any other label means a unit of the calendar, for which its
+    middle stands (the start of a minute or an hour).
+    """
+    text = label.strip().lower()
     try:
-        parts = urlsplit(url.strip())
-        host = (parts.hostname or "").rstrip(".").lower()
+        written = dt.datetime.fromisoformat(label.strip().replace("z", "Z"))
+        if written.tzinfo:
+            instant = written.astimezone(dt.timezone.utc).replace(tzinfo=None)
+            return instant, instant, instant, "instant"
     except ValueError:
+        pass
+    unit, at = "", now
+    try:
+        if text in _MONTHS:
+            unit, at = "month", now.replace(year=now.year - (_MONTHS[text] > now.month), month=_MONTHS[text], day=1)
+        elif re.fullmatch(r"\d{4}", text):
+            unit, at = "year", now.replace(year=int(text), month=1, day=1)
+        elif text in _NAMED or (found := _AGO.fullmatch(text)):
+            n, unit = _NAMED[text] if text in _NAMED else (int(found[1]), found[2])
+            if unit in ("month", "year"):
+                months = now.year * 12 + now.month - 1 - n * (12 if unit == "year" else 1)
+                at = now.replace(year=months // 12, month=months % 12 + 1, day=1)
+            else:
+                at = now - n * dt.timedelta(**{f"{unit}s": 1})
+        return (*_bucket(unit, at), unit) if unit else None
+    except (ValueError, OverflowError):  # before year 1 or after 9999
         return None
-    if parts.scheme not in ("http", "https") or not host or parts.username or host == "localhost" or host.endswith((".local", ".internal", ".localhost", ".lan")):
-        return None
+
+
+def without_controls(text: str, most: int | None = None) -> str:
+    """Compatibility form without control characters, white space collapsed, cut by code point."""
+    flat = re.sub(r"\s+", " ", re.sub(r"[\x00-\x1f\x7f]+", " ", unicodedata.normalize("NFKC", text))).strip()
+    return flat[:most]
+
+
+def is_storable(text: str, most_bytes: int = 1 << 20) -> bool:
+    """Whether a text can be stored and hashed without loss: no NUL, no half of a surrogate pair, within the bytes."""
     try:
-        return f"{parts.scheme}://{host}" if ipaddress.ip_address(host).is_global else None
-    except ValueError:
-        pass
-    labels = host.split(".")
-    if len(labels) < 2:
+        return "\0" not in text and len(text.encode("utf-8")) <= most_bytes
+    except UnicodeEncodeError:
+        return False
+
+
+def keyed_digest(key: bytes, text: str) -> str:
+    """Digest of a text that only the holder of the key can make (HMAC-SHA-256)."""
+    return hmac.new(key, text.encode(), "sha256").hexdigest()
+
+
+def projected(vector: list[float], native: int, kept: int) -> list[float] | None:
+    """The first dimensions of a native vector, of unit length again; None for another length, a value that isn't finite or no length."""
+    if vector is None or len(vector) != native or any(x is None or not math.isfinite(x) for x in vector):
         return None
-    take = 3 if ".".join(labels[-2:]) in TWO_LABELS else 2
-    return f"{parts.scheme}://{'.'.join(labels[-take:])}{parts.path if keep_path else ''}"
+    norm = math.hypot(*vector[:kept])
+    return [x / norm for x in vector[:kept]] if 0 < norm < math.inf else None

@@ -244,7 +244,9 @@ def rate_admission(spark, sf_dir):
     return admission.admit(table(spark, sf_dir, "events"), per_minute=1, per_day=20)
 
 
-plan.direct("rate_admission", rate_admission)
+#: With one request a minute, the first of each minute are admitted until the day has its twenty.
+plan.direct("rate_admission", rate_admission, """WITH r AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id, date_trunc('minute', ts) ORDER BY ts, event_id) AS pos, dense_rank() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY date_trunc('minute', ts)) AS nth FROM events)
+    SELECT event_id, coalesce(user_id IS NOT NULL AND ts IS NOT NULL AND pos = 1 AND nth <= 20, false) AS admitted FROM r""")
 
 
 @plan
@@ -285,8 +287,8 @@ def event_stream_counts(d):
 def local_month(spark, sf_dir):
     return run(
         spark, sf_dir,
-        """SELECT f.feed_id, to_utc_timestamp(TIMESTAMP '2026-03-01 00:00:00', coalesce(f.source_timezone, 'UTC')) AS month_start, to_utc_timestamp(TIMESTAMP '2026-04-01 00:00:00', coalesce(f.source_timezone, 'UTC')) AS month_end FROM media_feeds f""",
+        """SELECT f.feed_id, CAST(to_utc_timestamp(TIMESTAMP '2026-03-01 00:00:00', coalesce(f.source_timezone, 'UTC')) AS TIMESTAMP_NTZ) AS month_start, CAST(to_utc_timestamp(TIMESTAMP '2026-04-01 00:00:00', coalesce(f.source_timezone, 'UTC')) AS TIMESTAMP_NTZ) AS month_end FROM media_feeds f""",
     )
 
 
-plan.direct("local_month", local_month)
+plan.direct("local_month", local_month, """SELECT feed_id, timezone('UTC', timezone(coalesce(source_timezone, 'UTC'), TIMESTAMP '2026-03-01 00:00:00')) AS month_start, timezone('UTC', timezone(coalesce(source_timezone, 'UTC'), TIMESTAMP '2026-04-01 00:00:00')) AS month_end FROM media_feeds""")

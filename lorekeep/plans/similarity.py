@@ -195,15 +195,6 @@ def reflection_sample(d):
         SELECT namespace, id, k, pos FROM p WHERE pos <= 30"""
 
 
-@plan
-def chunk_contiguity(d):
-    """Whether each part of a session begins where the one before it ended."""
-    return f"""WITH c AS (SELECT session_id, id, created_at, coalesce(octet, 0) AS len FROM (SELECT session_id, id, created_at, {d.bytes('content')} AS octet FROM {memories(d, 'id, session_id, created_at, content')} m WHERE session_id IS NOT NULL) z),
-        o AS (SELECT session_id, id, row_number() OVER w AS ordinal, CAST(sum(len) OVER w AS BIGINT) - len AS core_start, CAST(sum(len) OVER w AS BIGINT) AS core_end FROM c WINDOW w AS (PARTITION BY session_id ORDER BY created_at, id ROWS UNBOUNDED PRECEDING)),
-        l AS (SELECT session_id, ordinal, core_start, core_end, lag(core_end) OVER (PARTITION BY session_id ORDER BY ordinal) AS before FROM o)
-        SELECT session_id, count(*) AS chunks, max(core_end) AS bytes, count(CASE WHEN core_start <> coalesce(before, 0) THEN 1 END) AS gaps FROM l GROUP BY session_id"""
-
-
 @plan
 def byte_budget_page(d):
     """Records of each namespace in order of id while their bytes stay within the budget."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.operators import texts
 from lorekeep.plans.dialect import Plans, memories
-from lorekeep.session import table
+from lorekeep.session import checkpointed, table
 
 plan = Plans()
 QUERIES, ORACLE = plan.QUERIES, plan.ORACLE
@@ -25,75 +25,97 @@ plan.direct("chunk_plan", lambda s, p: texts.chunk_plan(_docs(s, p)))
 plan.direct(
     "chunk_plan_coverage",
     lambda s, p: texts.chunk_plan(_docs(s, p)).groupBy("doc_id").agg(F.min("core_start").alias("first_byte"), F.max("core_end").alias("bytes"), F.sum(F.col("core_end") - F.col("core_start")).alias("covered")),
-    "SELECT doc_id, CAST(0 AS BIGINT) AS first_byte, CAST(strlen(text) AS BIGINT) AS bytes, CAST(strlen(text) AS BIGINT) AS covered FROM documents WHERE text <> ''",
+    "SELECT doc_id, CAST(0 AS BIGINT) AS first_byte, CAST(strlen(text) AS BIGINT) AS bytes, CAST(strlen(text) AS BIGINT) AS covered FROM documents WHERE text IS NOT NULL",
 )
-plan.direct("chunk_markdown", lambda s, p: texts.chunk_markdown(_docs(s, p).where("doc_kind = 'markdown'")))
-plan.direct("text_cover_rank", lambda s, p: texts.cover_rank(_docs(s, p), "cabinets warnings"))
-plan.direct("import_conversations", lambda s, p: texts.turns(_docs(s, p)))
-
-_TURNS = """(SELECT doc_id, turn, lower(regexp_extract(part, '^(User|Assistant): ', 1)) AS role, trim(regexp_replace(part, '^(User|Assistant): ', ''), ' ' || chr(10) || chr(13)) AS said FROM (SELECT doc_id, unnest(string_split_regex(regexp_replace(text, '(?m)^(User|Assistant): ', chr(1) || '\\1: ', 'g'), chr(1))) AS part, generate_subscripts(string_split_regex(regexp_replace(text, '(?m)^(User|Assistant): ', chr(1) || '\\1: ', 'g'), chr(1)), 1) AS turn FROM documents WHERE regexp_matches(text, '(?m)^User: ')) x WHERE regexp_matches(part, '^(User|Assistant): '))"""
-
-
-def conversation_pairs(spark, sf_dir):
-    """Questions with the answers that follow them."""
-    from pyspark.sql import Window
-
-    after = Window.partitionBy("doc_id").orderBy("turn")
-    t = texts.turns(_docs(spark, sf_dir)).withColumn("next_role", F.lead("role").over(after)).withColumn("answer", F.lead("said").over(after))
-    return t.where("role = 'user' AND next_role = 'assistant'").groupBy("doc_id").agg(F.count("*").alias("pairs"), F.sum(F.length("said")).alias("asked"))
 
 
-plan.direct(
-    "conversation_pairs", conversation_pairs,
-    f"WITH t AS (SELECT *, lead(role) OVER (PARTITION BY doc_id ORDER BY turn) AS next_role FROM {_TURNS} t) SELECT doc_id, count(*) AS pairs, CAST(sum(length(said)) AS BIGINT) AS asked FROM t WHERE role = 'user' AND next_role = 'assistant' GROUP BY doc_id",
-)
+def chunk_contiguity(spark, sf_dir):
+    """Plans as they would be stored, held against their texts."""
+    docs = _docs(spark, sf_dir)
+    return texts.plan_faults(texts.chunk_plan(docs), docs).selectExpr("doc_id", "gaps + out_of_order + wrong_digests AS faults", "complete", "bytes")
 
 
-def conversation_chunks(spark, sf_dir):
-    """Groups of five pairs, each cut at 4,000 characters."""
-    t = texts.turns(_docs(spark, sf_dir)).withColumn("chunk", F.floor(F.col("turn") / 10))
-    return t.groupBy("doc_id", "chunk").agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "said"))), lambda x: F.concat(x["role"], F.lit(": "), x["said"])), "\n"), 1, 4000).alias("body"))
+plan.direct("chunk_contiguity", chunk_contiguity, "SELECT doc_id, CAST(0 AS BIGINT) AS faults, true AS complete, CAST(strlen(text) AS BIGINT) AS bytes FROM documents WHERE text IS NOT NULL")
 
 
-plan.direct("conversation_chunks", conversation_chunks)
+def chunk_faults(spark, sf_dir):
+    """The same for plans of which every document has lost its second part, where it has one."""
+    docs = _docs(spark, sf_dir)
+    return texts.plan_faults(texts.chunk_plan(docs).where("ordinal <> 1"), docs)
 
 
-def qa_pairs(spark, sf_dir):
-    """Pairs without trivial messages."""
-    from pyspark.sql import Window
+plan.direct("chunk_faults", chunk_faults)
+plan.direct("chunk_markdown", lambda s, p: texts.chunk_markdown(_docs(s, p).where("doc_kind = 'markdown'").select("doc_id", F.concat("source", F.lit(".md")).alias("path"), "text")))
+plan.direct("text_cover_rank", lambda s, p: texts.cover_rank(_docs(s, p), "cabinets warnings"))
 
-    after = Window.partitionBy("doc_id").orderBy("turn")
-    t = texts.turns(_docs(spark, sf_dir)).withColumn("next_role", F.lead("role").over(after)).withColumn("answer", F.lead("said").over(after))
-    trivial = F.lower(F.col("said")).rlike(r"^(?:ok|okay|thanks?|thank you|yes|no|hi|hello|done)[.!]?$") | (F.length("said") < 15)
-    return t.where(~trivial & (F.col("role") == "user") & (F.col("next_role") == "assistant")).select("doc_id", "turn", "said", "answer")
+_CUT = "string_split_regex(regexp_replace(text, '(?m)^(User|Assistant): ', chr(1) || '\\1: ', 'g'), chr(1))"
+_TURNS = f"""(SELECT doc_id, title, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS turn, lower(regexp_extract(part, '^(User|Assistant): ', 1)) AS role, trim(regexp_replace(part, '^(User|Assistant): ', ''), ' ' || chr(10) || chr(13)) AS said
+    FROM (SELECT doc_id, source AS title, unnest({_CUT}) AS part, generate_subscripts({_CUT}, 1) AS n FROM documents WHERE regexp_matches(text, '(?m)^User: ')) x WHERE regexp_matches(part, '^(User|Assistant): '))"""
+_PAIRS = f"""(SELECT doc_id, title, turn, row_number() OVER (PARTITION BY doc_id ORDER BY turn) - 1 AS pair, said AS question, answer FROM (SELECT *, lead(role) OVER (PARTITION BY doc_id ORDER BY turn) AS next_role, lead(said) OVER (PARTITION BY doc_id ORDER BY turn) AS answer FROM {_TURNS} t) u WHERE role = 'user' AND next_role = 'assistant')"""
 
+plan.direct("import_conversations", lambda s, p: texts.turns(_docs(s, p)), f"SELECT doc_id, title, CAST(turn AS INT) AS turn, role, said FROM {_TURNS} t")
+plan.direct(
+    "conversation_pairs", lambda s, p: texts.pairs_of_turns(texts.turns(_docs(s, p))).groupBy("doc_id").agg(F.count("*").alias("pairs"), F.sum(F.length("question")).alias("asked")),
+    f"SELECT doc_id, count(*) AS pairs, CAST(sum(length(question)) AS BIGINT) AS asked FROM {_PAIRS} p GROUP BY doc_id",
+)
+plan.direct("conversation_chunks", lambda s, p: texts.conversation_chunks(texts.turns(_docs(s, p))), f"""WITH r AS (SELECT doc_id, pair, '[' || coalesce(nullif(title, ''), 'Untitled') || ']' || chr(10) || chr(10) AS head, 'User: ' || question || chr(10) || 'Assistant: ' || answer AS said FROM {_PAIRS} p),
+    w AS (SELECT doc_id, sum(length(said) + 2) - 2 + max(length(head)) AS n FROM r GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN n <= 4000 THEN 0 ELSE CAST(floor(pair / 5) AS BIGINT) END AS chunk, substr(max(head) || string_agg(said, chr(10) || chr(10) ORDER BY pair), 1, 4000) AS body FROM r JOIN w USING (doc_id) GROUP BY 1, 2""")
+_TRIVIAL = ", ".join(f"'{x}'" for x in texts.TRIVIAL)
+plan.direct("qa_pairs", lambda s, p: texts.question_pairs(texts.turns(_docs(s, p))), f"""SELECT doc_id, CAST(turn AS INT) AS turn, substr('Q: ' || question || chr(10) || chr(10) || 'A: ' || answer, 1, 4000) AS content FROM {_PAIRS} p
+    WHERE trim(question) <> '' AND length(answer) >= 50 AND regexp_replace(lower(trim(question, ' ' || chr(9) || chr(13) || chr(10))), '[.!?,]', '', 'g') NOT IN ({_TRIVIAL})""")
 
-plan.direct("qa_pairs", qa_pairs)
+#: Words that are no tags.
+_STOP = (
+    "a an the and or for in on to of with is are was were be been being how what why when where which that this from by at it its not but if do does did "
+    "has have had can could will would should may might"
+).split()
 
 
 @plan
 def name_tags(d):
-    """Up to eight words of a source's name as tags, without stop words."""
-    words = d.tokens("source")
+    """Up to eight words of a source's name as tags: of more than two letters, without stop words."""
+    cut = d.replace("lower(source)", "[^a-z0-9" + chr(92) + "s-]", "")
     if d.name == "spark":
-        return f"SELECT DISTINCT source, array_join(slice(filter({words}, x -> NOT array_contains(array('the', 'of', 'and', 'a'), x)), 1, 8), ',') AS tags FROM documents WHERE source IS NOT NULL"
-    return f"SELECT DISTINCT source, array_to_string(list_filter({words}, lambda x: NOT list_contains(['the', 'of', 'and', 'a'], x))[1:8], ',') AS tags FROM documents WHERE source IS NOT NULL"
+        return f"SELECT DISTINCT source, array_join(slice(filter(split({cut}, '[\\\\s-]+'), x -> length(x) > 2 AND NOT array_contains({d.values_in(_STOP)}, x)), 1, 8), ',') AS tags FROM documents WHERE source IS NOT NULL"
+    return f"SELECT DISTINCT source, array_to_string(list_filter(string_split_regex({cut}, '[\\s-]+'), lambda x: length(x) > 2 AND NOT list_contains({d.values_in(_STOP)}, x))[1:8], ',') AS tags FROM documents WHERE source IS NOT NULL"
+
+
+#: Markup and what it becomes in plain text, in this order.
+_MARKUP = (
+    ("<h[1-6][^>]*>", "\n### "), ("</h[1-6]>", "\n"), ("<li[^>]*>", "\n- "), ("</li>", ""), ("<p[^>]*>", "\n"), ("</p>", "\n"), ("<br *\\/?>", "\n"), ("<blockquote[^>]*>", "\n> "), ("</blockquote>", "\n"),
+    ("<code[^>]*>", "`"), ("</code>", "`"), ("<pre[^>]*>", "\n```\n"), ("</pre>", "\n```\n"), ("<hr *\\/?>", "\n---\n"), ("</?strong[^>]*>", "**"), ("</?em[^>]*>", "*"), ("<[^>]+>", ""),
+    ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&#39;", "''"), ("&emsp;", "  "), ("\n\n\n+", "\n\n"),
+)
 
 
 @plan
 def html_to_text(d):
-    body = d.replace(d.replace(d.replace("text", "<[^>]+>", " "), "&nbsp;", " "), "[ ]+", " ")
-    return f"SELECT doc_id, {body} AS body FROM documents WHERE doc_kind = 'html'"
+    body = "text"
+    for pattern, by in _MARKUP:
+        body = d.replace(body, "(?i)" + pattern, by)
+    return f"SELECT doc_id, trim({body}, ' ' || chr(10)) AS body FROM documents WHERE doc_kind = 'html'" if d.name != "spark" else f"SELECT doc_id, btrim({body}, concat(' ', chr(10))) AS body FROM documents WHERE doc_kind = 'html'"
 
 
 @plan
 def entity_normalize(d):
     """Mentions in one form with enough confidence, at most fifty of a record."""
     form = "lower(trim(" + d.replace("mention", "[ ]+", " ") + "))"
-    return f"""WITH x AS (SELECT DISTINCT memory_id, entity_id, {form} AS name, confidence FROM memory_entities WHERE confidence >= 5e-1), r AS (SELECT memory_id, entity_id, name, row_number() OVER (PARTITION BY memory_id ORDER BY confidence DESC, name, entity_id) AS pos FROM x)
+    return f"""WITH x AS (SELECT DISTINCT memory_id, entity_id, {form} AS name, confidence FROM memory_entities WHERE confidence >= 5e-1), r AS (SELECT memory_id, entity_id, name, row_number() OVER (PARTITION BY memory_id ORDER BY confidence DESC, name, entity_id) AS pos FROM x WHERE name <> '' AND length(name) <= 256)
         SELECT memory_id, entity_id, name, pos FROM r WHERE pos <= 50"""
 
 
+def entity_extraction(spark, sf_dir):
+    """Links as raw extractions: validated, in compatibility form, aliases without repeats."""
+    links = table(spark, sf_dir, "memory_entities").distinct()
+    people = table(spark, sf_dir, "entities").select(F.col("id").alias("entity_id"), "entity_type", "display_name")
+    contents = F.lit(None).cast("string")  # links aren't derived from contents here, so mentions can't be held against them
+    return texts.extracted_entities(links.join(people, "entity_id").select("memory_id", "entity_type", "display_name", "mention", "aliases", "confidence", contents.alias("content")))
+
+
+plan.direct("entity_extraction", entity_extraction)
+
+
 @plan
 def taste_render(d):
     """The five best artists of each service as one line."""
@@ -144,20 +166,30 @@ def credential_scan(d):
 def url_sanitize(spark, sf_dir):
     """Addresses within contents, reduced to what may be kept."""
     urls = table(spark, sf_dir, "memories").select("id", F.explode(F.regexp_extract_all("content", F.lit(r"(https?://[^\s\"<>]+)"), F.lit(1))).alias("url")).distinct()
-    return urls.select("id", texts.sanitised(F.col("url")).alias("kept"))
+    return urls.select("id", "url", texts.sanitised(F.col("url")).alias("kept"))
 
 
-plan.direct("url_sanitize", url_sanitize)
+plan.direct("url_sanitize", url_sanitize, rf"""WITH u AS (SELECT DISTINCT id, unnest(regexp_extract_all(content, '(https?://[^\s"<>]+)')) AS url FROM memories),
+    h AS (SELECT id, url, lower(regexp_extract(url, '{texts._HOST}', 1)) AS scheme, lower(regexp_replace(regexp_extract(url, '{texts._HOST}', 2), '\.$', '')) AS host FROM u),
+    l AS (SELECT *, string_split(host, '.') AS l FROM h), d AS (SELECT *, array_to_string(l[-2:], '.') IN ({', '.join(f"'{x}'" for x in texts.TWO_LABELS)}) AS two FROM l)
+    SELECT id, url, CASE WHEN regexp_matches(host, '^$|^localhost$|\.(?:localhost|local)$|^[^.]*$|^[0-9.]+$|[^a-z0-9.\x{{80}}-\x{{10FFFF}}_-]|\.\.|^\.') THEN NULL WHEN two AND len(l) >= 3 THEN scheme || '://' || array_to_string(l[-3:], '.') WHEN NOT two THEN scheme || '://' || array_to_string(l[-2:], '.') END AS kept FROM d""")
 
 
 def fuzzy_time(spark, sf_dir):
     """What labels of a history page mean at a fixed instant; labels come from the age of each event."""
     events = table(spark, sf_dir, "media_events").where("played_at IS NOT NULL").select("id", "played_at").distinct()
     days = F.datediff(F.lit("2025-11-22").cast("date"), F.to_date("played_at"))
-    label = F.when(days == 0, "Today").when(days == 1, "Yesterday").when(days < 7, F.concat(days, F.lit(" days ago"))).when(days < 14, "Last week").otherwise(F.date_format("played_at", "MMMM yyyy"))
+    label = F.when(days == 0, "Today").when(days == 1, "Yesterday").when(days < 7, F.concat(days, F.lit(" days ago"))).when(days < 14, "Last week").otherwise(F.date_format("played_at", "MMMM"))
     return texts.fuzzy_times(events.select("id", label.alias("label")), "label", dt.datetime(2025, 11, 22, 9, 30))
 
 
-plan.direct("fuzzy_time", fuzzy_time)
+plan.direct("fuzzy_time", fuzzy_time, """WITH e AS (SELECT DISTINCT id, CAST(played_at AS DATE) AS day, DATE '2025-11-22' - CAST(played_at AS DATE) AS n FROM media_events WHERE played_at IS NOT NULL),
+    l AS (SELECT id, n, CASE WHEN n = 0 THEN 'Today' WHEN n = 1 THEN 'Yesterday' WHEN n < 7 THEN n || ' days ago' WHEN n < 14 THEN 'Last week' ELSE strftime(day, '%B') END AS label, CASE WHEN n < 7 THEN 'day' WHEN n < 14 THEN 'week' ELSE 'month' END AS precision,
+      CASE WHEN n < 7 THEN TIMESTAMP '2025-11-22' - to_days(CAST(n AS INT)) WHEN n < 14 THEN date_trunc('week', TIMESTAMP '2025-11-15') ELSE CAST(date_trunc('month', day) AS TIMESTAMP) END AS start_at FROM e)
+    SELECT id, label, start_at + CASE precision WHEN 'day' THEN INTERVAL 12 HOUR WHEN 'week' THEN INTERVAL 60 HOUR ELSE INTERVAL 348 HOUR END AS at, start_at, start_at + CASE precision WHEN 'day' THEN INTERVAL 1 DAY WHEN 'week' THEN INTERVAL 7 DAY ELSE INTERVAL 1 MONTH END AS end_at, precision FROM l""")
 plan.direct("content_identity_nfkc", lambda s, p: table(s, p, "memories").where("content IS NOT NULL").select("id", texts.identity_hash(F.col("content")).alias("identity")).distinct())
-plan.direct("canonical_metadata_hash", lambda s, p: table(s, p, "memories").select("id", texts.canonical_json_hash(F.col("metadata")).alias("digest")).distinct())
+#: The keys of these values are few and in order, so that only blanks have to go.
+plan.direct(
+    "canonical_metadata_hash", lambda s, p: table(s, p, "memories").select("id", texts.canonical_json_hash(F.col("metadata")).alias("digest")).distinct(),
+    "SELECT DISTINCT id, sha256(replace(replace(metadata, ': ', ':'), ', ', ',')) AS digest FROM memories",
+)
