@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +18,7 @@ ROWS = 512
 SLACK = 1e-4
 
 
-def _compare(least: float, block: list[str], rest: list[str], names: list[str]):
+def _compare(least: float, block: list[str], rest: list[str], names: list[str], k: int | None = None):
     def compare(table: pa.Table) -> pa.Table:
         # rows delivered twice have the same part, so they are all here
         _, once = np.unique(table.column("id").to_numpy(), return_index=True)
@@ -31,7 +31,11 @@ def _compare(least: float, block: list[str], rest: list[str], names: list[str]):
         left, right = [], []
         for start in range(0, len(asks), ROWS):
             some = asks[start : start + ROWS]
-            row, col = np.nonzero(unit[some] @ held >= least - SLACK)
+            sims = unit[some] @ held
+            floor = np.float32(least - SLACK)
+            if k is not None and sims.shape[1] > k + 1:  # one more, as a record may meet itself
+                floor = np.maximum(floor, -np.partition(-sims, k, axis=1)[:, k : k + 1] - np.float32(SLACK))
+            row, col = np.nonzero(sims >= floor)
             a, b = some[row], stored[col]
             left.append(a[a != b])
             right.append(b[a != b])
@@ -49,7 +53,17 @@ def _compare(least: float, block: list[str], rest: list[str], names: list[str]):
     return compare
 
 
-def near_pairs(records: DataFrame, block: list[str], least: float, asks: str = "true", part: int = PART) -> DataFrame:
+def near_top(records: DataFrame, block: list[str], k: int, asks: str = "true", part: int = PART) -> DataFrame:
+    """``*block, a_<column>, b_<column>, sim, pos``: the k records of its block that are most similar to each record that asks.
+
+    Every part gives the k nearest of its own and those that are as near within the slack; ties go by id.
+    """
+    found = near_pairs(records, block, -2.0, asks, part, k)
+    order = Window.partitionBy("a_id").orderBy(F.desc("sim"), "b_id")
+    return found.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= k)
+
+
+def near_pairs(records: DataFrame, block: list[str], least: float, asks: str = "true", part: int = PART, k: int | None = None) -> DataFrame:
     """``*block, a_<column>, b_<column>, sim``: for each record that satisfies ``asks`` all others of its block that are near.
 
     ``records`` has ``id``, ``embedding`` (usable, of one length in a block), the block's columns and whatever
@@ -69,4 +83,4 @@ def near_pairs(records: DataFrame, block: list[str], least: float, asks: str = "
     fields = [T.StructField(c, records.schema[c].dataType) for c in block]
     fields += [T.StructField(f"{side}_{c}", records.schema[c].dataType) for side in "ab" for c in rest]
     schema = T.StructType([*fields, T.StructField("sim", T.DoubleType())])
-    return visits.groupBy(*block, "_f", "_p").applyInArrow(_compare(least, block, rest, schema.names), schema)
+    return visits.groupBy(*block, "_f", "_p").applyInArrow(_compare(least, block, rest, schema.names, k), schema)

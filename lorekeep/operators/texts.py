@@ -76,10 +76,14 @@ def turns(documents: DataFrame) -> DataFrame:
     return each.select("doc_id", "title", "turn", F.lower(F.regexp_extract("part", r"^(User|Assistant): ", 1)).alias("role"), F.btrim(F.regexp_replace("part", r"^(?:User|Assistant): ", ""), F.lit(" \n\r")).alias("said"))
 
 
+def cover_score(content: Column, query: str) -> Column:
+    """Stemmed cover density of a text, null for null."""
+    return _each(lambda v: T.cover_density(v, query), "double")(content)
+
+
 def cover_rank(documents: DataFrame, query: str, k: int = 100) -> DataFrame:
     """``doc_id, rank`` of the k best texts by stemmed cover density; ties go by id."""
-    rank = _each(lambda v: T.cover_density(v, query), "double")
-    return documents.where(F.col("text").isNotNull()).select("doc_id", rank("text").alias("rank")).where("rank > 0").orderBy(F.desc("rank"), "doc_id").limit(k)
+    return documents.where(F.col("text").isNotNull()).select("doc_id", cover_score(F.col("text"), query).alias("rank")).where("rank > 0").orderBy(F.desc("rank"), "doc_id").limit(k)
 
 
 def pairs_of_turns(turns: DataFrame) -> DataFrame:

@@ -213,6 +213,11 @@ def active(d: Spark, m: str = "", as_of: str = "2026-03-01 00:00:00") -> str:
     return f"({m}deleted_at IS NULL AND ({m}expires_at IS NULL OR {m}expires_at > {d.ts(as_of)}))"
 
 
+def fiftieth(d: Spark) -> str:
+    """About every fiftieth record, by a digest of its id: the query set of searches, and the standing queries."""
+    return "CAST(conv(substr(sha2(id, 256), 1, 8), 16, 10) AS BIGINT) % 50 = 0" if d.name == "spark" else "CAST('0x' || substr(sha256(id), 1, 8) AS BIGINT) % 50 = 0"
+
+
 def memories(d: Spark, columns: str) -> str:
     """The records, each once; only the named columns are read."""
     return f"(SELECT DISTINCT {columns} FROM memories)"

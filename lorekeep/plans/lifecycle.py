@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lorekeep.operators import admission, nearpairs
-from lorekeep.plans.dialect import DUCK, SPARK, Plans, active, cosine, memories, run
+from lorekeep.plans.dialect import DUCK, SPARK, Plans, active, cosine, fiftieth, memories, run
 from lorekeep.plans.retrieval import IDENTITY, usable
 from lorekeep.plans.statistics import jobs
 from lorekeep.session import table
@@ -137,11 +137,6 @@ def ttl_purge(d):
     return f"""SELECT namespace, count(*) AS purged, min(expires_at) AS oldest, CAST(ceil(count(*) / 5e1) AS BIGINT) AS batches FROM {memories(d, 'id, namespace, expires_at')} m WHERE expires_at <= {d.ts('2026-03-01 00:00:00')} GROUP BY namespace"""
 
 
-def subscribed(d) -> str:
-    """About every fiftieth record stands for a standing query, by a digest of its id."""
-    return "CAST(conv(substr(sha2(id, 256), 1, 8), 16, 10) AS BIGINT) % 50 = 0" if d.name == "spark" else "CAST('0x' || substr(sha256(id), 1, 8) AS BIGINT) % 50 = 0"
-
-
 #: The most standing queries that one record is delivered to; one more is reported as cut.
 MOST_MATCHES = 100
 LEAST = 0.8
@@ -164,7 +159,7 @@ def _near_standing() -> str:
     names = ["id", *_STANDING.split(", ")]
     both = ", ".join(f"{t}.{c} AS {t}_{c}" for t in "ab" for c in names)
     sim = f"round({cosine(DUCK, 'a.embedding', 'b.embedding')}, 12)"
-    return f"(WITH r AS ({_standing(DUCK)}) SELECT {both}, {sim} AS sim FROM (SELECT * FROM r WHERE {subscribed(DUCK)}) a JOIN r b ON {' AND '.join(f'a.{c} = b.{c}' for c in IDENTITY)} AND a.id <> b.id WHERE {sim} >= {LEAST})"
+    return f"(WITH r AS ({_standing(DUCK)}) SELECT {both}, {sim} AS sim FROM (SELECT * FROM r WHERE {fiftieth(DUCK)}) a JOIN r b ON {' AND '.join(f'a.{c} = b.{c}' for c in IDENTITY)} AND a.id <> b.id WHERE {sim} >= {LEAST})"
 
 
 def _matched(name: str, sql: str) -> None:
@@ -172,8 +167,8 @@ def _matched(name: str, sql: str) -> None:
 
     def query(spark, sf_dir):
         view = f"lorekeep_standing_{name}"
-        rows = run(spark, sf_dir, f"SELECT id, embedding, {', '.join(IDENTITY)}, {_STANDING} FROM ({_standing(SPARK)}) s WHERE live OR {subscribed(SPARK)}")
-        nearpairs.near_pairs(rows, IDENTITY, LEAST, subscribed(SPARK)).createOrReplaceTempView(view)
+        rows = run(spark, sf_dir, f"SELECT id, embedding, {', '.join(IDENTITY)}, {_STANDING} FROM ({_standing(SPARK)}) s WHERE live OR {fiftieth(SPARK)}")
+        nearpairs.near_pairs(rows, IDENTITY, LEAST, fiftieth(SPARK)).createOrReplaceTempView(view)
         return run(spark, sf_dir, sql.format(received=_received(view), pending=_pending(SPARK), sessions=_sessions(SPARK)))
 
     plan.direct(name, query, sql.format(received=_received(_near_standing()), pending=_pending(DUCK), sessions=_sessions(DUCK)))
@@ -181,7 +176,7 @@ def _matched(name: str, sql: str) -> None:
 
 def _pending(d) -> str:
     """When the first standing query without a vector began to wait, by owner, namespace and self-exclusion (at most one row each)."""
-    return f"""(SELECT k.id AS owner, ns AS namespace, exclude_self, min(created_at) AS since FROM (SELECT DISTINCT id, client_id, created_at, revision % 2 = 1 AS exclude_self FROM memories m WHERE embedding IS NULL AND {active(d)} AND {subscribed(d)}) s
+    return f"""(SELECT k.id AS owner, ns AS namespace, exclude_self, min(created_at) AS since FROM (SELECT DISTINCT id, client_id, created_at, revision % 2 = 1 AS exclude_self FROM memories m WHERE embedding IS NULL AND {active(d)} AND {fiftieth(d)}) s
         JOIN (SELECT k.id, ns FROM api_keys k {d.unnest('k.namespaces', 'n', 'ns')} WHERE k.enabled) k ON k.id = s.client_id GROUP BY k.id, ns, exclude_self)"""
 
 
