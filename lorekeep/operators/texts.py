@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions import text as T
 
 
-def _each(function: Callable, kind: str):
+def each(function: Callable, kind: str):
     """An Arrow UDF that applies a function to every value that isn't null."""
 
     @F.pandas_udf(kind)
@@ -25,7 +25,7 @@ def _each(function: Callable, kind: str):
 
 def chunk_documents(documents: DataFrame, most_bytes: int = 2000) -> DataFrame:
     """``doc_id, chunk_index, chunk``; null and empty texts have no chunks."""
-    chunks = _each(lambda v: T.lossless_chunks(v, most_bytes), "array<string>")
+    chunks = each(lambda v: T.lossless_chunks(v, most_bytes), "array<string>")
     return documents.select("doc_id", F.posexplode(chunks("text")).alias("chunk_index", "chunk"))
 
 
@@ -34,7 +34,7 @@ def chunk_plan(documents: DataFrame, count: Callable[[str], int] | None = None)
 
     ``count`` is a tokenizer's count, which travels to the tasks; words are counted if none is given.
     """
-    plan = _each(lambda v: [dict(zip(("core_start", "core_end", "tokens", "chunk_sha256"), x)) for x in T.token_plan(v, count=count)], "array<struct<core_start:long,core_end:long,tokens:int,chunk_sha256:string>>")
+    plan = each(lambda v: [dict(zip(("core_start", "core_end", "tokens", "chunk_sha256"), x)) for x in T.token_plan(v, count=count)], "array<struct<core_start:long,core_end:long,tokens:int,chunk_sha256:string>>")
     return documents.select("doc_id", F.posexplode(plan("text")).alias("ordinal", "x")).select("doc_id", "ordinal", "x.*")
 
 
@@ -78,7 +78,7 @@ def turns(documents: DataFrame) -> DataFrame:
 
 def cover_score(content: Column, query: str) -> Column:
     """Stemmed cover density of a text, null for null."""
-    return _each(lambda v: T.cover_density(v, query), "double")(content)
+    return each(lambda v: T.cover_density(v, query), "double")(content)
 
 
 def cover_rank(documents: DataFrame, query: str, k: int = 100) -> DataFrame:
@@ -129,7 +129,7 @@ def fuzzy_times(labels: DataFrame, column: str, now: dt.datetime) -> DataFrame:
         found = T.fuzzy_time(value, now)
         return [*(x.isoformat(" ") for x in found[:3]), found[3]] if found else None
 
-    span = labels.withColumn("_span", _each(resolve, "array<string>")(F.col(column)))
+    span = labels.withColumn("_span", each(resolve, "array<string>")(F.col(column)))
     times = [F.get("_span", F.lit(i)).cast("timestamp_ntz").alias(name) for i, name in enumerate(("at", "start_at", "end_at"))]
     return span.select(*labels.columns, *times, F.get("_span", F.lit(3)).alias("precision"))
 
@@ -154,11 +154,11 @@ def sanitised(url: Column, keep_path: bool = False) -> Column:
 
 def identity_hash(content: Column) -> Column:
     """Digest of the compatibility form of a text."""
-    return F.sha2(_each(T.identity_form, "string")(content), 256)
+    return F.sha2(each(T.identity_form, "string")(content), 256)
 
 
 def canonical_json_hash(value: Column) -> Column:
-    return _each(T.canonical_hash, "string")(value)
+    return each(T.canonical_hash, "string")(value)
 
 
 ENTITY_TYPES = ("person", "project", "tool", "place")
@@ -173,8 +173,8 @@ def extracted_entities(found: DataFrame) -> DataFrame:
     without those that repeat the name or each other. A name that is blank or too long, a mention that the content
     doesn't hold and a name that is given twice refuse a record's whole extraction; at most fifty are kept.
     """
-    clean = _each(lambda v: T.without_controls(v), "string")
-    many = _each(lambda v: [T.without_controls(x) for x in v if x is not None], "array<string>")
+    clean = each(lambda v: T.without_controls(v), "string")
+    many = each(lambda v: [T.without_controls(x) for x in v if x is not None], "array<string>")
     sure = found.where(F.col("entity_type").isin(*ENTITY_TYPES) & (F.col("confidence") >= LEAST_CONFIDENCE))
     named = sure.withColumn("display_name", clean("display_name")).withColumn("aliases", many(F.coalesce("aliases", F.array().cast("array<string>"))))
     named = named.withColumn("normalized_name", F.lower("display_name"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from lorekeep.operators import admission, nearpairs
+from pyspark.sql import functions as F
+
+from lorekeep.operators import admission, merges, nearpairs
 from lorekeep.plans.dialect import DUCK, SPARK, Plans, active, cosine, fiftieth, memories, run
 from lorekeep.plans.retrieval import IDENTITY, usable
 from lorekeep.plans.statistics import jobs
@@ -76,12 +78,35 @@ def upsert_preview(d):
         FROM n LEFT JOIN k ON k.client_id = n.client_id AND k.service = n.service AND k.source_id = n.source_id AND k.event_key = n.event_key LEFT JOIN l ON l.client_id = n.client_id AND l.service = n.service AND l.title = n.title AND l.day = {d.day('n.played_at')}"""
 
 
-@plan
-def keyed_merge(d):
-    """Upsert by client and source key; deleted records are not written over."""
-    return f"""WITH m AS {memories(d, 'id, client_id, source_key, content, updated_at, deleted_at')}, k AS (SELECT * FROM m WHERE source_key IS NOT NULL),
-        incoming AS (SELECT client_id, source_key, {d.sha("coalesce(content, '') || '!'")} AS h, updated_at FROM k WHERE substr(id, 1, 1) < '8' UNION ALL SELECT client_id, source_key || '/new' AS source_key, {d.sha("coalesce(content, '')")} AS h, updated_at FROM k WHERE substr(id, 1, 1) >= 'e')
-        SELECT i.client_id, i.source_key, k.id AS existing_id, CASE WHEN k.id IS NULL THEN 'insert' WHEN k.deleted_at IS NOT NULL THEN 'guarded' ELSE 'update' END AS action, i.h FROM incoming i LEFT JOIN k ON k.client_id = i.client_id AND k.source_key = i.source_key"""
+#: The class of a record in a derived batch, by a digest of its id: unchanged, changed, new or left out of a snapshot.
+def lot(d, n: int, column: str = "id") -> str:
+    return f"CAST(conv(substr(sha2({column}, 256), 9, 8), 16, 10) AS BIGINT) % {n}" if d.name == "spark" else f"CAST('0x' || substr(sha256({column}), 9, 8) AS BIGINT) % {n}"
+
+
+def _keyed(spark, sf_dir):
+    """Records with a source key, and a batch that holds each of them again (some changed) and a new one beside some."""
+    cols = "id, client_id, source_key, content, namespace, deleted_at, superseded_at, updated_at"
+    stored = run(spark, sf_dir, f"""SELECT {cols} FROM (SELECT *, lead(updated_at) OVER (PARTITION BY client_id, source_key ORDER BY created_at, id) AS superseded_at, row_number() OVER (PARTITION BY client_id, source_key ORDER BY created_at, id) AS nth
+        FROM {memories(SPARK, 'id, client_id, source_key, content, namespace, deleted_at, created_at, updated_at')} m WHERE source_key IS NOT NULL) k WHERE nth = 1""")
+    kinds = F.expr(lot(SPARK, 3))
+    same = stored.select("client_id", "source_key", F.when(kinds == 0, F.concat(F.coalesce("content", F.lit("")), F.lit("!"))).otherwise(F.col("content")).alias("content"), "namespace", "updated_at")
+    new = stored.where(kinds == 1).select("client_id", F.concat("source_key", F.lit("/new")).alias("source_key"), "content", "namespace", "updated_at")
+    return stored, same.unionByName(new)
+
+
+def keyed_merge(spark, sf_dir):
+    """Upsert by client and source key; deleted and superseded records are not written over."""
+    stored, batch = _keyed(spark, sf_dir)
+    merged = merges.upsert(stored, batch, ["client_id", "source_key"])
+    return merged.select("client_id", "source_key", "id", "action", F.sha2(F.coalesce("content", F.lit("")), 256).alias("h"))
+
+
+_KEYED = f"""k AS (SELECT * FROM (SELECT *, lead(updated_at) OVER (PARTITION BY client_id, source_key ORDER BY created_at, id) AS superseded_at, row_number() OVER (PARTITION BY client_id, source_key ORDER BY created_at, id) AS nth
+    FROM {memories(DUCK, 'id, client_id, source_key, content, namespace, deleted_at, created_at, updated_at')} m WHERE source_key IS NOT NULL) x WHERE nth = 1)"""
+plan.direct("keyed_merge", keyed_merge, f"""WITH {_KEYED} SELECT client_id, source_key, id, CASE WHEN client_id IS NULL THEN NULL WHEN deleted_at IS NULL AND superseded_at IS NULL THEN 'update' ELSE 'guarded' END AS action,
+      sha256(coalesce(content, '') || CASE WHEN client_id IS NOT NULL AND deleted_at IS NULL AND superseded_at IS NULL AND {lot(DUCK, 3)} = 0 THEN '!' ELSE '' END) AS h FROM k
+    UNION ALL SELECT client_id, source_key || '/new', NULL, 'insert', sha256(coalesce(content, '')) FROM k WHERE {lot(DUCK, 3)} = 1
+    UNION ALL SELECT client_id, source_key, NULL, 'insert', sha256(coalesce(content, '') || CASE WHEN {lot(DUCK, 3)} = 0 THEN '!' ELSE '' END) FROM k WHERE client_id IS NULL""")
 
 
 @plan
@@ -91,11 +116,24 @@ def scd2_series(d):
     return f"""SELECT id, valid_from, lead(valid_from) OVER ({w}) AS valid_to, lag(id) OVER ({w}) AS supersedes_id, row_number() OVER ({w}) AS version FROM {memories(d, 'id, client_id, namespace, source, memory_kind, valid_from')} m WHERE valid_from IS NOT NULL"""
 
 
-@plan
-def patch_merge(d):
-    """What a patch names replaces, the rest stays; only the expected revision is patched."""
-    return f"""WITH m AS {memories(d, 'id, tags, access_level, revision, deleted_at')}, p AS (SELECT id, CASE WHEN substr(id, 1, 1) = '1' THEN 'sensitive' END AS access_level, CASE WHEN substr(id, 2, 1) < '8' THEN 1 ELSE 2 END AS expected FROM m WHERE substr(id, 1, 1) IN ('1', '2'))
-        SELECT m.id, coalesce(p.access_level, m.access_level) AS access_level, m.revision + 1 AS revision FROM m JOIN p ON p.id = m.id WHERE m.revision = p.expected AND m.deleted_at IS NULL"""
+def patch_merge(spark, sf_dir):
+    """What a patch names replaces, the rest stays; only the expected revision of a record that isn't deleted is patched. Every record gets a patch."""
+    cols = "id, tags, access_level, metadata, revision, deleted_at"
+    stored = run(spark, sf_dir, f"SELECT {cols} FROM {memories(SPARK, cols)} m")
+    kind = F.expr(lot(SPARK, 4))
+    patches = stored.select(
+        "id", F.when(kind == 3, F.col("revision") - 1).otherwise(F.col("revision")).alias("expected_revision"),
+        F.when(kind == 0, F.array(F.lit("access_level"))).when(kind == 1, F.array(F.lit("tags"), F.lit("metadata"))).otherwise(F.array(F.lit("metadata"))).alias("present"),
+        F.lit("sensitive").alias("access_level"), F.array(F.lit("patched")).alias("tags"), F.lit(None).cast("string").alias("metadata"),
+    )
+    done = merges.patch(stored, patches, ["tags", "access_level", "metadata"])
+    return done.select("id", F.array_join("tags", ",").alias("tags"), "access_level", "metadata", "revision", "outcome")
+
+
+_L4 = lot(DUCK, 4)
+plan.direct("patch_merge", patch_merge, f"""WITH m AS {memories(DUCK, 'id, tags, access_level, metadata, revision, deleted_at')}, g AS (SELECT *, {_L4} AS kind, {_L4} <> 3 AND deleted_at IS NULL AS good FROM m WHERE revision IS NOT NULL)
+    SELECT id, array_to_string(CASE WHEN good AND kind = 1 THEN ['patched'] ELSE tags END, ',') AS tags, CASE WHEN good AND kind = 0 THEN 'sensitive' ELSE access_level END AS access_level, CASE WHEN good AND kind IN (1, 2) THEN NULL ELSE metadata END AS metadata,
+      CAST(revision + CASE WHEN good THEN 1 ELSE 0 END AS INT) AS revision, CASE WHEN good THEN 'patched' ELSE 'conflict' END AS outcome FROM g""")
 
 
 @plan
@@ -105,36 +143,59 @@ def forget_cascade(d):
         SELECT id FROM chosen UNION SELECT c.canonical_id AS id FROM c JOIN chosen ON chosen.id = c.id"""
 
 
-@plan
-def agent_merge(d):
-    """Newest settings over older ones, key by key."""
-    return f"""WITH e AS (SELECT user_id, event_type, ts, event_id, {d.json('props', 'k')} AS k FROM events) SELECT user_id, event_type, max_by(k, ts) AS k, max(ts) AS at FROM e GROUP BY user_id, event_type"""
+def agent_merge(spark, sf_dir):
+    """Registrations of agents: values that are given replace, the rest stays, settings are merged key by key."""
+    rows = run(spark, sf_dir, "SELECT user_id, event_type, min(ts) AS first_at, max(ts) AS last_at, min_by(props, struct(ts, event_id)) AS first_props, max_by(props, struct(ts, event_id)) AS last_props FROM events GROUP BY user_id, event_type")
+    stored = rows.where("user_id % 5 <> 4").select("user_id", "event_type", F.lit("old").alias("model"), F.to_json(F.struct(F.get_json_object("first_props", "$.k").alias("k"), F.lit("kept").alias("first"))).alias("metadata"), F.col("first_at").alias("last_seen_at"))
+    model = F.when(F.col("user_id") % 2 == 0, "new")
+    incoming = rows.select("user_id", "event_type", model.alias("model"), F.to_json(F.struct(F.get_json_object("last_props", "$.k").alias("k"), F.lit("added").alias("last"))).alias("metadata"), F.col("last_at").alias("last_seen_at"))
+    done = merges.register(stored, incoming, ["user_id", "event_type"])
+    return done.select("user_id", "event_type", "model", *[F.get_json_object("metadata", f"$.{k}").alias(f"m_{k}") for k in ("k", "first", "last")], "last_seen_at")
+
+
+plan.direct("agent_merge", agent_merge, """WITH r AS (SELECT user_id, event_type, max(ts) AS last_at, arg_max(props, (ts, event_id)) AS props FROM events GROUP BY user_id, event_type)
+    SELECT user_id, event_type, CASE WHEN user_id % 2 = 0 THEN 'new' WHEN user_id % 5 <> 4 THEN 'old' END AS model, json_extract_string(props, '$.k') AS m_k, CASE WHEN user_id % 5 <> 4 THEN 'kept' END AS m_first, 'added' AS m_last, last_at AS last_seen_at FROM r""")
 
 
 @plan
 def import_classify(d):
-    return f"""WITH m AS (SELECT id, client_id, source_key, namespace, {d.sha("coalesce(content, '')")} AS h FROM {memories(d, 'id, client_id, source_key, namespace, content')} x WHERE source_key IS NOT NULL),
-        feed AS (SELECT client_id, source_key, namespace, CASE WHEN substr(id, 1, 1) < '4' THEN h WHEN substr(id, 1, 1) < '8' THEN h || 'x' ELSE h END AS h, CASE WHEN substr(id, 1, 1) >= 'c' THEN source_key || '/2' ELSE source_key END AS new_key FROM m)
-        SELECT CASE WHEN k.id IS NULL OR NOT array_contains(k.namespaces, f.namespace) THEN 'denied' WHEN m.id IS NULL THEN 'inserted' WHEN m.h = f.h THEN 'skipped' ELSE 'conflicted' END AS outcome, count(*) AS n
-        FROM feed f LEFT JOIN api_keys k ON k.id = f.client_id AND k.enabled LEFT JOIN m ON m.client_id = f.client_id AND m.source_key = f.new_key GROUP BY 1"""
+    """What an import does with each record of a feed: denied, skipped (same digest), conflicted or inserted; the feed holds every record, some changed, some under a new key."""
+    return f"""WITH m AS (SELECT id, client_id, source_key, namespace, {d.sha("coalesce(content, '')")} AS h, {lot(d, 3)} AS kind FROM {memories(d, 'id, client_id, source_key, namespace, content')} x WHERE source_key IS NOT NULL),
+        feed AS (SELECT client_id, namespace, CASE WHEN kind = 1 THEN h || 'x' ELSE h END AS h, CASE WHEN kind = 2 THEN source_key || '/2' ELSE source_key END AS new_key FROM m),
+        k AS (SELECT client_id, source_key, min(h) AS h FROM m GROUP BY client_id, source_key)
+        SELECT CASE WHEN a.id IS NULL OR NOT array_contains(a.namespaces, f.namespace) THEN 'denied' WHEN k.source_key IS NULL THEN 'inserted' WHEN k.h = f.h THEN 'skipped' ELSE 'conflicted' END AS outcome, count(*) AS n
+        FROM feed f LEFT JOIN api_keys a ON a.id = f.client_id AND a.enabled LEFT JOIN k ON k.client_id = f.client_id AND k.source_key = f.new_key GROUP BY 1"""
 
 
-@plan
-def snapshot_equivalence(d):
-    """Whether a record is the same in two snapshots, null-safe; a vector is kept only with its content."""
-    return f"""WITH m AS {memories(d, 'id, content, source, event_at, metadata')}, n AS (SELECT id, CASE WHEN substr(id, 1, 1) = '3' THEN upper(content) ELSE content END AS content, source, event_at, metadata FROM m WHERE substr(id, 1, 1) <> '5')
-        SELECT m.id, m.content IS NOT DISTINCT FROM n.content AND m.source IS NOT DISTINCT FROM n.source AND m.event_at IS NOT DISTINCT FROM n.event_at AND {d.json('m.metadata', 'importance')} IS NOT DISTINCT FROM {d.json('n.metadata', 'importance')} AS same, m.content IS NOT DISTINCT FROM n.content AS keep_vector FROM m JOIN n ON n.id = m.id"""
+_SNAPSHOT = "id, content, source, event_at, metadata, tags"
+
+
+def snapshot_equivalence(spark, sf_dir):
+    """Whether a record is the same in two snapshots, null-safe and whatever two of its paths say; a vector is kept only with its content."""
+    stored = run(spark, sf_dir, f"SELECT {_SNAPSHOT} FROM {memories(SPARK, _SNAPSHOT)} m")
+    kind = F.expr(lot(SPARK, 4))
+    later = stored.withColumns({
+        "content": F.when(kind == 0, F.upper("content")).otherwise(F.col("content")), "event_at": F.when(kind == 1, F.lit(None)).otherwise(F.col("event_at")),
+        "metadata": F.when((kind == 2) & F.col("metadata").isNotNull(), merges.merge_objects(F.col("metadata"), F.lit('{"snapshot": {"id": 2, "as_of": "x"}}'))).otherwise(F.col("metadata")),
+    })
+    return merges.snapshot_compare(stored, later, ["id"], ["content", "source", "event_at", "metadata", "tags"], ("snapshot.id", "snapshot.as_of", "snapshot"))
+
+
+plan.direct("snapshot_equivalence", snapshot_equivalence, f"""WITH m AS (SELECT *, {_L4} AS kind FROM {memories(DUCK, _SNAPSHOT)} m)
+    SELECT id, NOT (kind = 0 AND coalesce(upper(content) <> content, false)) AND NOT (kind = 1 AND event_at IS NOT NULL) AS same, NOT (kind = 0 AND coalesce(upper(content) <> content, false)) AS keep_vector FROM m""")
 
 
 @plan
 def snapshot_prune(d):
     """Records of the old generation that the new one doesn't hold."""
-    return f"""WITH m AS {memories(d, 'id, source, created_at')}, n AS (SELECT id FROM m WHERE substr(id, 3, 1) <> 'a') SELECT m.id, m.source FROM m LEFT JOIN n ON n.id = m.id WHERE n.id IS NULL"""
+    return f"""WITH m AS {memories(d, 'id, source, created_at')}, n AS (SELECT id FROM m WHERE {lot(d, 16)} <> 0) SELECT m.id, m.source FROM m LEFT JOIN n ON n.id = m.id WHERE n.id IS NULL"""
 
 
 @plan
 def ttl_purge(d):
-    return f"""SELECT namespace, count(*) AS purged, min(expires_at) AS oldest, CAST(ceil(count(*) / 5e1) AS BIGINT) AS batches FROM {memories(d, 'id, namespace, expires_at')} m WHERE expires_at <= {d.ts('2026-03-01 00:00:00')} GROUP BY namespace"""
+    """What expired by namespace, and the one audit row of the purge (a null namespace) with the batches it takes."""
+    return f"""WITH x AS (SELECT namespace, count(*) AS purged, min(expires_at) AS oldest FROM {memories(d, 'id, namespace, expires_at')} m WHERE expires_at <= {d.ts('2026-03-01 00:00:00')} GROUP BY namespace)
+        SELECT 'namespace' AS entry, namespace, purged, oldest, CAST(NULL AS BIGINT) AS batches FROM x UNION ALL SELECT 'audit' AS entry, CAST(NULL AS {d.text}) AS namespace, CAST(coalesce(sum(purged), 0) AS BIGINT) AS purged, min(oldest) AS oldest, CAST(ceil(coalesce(sum(purged), 0) / 5e1) AS BIGINT) AS batches FROM x"""
 
 
 #: The most standing queries that one record is delivered to; one more is reported as cut.
@@ -210,9 +271,21 @@ def claim_batch(d):
         SELECT o.memory_id, o.document_id FROM o JOIN seed ON seed.document_id = o.document_id ORDER BY o.accepted_at, o.memory_id LIMIT 16"""
 
 
+#: How a provider's answer is classed; anything else passes over.
+_FAILURES = "CASE WHEN code IN (55, 57, 40) THEN 'db_contention' WHEN code = 429 THEN 'rate_limited' WHEN code IN (401, 403) THEN 'provider_auth' WHEN code IN (400, 404, 413, 422) THEN 'input_rejected' ELSE 'transient' END"
+
+
 @plan
 def job_transition(d):
-    return f"""SELECT memory_id, status, attempts, CASE WHEN status = 'processing' AND inline_ready THEN 'ready' WHEN status = 'processing' AND attempts >= 5 THEN 'embedding_failed' WHEN status = 'processing' THEN 'retry_wait' WHEN status IN ('pending', 'retry_wait') THEN 'processing' ELSE status END AS next_status FROM {jobs(d)} j"""
+    """What a job becomes: ready at once, or by the class of its failure waiting again, pending again or failed for good.
+
+    Rejected input ends a job; a provider's refusal never does; the first contention in a row costs no attempt. The answer's
+    code is derived from the record's counter.
+    """
+    code = "CASE attempts WHEN 0 THEN 429 WHEN 1 THEN 503 WHEN 2 THEN 401 WHEN 3 THEN 413 WHEN 4 THEN 40 ELSE 500 END"
+    return f"""WITH j AS (SELECT memory_id, status, attempts, inline_ready, inline_attempted, {code} AS code FROM {jobs(d)} j), c AS (SELECT *, {_FAILURES} AS class FROM j)
+        SELECT memory_id, status, attempts, class, CASE WHEN status IN ('pending', 'retry_wait') THEN 'processing' WHEN status <> 'processing' THEN status WHEN inline_ready AND code = 429 THEN 'ready' WHEN class = 'db_contention' AND inline_attempted THEN 'pending' WHEN class = 'db_contention' THEN 'retry_wait'
+          WHEN class = 'input_rejected' OR (class <> 'provider_auth' AND attempts >= 5) THEN 'embedding_failed' ELSE 'retry_wait' END AS next_status, CASE WHEN status = 'processing' AND class = 'db_contention' AND NOT inline_attempted THEN greatest(0, attempts - 1) ELSE attempts END AS next_attempts FROM c"""
 
 
 def ladder(attempts: str, asked: str = "NULL") -> str:
@@ -235,6 +308,14 @@ def rate_windows(d):
     return f"SELECT user_id, {d.minute('ts')} AS minute, count(*) AS n, count(*) > 2 AS over FROM events GROUP BY user_id, {d.minute('ts')}"
 
 
+@plan
+def rate_cleanup(d):
+    """Counters that are older than the retention: minutes by their instant, days by their date."""
+    now, days = d.ts("2024-01-25 12:00:00"), 14
+    return f"""SELECT 'minute' AS counter, user_id, count(DISTINCT {d.minute('ts')}) AS removed FROM events WHERE {d.minute('ts')} < {d.plus(now, f'-{days}', 'DAY')} GROUP BY user_id
+        UNION ALL SELECT 'day' AS counter, user_id, count(DISTINCT {d.day('ts')}) AS removed FROM events WHERE {d.day('ts')} < {d.day(d.plus(now, f'-{days}', 'DAY'))} GROUP BY user_id"""
+
+
 def rate_admission(spark, sf_dir):
     return admission.admit(table(spark, sf_dir, "events"), per_minute=1, per_day=20)
 
