@@ -7,8 +7,9 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from lorekeep.operators import texts
-from lorekeep.plans.dialect import Plans, memories
-from lorekeep.session import checkpointed, table
+from lorekeep.plans.dialect import Plans, memories, run
+from lorekeep.session import table
+from lorekeep.sources import providers
 
 plan = Plans()
 QUERIES, ORACLE = plan.QUERIES, plan.ORACLE
@@ -152,10 +153,28 @@ def media_tags(d):
         UNION SELECT id, lower(trim(g)) AS tag FROM b {d.unnest('b.genres', 'x', 'g')} WHERE trim(g) <> '' AND (lower(trim(g)) NOT IN ('music', 'tv', 'movie', 'unknown') OR lower(trim(g)) = kind)"""
 
 
-@plan
-def canonical_events(d):
-    """Provider records in one shape."""
-    return f"""SELECT import_id, service, nullif(trim(title), '') AS title, nullif(trim(artist), '') AS artist, {d.json('payload', 'precision')} AS precision_label, {d.json('payload', 'page')} AS page FROM (SELECT DISTINCT import_id, service, title, artist, payload FROM media_imports) i"""
+def canonical_events(spark, sf_dir):
+    """Provider records in one shape. Events of each provider are first written as the provider would, and then mapped."""
+    rows = run(spark, sf_dir, "SELECT DISTINCT id, lower(trim(service)) AS service, source_id, title, artist, album, show_title, season, episode, release_year, duration_ms, played_at FROM media_events WHERE title IS NOT NULL AND played_at IS NOT NULL")
+    iso = F.concat(F.date_format("played_at", "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))
+    artist = F.array(F.struct(F.col("artist").alias("name")))
+    track = F.struct(F.col("id").alias("uri"), F.col("title").alias("name"), artist.alias("artists"), F.struct(F.col("album").alias("name"), F.concat(F.lpad("release_year", 4, "0"), F.lit("-01-01")).alias("release_date")).alias("album"), "duration_ms")
+    items = {
+        "spotify": F.struct(track.alias("track"), iso.alias("played_at")),
+        "plex": F.struct(
+            F.col("id").alias("ratingKey"), F.when(F.col("show_title").isNotNull(), "episode").otherwise("movie").alias("type"), "title", F.col("show_title").alias("grandparentTitle"), F.col("season").alias("parentIndex"), F.col("episode").alias("index"),
+            F.col("release_year").alias("year"), F.col("duration_ms").alias("duration"), F.unix_seconds(F.col("played_at").cast("timestamp")).alias("viewedAt"),
+        ),
+        "ytmusic": F.struct(F.col("id").alias("videoId"), "title", artist.alias("artists"), F.struct(F.col("album").alias("name")).alias("album"), F.floor(F.col("duration_ms") / 1000).alias("duration_seconds"), iso.alias("played")),
+    }
+    mapped = [providers.MAPPERS[name](rows.where(F.col("service") == name).select(F.to_json(item).alias("item"), F.col("source_id").alias("server_id"), F.lit("s").alias("server_name"))) for name, item in items.items()]
+    return mapped[0].unionByName(mapped[1]).unionByName(mapped[2]).drop("genres", "metadata")
+
+
+plan.direct("canonical_events", canonical_events, """WITH e AS (SELECT DISTINCT id, lower(trim(service)) AS service, source_id, title, artist, album, show_title, season, episode, release_year, duration_ms, played_at FROM media_events WHERE title IS NOT NULL AND played_at IS NOT NULL)
+    SELECT 'spotify' AS service, NULL AS source_id, id AS service_id, 'play' AS event_type, title, nullif(artist, '') AS artist, album, NULL AS show_title, NULL AS season, NULL AS episode, release_year, duration_ms, NULL AS played_ms, CAST(NULL AS BOOLEAN) AS completed, date_trunc('milliseconds', played_at) AS played_at FROM e WHERE service = 'spotify'
+    UNION ALL SELECT 'plex', source_id, CASE WHEN source_id IS NULL THEN id ELSE source_id || ':' || id END, 'watch', title, NULL, NULL, show_title, CASE WHEN show_title IS NOT NULL THEN season END, CASE WHEN show_title IS NOT NULL THEN episode END, release_year, duration_ms, duration_ms, true, date_trunc('second', played_at) FROM e WHERE service = 'plex' AND title <> ''
+    UNION ALL SELECT 'ytmusic', NULL, id, 'play', title, nullif(artist, ''), album, NULL, NULL, NULL, NULL, nullif(duration_ms // 1000, 0) * 1000, nullif(duration_ms // 1000, 0) * 1000, true, date_trunc('milliseconds', played_at) FROM e WHERE service = 'ytmusic' AND title <> ''""")
 
 
 @plan

@@ -26,8 +26,31 @@ def read_transfer(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_transfer(records: DataFrame, path: str) -> None:
-    """One compressed JSON line for each record."""
-    records.write.mode("errorifexists").option("compression", "gzip").option("ignoreNullFields", "true").json(path)
+    """One compressed JSON line for each record, and a line of the manifest in a file of its own."""
+    spark = records.sparkSession
+    lines = records.select(F.to_json(F.struct(*[F.coalesce(F.lit("memory"), "type").alias("type") if c == "type" else F.col(c) for c in records.columns])).alias("value"))
+    manifest = lines.agg(F.count("*").alias("records")).select(F.to_json(F.struct(F.lit("manifest").alias("type"), F.lit(1).alias("version"), "records")).alias("value"))
+    manifest.unionByName(lines).write.mode("errorifexists").option("compression", "gzip").text(path)
+    faults = transfer_faults(spark, path).collect()
+    if faults:
+        raise ValueError(f"the feed is beyond its limits: {', '.join(f.fault for f in faults)}")
+
+
+#: Limits of a feed: bytes of a line, records, bytes of all files as they are and unpacked.
+MOST_RECORDS, MOST_PACKED_BYTES, MOST_BYTES = 100_000, 64 << 20, 256 << 20
+
+
+def transfer_faults(spark: SparkSession, path: str) -> DataFrame:
+    """``fault, found`` for everything that refuses a feed: an oversized line, too many records or bytes, no manifest or one that states another number."""
+    kind = F.get_json_object("value", "$.type")
+    found = spark.read.text(path).select(F.octet_length("value").alias("bytes"), kind.alias("kind"), F.get_json_object("value", "$.records").cast("long").alias("stated")).agg(
+        F.max("bytes").alias("longest"), F.count_if(F.col("kind") != "manifest").alias("records"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("all"), F.count_if(F.col("kind") == "manifest").alias("manifests"), F.max("stated").alias("stated")
+    )
+    packed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).agg(F.coalesce(F.sum("length"), F.lit(0)).alias("packed"))
+    checks = [("long line", "longest", F.col("longest") > MOST_LINE_BYTES), ("records", "records", F.col("records") > MOST_RECORDS), ("bytes", "all", F.col("all") > MOST_BYTES), ("packed bytes", "packed", F.col("packed") > MOST_PACKED_BYTES),
+              ("manifests", "manifests", F.col("manifests") != 1), ("stated records", "stated", F.col("stated").isNull() | (F.col("stated") != F.col("records")))]
+    faults = F.array(*[F.when(bad, F.struct(F.lit(name).alias("fault"), F.col(column).cast("long").alias("found"))) for name, column, bad in checks])
+    return found.crossJoin(packed).select(F.explode(F.array_compact(faults)).alias("x")).select("x.*")  # one row each
 
 
 def oversized_lines(spark: SparkSession, path: str, most: int = MOST_LINE_BYTES) -> DataFrame:
@@ -70,6 +93,14 @@ def browser_page(visits: DataFrame, after_us: int, after_id: int, size: int) ->
     return visits.where(later).orderBy("visited_us", "visit_id").limit(size + 1)
 
 
+def read_archive(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Records (``origin, kind, title, content``) and trailer (``origin, records``) of an archive stream; a stream without its trailer isn't complete."""
+    shape = "type string, origin string, kind string, title string, content string, coverage array<struct<origin:string,records:long>>"
+    lines = spark.read.schema(shape).option("mode", "FAILFAST").json(path)
+    trailer = lines.where("type = 'trailer'").select(F.explode("coverage").alias("x")).select("x.*")
+    return lines.where("type = 'record'").select("origin", "kind", "title", "content"), trailer
+
+
 def append(frame: DataFrame, path: str, by: str | None = None) -> None:
     """Append-only sink of audit and trace rows, partitioned where a column is named."""
     writer = frame.write.mode("append")
