@@ -124,13 +124,18 @@ def taste_render(d):
         SELECT service, {d.listagg("artist || ' (' || CAST(n AS " + d.text + ") || ')'", '; ', 'pos')} AS line FROM r WHERE pos <= 5 GROUP BY service"""
 
 
-_MEDIA = "SELECT DISTINCT id, service, event_type, title, artist, album, show_title, season, episode, release_year, genres, played_at, completed, duration_ms, played_ms FROM media_events"
-_KIND = "CASE WHEN nullif(artist, '') IS NOT NULL THEN 'music' WHEN nullif(show_title, '') IS NOT NULL OR season IS NOT NULL OR episode IS NOT NULL THEN 'tv' WHEN lower(trim(service)) IN ('spotify', 'ytmusic') AND lower(trim(event_type)) = 'play' THEN 'music' ELSE 'unknown' END"
+_MEDIA = "SELECT DISTINCT id, service, event_type, title, artist, album, show_title, season, episode, release_year, genres, played_at, completed, duration_ms, played_ms, metadata FROM media_events"
+_KIND = "CASE WHEN lower(trim(service)) = 'plex' AND plex_type = 'track' THEN 'music' WHEN lower(trim(service)) = 'plex' AND plex_type = 'episode' THEN 'tv' WHEN lower(trim(service)) = 'plex' AND plex_type = 'movie' THEN 'movie' WHEN nullif(artist, '') IS NOT NULL THEN 'music' WHEN nullif(show_title, '') IS NOT NULL OR season IS NOT NULL OR episode IS NOT NULL THEN 'tv' WHEN lower(trim(service)) IN ('spotify', 'ytmusic') AND lower(trim(event_type)) = 'play' THEN 'music' ELSE 'unknown' END"
+
+
+def _typed(d) -> str:
+    """Events with the type that their provider's metadata states."""
+    return f"(SELECT *, lower(trim({d.json('metadata', 'plex_type')})) AS plex_type FROM ({_MEDIA}) m)"
 
 
 @plan
 def media_kind(d):
-    return f"SELECT id, {_KIND} AS kind FROM ({_MEDIA}) e"
+    return f"SELECT id, {_KIND} AS kind FROM {_typed(d)} e"
 
 
 @plan
@@ -148,7 +153,7 @@ def media_summary(d):
 @plan
 def media_tags(d):
     """Tags of each event: source, type, kind, and its genres unless they name another kind."""
-    return f"""WITH b AS (SELECT id, service, event_type, {_KIND} AS kind, completed, genres FROM ({_MEDIA}) e)
+    return f"""WITH b AS (SELECT id, service, event_type, {_KIND} AS kind, completed, genres FROM {_typed(d)} e)
         SELECT id, 'media' AS tag FROM b UNION SELECT id, service AS tag FROM b UNION SELECT id, event_type AS tag FROM b UNION SELECT id, kind AS tag FROM b UNION SELECT id, 'completed' AS tag FROM b WHERE completed IS TRUE
         UNION SELECT id, lower(trim(g)) AS tag FROM b {d.unnest('b.genres', 'x', 'g')} WHERE trim(g) <> '' AND (lower(trim(g)) NOT IN ('music', 'tv', 'movie', 'unknown') OR lower(trim(g)) = kind)"""
 

@@ -1,8 +1,9 @@
 """Structured Streaming twins of the batch operators over events.
 
-A finite input is drained with ``availableNow`` and its result is read back from the shared
-checkpoint folder, so a twin can be compared with its batch form. State is bounded by
-watermarks; nothing is collected.
+A finite input is drained with ``availableNow``; every batch writes a folder of its own under the shared checkpoint folder
+(a batch that is done again replaces it), and the result is read back from there. Windows and sessions are emitted
+once the watermark has closed them, which is when their state is dropped; counters are emitted when they change, and
+readers take the newest of each key. Nothing is collected.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lorekeep.session import ensure_checkpoint_dir
+from lorekeep.streaming import log
 
 LATENESS = "10 minutes"
 
@@ -32,18 +34,21 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_stream(spark, f"{sf_dir}/[e]vents.parquet", spark.read.parquet(path).schema).withColumn("at", F.col("ts").cast("timestamp"))
 
 
-def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """What a stream has given once all that is available is read."""
+def repeated(stream: DataFrame, every: str) -> DataFrame:
+    """The stream with some of its rows delivered a second time."""
+    return stream.unionByName(stream.where(every))
+
+
+def drained(stream: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
+    """What a stream has given once all that is available is read; with ``keys`` the newest row of each."""
     spark = stream.sparkSession
     ensure_checkpoint_dir(spark)
     base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
-    # a complete result replaces the one before, an append adds to it
-    how = "overwrite" if mode == "complete" else "append"
-    empty = spark.createDataFrame([], stream.schema)
-    empty.write.mode("overwrite").parquet(f"{base}/out")
-    query = stream.writeStream.outputMode(mode).foreachBatch(lambda df, _: df.write.mode(how).parquet(f"{base}/out")).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode(mode).foreachBatch(lambda df, number: log.write_batch(df, f"{base}/out", number)).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    if keys:
+        return log.latest(spark, f"{base}/out", stream.schema, keys)
+    return log.read_log(spark, f"{base}/out", stream.schema).drop(log.BATCH)
 
 
 def daily_counts(stream: DataFrame) -> DataFrame:
