@@ -2,33 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.session import checkpointed
 
 
-def bounded_walk(seeds: DataFrame, links: DataFrame, depth: int = 3, most: int = 100) -> DataFrame:
-    """``id, depth`` of the entities within ``depth`` steps of the seeds, at most ``most`` in all.
+MOST_ENTITIES = 100
+_ORDER = ("namespace", "entity_type", "normalized_name", "id")
 
-    Two entities are one step apart if a record links to both. Each step is two joins; the
-    frontier is bounded by ``most``, and cut in the order of id. The driver sees one count a step.
+
+def normal_name(name: Column) -> Column:
+    """White space collapsed, lower case: the form in which names and aliases are equal."""
+    return F.lower(F.trim(F.regexp_replace(name, r"\s+", " ")))
+
+
+def seeds(entities: DataFrame, links: DataFrame, name: str, entity_type: str | None = None, most: int = MOST_ENTITIES) -> DataFrame:
+    """``id, namespace, entity_type, normalized_name, more``: the first entities of a normal name or alias that visible ``links``
+    (``memory_id, entity_id, aliases``) point at; ``more`` tells that there were others."""
+    linked = links.select(F.col("entity_id").alias("id")).distinct()
+    aliased = links.where(F.exists("aliases", lambda a: normal_name(a) == name)).select(F.col("entity_id").alias("id")).distinct().withColumn("_alias", F.lit(True))
+    found = entities.select(*_ORDER).join(linked, "id", "left_semi").join(aliased, "id", "left").where((F.col("normalized_name") == name) | F.col("_alias")).drop("_alias")
+    found = found.where(F.col("entity_type") == entity_type) if entity_type else found
+    first = checkpointed(found.orderBy(*_ORDER).limit(most + 1))
+    more = first.count() > most
+    return first.orderBy(*_ORDER).limit(most).withColumn("more", F.lit(more))
+
+
+def bounded_walk(seeds: DataFrame, links: DataFrame, entities: DataFrame, depth: int = 3, most: int = MOST_ENTITIES) -> DataFrame:
+    """``id, depth, truncated`` of the entities within ``depth`` steps of the seeds, at most ``most`` in all.
+
+    Two entities are one step apart if a visible record links to both. Each step is two joins with the frontier, which
+    ``most`` bounds; what it reaches is taken in the order of namespace, type, name and id. ``truncated`` tells that
+    something was left out. The driver sees two counts a step.
     """
-    walked = checkpointed(seeds.select("id", F.lit(0).alias("depth")))
+    start = seeds.withColumn("more", F.lit(False)) if "more" not in seeds.columns else seeds
+    walked = checkpointed(start.select("id", F.lit(0).alias("depth"), "more"))
+    truncated = not walked.where("more").isEmpty()
+    walked = walked.drop("more")
     left = most - walked.count()
     for step in range(1, depth + 1):
-        if left <= 0:
-            break
         frontier = walked.where(F.col("depth") == step - 1).select(F.col("id").alias("entity_id"))
-        records = links.join(frontier, "entity_id", "left_semi").select("memory_id").distinct()
+        records = links.join(F.broadcast(frontier), "entity_id", "left_semi").select("memory_id").distinct()
         reached = links.join(records, "memory_id", "left_semi").select(F.col("entity_id").alias("id")).distinct()
-        new = checkpointed(reached.join(walked, "id", "left_anti").orderBy("id").limit(left).select("id", F.lit(step).alias("depth")))
+        new = reached.join(F.broadcast(walked.select("id")), "id", "left_anti").join(entities.select(*_ORDER), "id").orderBy(*_ORDER).limit(left + 1)
+        new = checkpointed(new.select(*_ORDER))
         found = new.count()
-        if not found:
+        truncated = truncated or found > left
+        if not found or not left:
             break
-        left -= found
-        walked = walked.unionByName(new)
-    return walked
+        walked = walked.unionByName(new.orderBy(*_ORDER).limit(left).select("id", F.lit(step).alias("depth")))
+        left -= min(found, left)
+    return walked.withColumn("truncated", F.lit(truncated))
 
 
 def chain_depth(links: DataFrame, most_rounds: int = 40) -> DataFrame:

@@ -223,6 +223,23 @@ def memories(d: Spark, columns: str) -> str:
     return f"(SELECT DISTINCT {columns} FROM memories)"
 
 
+def lot(d: Spark, n: int, column: str = "id") -> str:
+    """The class of a record in a derived batch, by a digest of its id: unchanged, changed, new or left out."""
+    return f"CAST(conv(substr(sha2(CAST({column} AS STRING), 256), 9, 8), 16, 10) AS BIGINT) % {n}" if d.name == "spark" else f"CAST('0x' || substr(sha256(CAST({column} AS VARCHAR)), 9, 8) AS BIGINT) % {n}"
+
+
+def canonical(d: Spark, more: str = "id") -> str:
+    """``namespace, h, canonical_id``: the least id of each content of a namespace, by the content's digest, which is aggregated in each task first."""
+    return f"(SELECT namespace, {d.sha('content')} AS h, min(id) AS canonical_id FROM memories WHERE content IS NOT NULL GROUP BY namespace, {d.sha('content')})"
+
+
+def of_content(d: Spark, columns: str = "") -> str:
+    """Records with the record that stands for their content; without content they stand for themselves."""
+    more = f", {columns}" if columns else ""
+    renamed = "".join(f", x.{c}" for c in columns.split(", ") if c)
+    return f"""(SELECT x.id, x.namespace{renamed}, coalesce(c.canonical_id, x.id) AS canonical_id FROM (SELECT DISTINCT id, namespace, {d.sha('content')} AS h{more} FROM memories) x LEFT JOIN {canonical(d)} c ON c.h = x.h AND c.namespace = x.namespace)"""
+
+
 def decay(d: Spark, as_of: str = "2026-03-01 00:00:00") -> str:
     """Relevance at an instant: decayed base plus a bounded bonus for access."""
     age = f"(({d.us(d.ts(as_of))} - {d.us(f'coalesce(accessed_at, {d.ts(as_of)})')}) / 8.64e10)"

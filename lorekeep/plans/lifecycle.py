@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorekeep.operators import admission, merges, nearpairs
-from lorekeep.plans.dialect import DUCK, SPARK, Plans, active, cosine, fiftieth, memories, run
+from lorekeep.plans.dialect import DUCK, SPARK, Plans, active, cosine, fiftieth, lot, memories, of_content, run
 from lorekeep.plans.retrieval import IDENTITY, usable
 from lorekeep.plans.statistics import jobs
 from lorekeep.session import table
@@ -78,11 +78,6 @@ def upsert_preview(d):
         FROM n LEFT JOIN k ON k.client_id = n.client_id AND k.service = n.service AND k.source_id = n.source_id AND k.event_key = n.event_key LEFT JOIN l ON l.client_id = n.client_id AND l.service = n.service AND l.title = n.title AND l.day = {d.day('n.played_at')}"""
 
 
-#: The class of a record in a derived batch, by a digest of its id: unchanged, changed, new or left out of a snapshot.
-def lot(d, n: int, column: str = "id") -> str:
-    return f"CAST(conv(substr(sha2({column}, 256), 9, 8), 16, 10) AS BIGINT) % {n}" if d.name == "spark" else f"CAST('0x' || substr(sha256({column}), 9, 8) AS BIGINT) % {n}"
-
-
 def _keyed(spark, sf_dir):
     """Records with a source key, and a batch that holds each of them again (some changed) and a new one beside some."""
     cols = "id, client_id, source_key, content, namespace, deleted_at, superseded_at, updated_at"
@@ -139,8 +134,7 @@ plan.direct("patch_merge", patch_merge, f"""WITH m AS {memories(DUCK, 'id, tags,
 @plan
 def forget_cascade(d):
     """Deleting a copy also deletes the record that stands for it."""
-    return f"""WITH m AS {memories(d, 'id, namespace, content, deleted_at')}, c AS (SELECT id, first_value(id) OVER (PARTITION BY namespace, content ORDER BY id) AS canonical_id FROM m WHERE content IS NOT NULL), chosen AS (SELECT id FROM m WHERE namespace = 'finance')
-        SELECT id FROM chosen UNION SELECT c.canonical_id AS id FROM c JOIN chosen ON chosen.id = c.id"""
+    return f"""WITH c AS (SELECT id, canonical_id FROM {of_content(d)} o WHERE namespace = 'finance') SELECT id FROM c UNION SELECT canonical_id AS id FROM c"""
 
 
 def agent_merge(spark, sf_dir):
@@ -333,8 +327,13 @@ def rate_admission_minute(d):
 
 @plan
 def cursor_advance(d):
-    """Pages of a connector: where each begins and ends; an end must lie beyond the one before."""
-    return """WITH e AS (SELECT service, played_at, id, row_number() OVER (PARTITION BY service ORDER BY played_at, id) AS pos FROM (SELECT DISTINCT service, played_at, id FROM media_events WHERE played_at IS NOT NULL) x), p AS (SELECT service, CAST(floor((pos - 1) / 50e0) AS BIGINT) AS page, max(played_at) AS cursor_at, count(*) AS n FROM e GROUP BY 1, 2)
+    """Pages of a connector: where each begins and ends; an end must lie beyond the one before.
+
+    Events are numbered within their day, and days by what came before them, so no task numbers all events of a service.
+    """
+    return f"""WITH e AS (SELECT service, {d.day('played_at')} AS day, played_at, id FROM (SELECT DISTINCT service, played_at, id FROM media_events WHERE played_at IS NOT NULL) x),
+        days AS (SELECT service, day, coalesce(sum(n) OVER (PARTITION BY service ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT service, day, count(*) AS n FROM e GROUP BY service, day) c),
+        p AS (SELECT service, CAST(floor((before + pos - 1) / 50e0) AS BIGINT) AS page, max(played_at) AS cursor_at, count(*) AS n FROM (SELECT e.service, e.day, e.played_at, row_number() OVER (PARTITION BY e.service, e.day ORDER BY e.played_at, e.id) AS pos FROM e) r JOIN days USING (service, day) GROUP BY 1, 2)
         SELECT service, page, cursor_at, n, coalesce(cursor_at > lag(cursor_at) OVER (PARTITION BY service ORDER BY page), true) AS advanced FROM p"""
 
 

@@ -7,8 +7,10 @@ counterparts join the block with itself, which small tables allow.
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from lorekeep.operators import chunks, clustering, graph, nearpairs
-from lorekeep.plans.dialect import DUCK, SPARK, Plans, active, cosine, decay, memories, run
+from lorekeep.plans.dialect import DUCK, SPARK, Plans, active, cosine, decay, memories, of_content, rank_of, run
 from lorekeep.plans.retrieval import IDENTITY, SPACE, usable
 from lorekeep.plans.visibility import series
 from lorekeep.session import checkpointed, table
@@ -29,21 +31,21 @@ def current(d) -> str:
 
 
 def records(d) -> str:
-    """Live records with a usable vector, each once, with what decides who may take part.
+    """Live records with a usable vector and with what decides who may take part; vectors aren't shuffled to find out that a row was delivered twice.
 
     A record without a source key belongs to no series, so nothing supersedes it.
     ``duplicates`` may be the target of a store-time duplicate, ``insights`` take part in consolidation and
     ``claims`` can be contradicted.
     """
-    columns = "id, namespace, access_level, memory_kind, source_key, session_id, content, embedding, embedding_provider, embedding_model, embedding_dimensions, created_at, deleted_at, expires_at, valid_from, relevance_base_score, decay_rate, accessed_at, access_count"
-    copies = "PARTITION BY namespace, " + d.sha("coalesce(content, '')") + " ORDER BY id"
-    return f"""(WITH once AS (SELECT DISTINCT {columns} FROM memories m WHERE {active(d)}), s AS (SELECT id, valid_to FROM {series(d)} v),
-        c AS (SELECT id, lag(id) OVER ({copies}) IS NOT NULL AS consolidated FROM once WHERE content IS NOT NULL AND source_key IS NULL),
-        m AS (SELECT once.*, CASE WHEN source_key IS NOT NULL THEN s.valid_to END AS valid_to, coalesce(c.consolidated, false) AS consolidated FROM once JOIN s ON s.id = once.id LEFT JOIN c ON c.id = once.id WHERE {usable(d)})
-        SELECT id, namespace, coalesce(access_level, 'normal') AS level, embedding, {', '.join(IDENTITY)}, created_at, session_id, {decay(d)} AS relevance,
-          source_key IS NULL AND expires_at IS NULL AND {current(d)} AND {_WHOLE} AS duplicates,
-          access_level = 'normal' AND memory_kind = 'semantic' AND {current(d)} AND source_key IS NULL AS insights,
-          access_level = 'normal' AND memory_kind = 'semantic' AND {current(d)} AS claims FROM m)"""
+    narrow = f"id, namespace, access_level, memory_kind, source_key, {d.sha('content')} AS h, valid_from, expires_at, created_at, {decay(d)} AS relevance"
+    return f"""(WITH once AS (SELECT DISTINCT {narrow} FROM memories m WHERE {active(d)}), s AS (SELECT id, valid_to FROM {series(d)} v WHERE source_key IS NOT NULL),
+        c AS (SELECT namespace, h, min(id) AS canonical_id FROM once WHERE h IS NOT NULL AND source_key IS NULL GROUP BY namespace, h),
+        m AS (SELECT once.*, s.valid_to, source_key IS NULL AND coalesce(c.canonical_id <> once.id, false) AS consolidated FROM once LEFT JOIN s ON s.id = once.id LEFT JOIN c ON c.namespace = once.namespace AND c.h = once.h),
+        v AS (SELECT id, embedding, {', '.join(IDENTITY)} FROM memories x WHERE {usable(d)} AND {active(d)})
+        SELECT m.id, m.namespace, coalesce(m.access_level, 'normal') AS level, v.embedding, {', '.join('v.' + c for c in IDENTITY)}, m.created_at, m.relevance,
+          m.source_key IS NULL AND m.expires_at IS NULL AND {current(d)} AND {_WHOLE} AS duplicates,
+          m.access_level = 'normal' AND m.memory_kind = 'semantic' AND {current(d)} AND m.source_key IS NULL AS insights,
+          m.access_level = 'normal' AND m.memory_kind = 'semantic' AND {current(d)} AS claims FROM m JOIN v ON v.id = m.id)"""
 
 
 _BLOCK = ["namespace", "level", *IDENTITY]
@@ -60,7 +62,7 @@ def near_sql(least: float, columns: str, only: str = "true") -> str:
     names = ["id", *columns.split(", ")]
     sim = f"round({cosine(DUCK, 'a.embedding', 'b.embedding')}, 12)"
     both = ", ".join(f"{t}.{c} AS {t}_{c}" for t in "ab" for c in names)
-    return f"""(WITH r AS (SELECT * FROM {records(DUCK)} r WHERE {only}) SELECT a.namespace, {both}, {sim} AS sim FROM r a JOIN r b ON {' AND '.join(f'b.{c} = a.{c}' for c in _BLOCK)} AND b.id <> a.id WHERE {sim} >= {least})"""
+    return f"""(WITH r AS (SELECT DISTINCT * FROM {records(DUCK)} r WHERE {only}) SELECT a.namespace, {both}, {sim} AS sim FROM r a JOIN r b ON {' AND '.join(f'b.{c} = a.{c}' for c in _BLOCK)} AND b.id <> a.id WHERE {sim} >= {least})"""
 
 
 def _pairs(name: str, sql: str, least: float, columns: str, only: str = "true") -> None:
@@ -122,7 +124,7 @@ def tag_union(d):
 def anchors_page(d):
     """The next anchors of consolidation after a cursor of time and id."""
     at = d.ts("2025-06-01 00:00:00")
-    return f"SELECT id, created_at FROM {records(d)} m WHERE insights AND (created_at > {at} OR (created_at = {at} AND id > '0')) ORDER BY created_at, id LIMIT 200"
+    return f"SELECT DISTINCT id, created_at FROM {records(d)} m WHERE insights AND (created_at > {at} OR (created_at = {at} AND id > '0')) ORDER BY created_at, id LIMIT 200"
 
 
 @plan
@@ -135,9 +137,11 @@ def embedding_readiness(d):
 
 @plan
 def cluster_key(d):
-    """An order-independent key and the canonical tags of every group of copies."""
-    return f"""WITH m AS {memories(d, 'id, namespace, content')}, g AS (SELECT namespace, content, {d.listagg('id', ',', 'id')} AS members, count(*) AS n FROM m WHERE content IS NOT NULL GROUP BY namespace, content HAVING count(*) BETWEEN 2 AND 20)
-        SELECT namespace, n, {d.sha('members')} AS source_key FROM g"""
+    """A key of every group of copies that doesn't depend on their order: a digest of their ids with their fingerprints under a policy."""
+    member = f"lower(id) || ':' || {d.sha("coalesce(tags, '') || '|' || CAST(revision AS " + d.text + ")")}"
+    return f"""WITH m AS (SELECT DISTINCT id, namespace, {d.sha('content')} AS h, {d.join('tags', ',')} AS tags, revision FROM memories WHERE content IS NOT NULL), g AS (SELECT namespace, h, count(*) AS n FROM m GROUP BY namespace, h HAVING count(*) BETWEEN 2 AND 20),
+        k AS (SELECT m.namespace, m.h, max(g.n) AS n, {d.listagg(member, chr(10), member)} AS members FROM m JOIN g ON g.namespace = m.namespace AND g.h = m.h GROUP BY m.namespace, m.h)
+        SELECT namespace, n, 'memory-consolidation:v1:' || {d.sha("'policy' || chr(10) || members")} AS source_key FROM k"""
 
 
 @plan
@@ -154,8 +158,7 @@ def canonical_tags(d):
 @plan
 def membership_intervals(d):
     """Copies belong to the least id of their content from when they appear until they are deleted."""
-    return f"""WITH m AS {memories(d, 'id, namespace, content, created_at, deleted_at')}, c AS (SELECT id, first_value(id) OVER (PARTITION BY namespace, content ORDER BY id) AS canonical_id, created_at, deleted_at FROM m WHERE content IS NOT NULL)
-        SELECT canonical_id, id AS member_id, created_at AS consolidated_at, deleted_at AS deconsolidated_at FROM c WHERE id <> canonical_id"""
+    return f"""SELECT canonical_id, id AS member_id, created_at AS consolidated_at, deleted_at AS deconsolidated_at FROM {of_content(d, 'created_at, deleted_at')} c WHERE id <> canonical_id"""
 
 
 @plan
@@ -172,7 +175,6 @@ def complete_link_clusters(spark, sf_dir):
     return clustering.complete_link(_insight_pairs(spark, sf_dir))
 
 
-#: Anchors with one later neighbour, or two that are near each other, can be told by SQL; where these are all, they are the result.
 plan.direct("complete_link_clusters", complete_link_clusters)
 
 
@@ -195,11 +197,22 @@ def reflection_sample(d):
         SELECT namespace, id, k, pos FROM p WHERE pos <= 30"""
 
 
+def within_budget(rows: str, slice_: str, order: str, n: str, most: int) -> str:
+    """``namespace, id, upto`` of rows in order while the running sum of ``n`` stays within the budget.
+
+    Sums of slices of the order tell which slices can hold such rows; only these are summed row by row, each in its own task.
+    """
+    ahead = "" if "DESC" not in order else " DESC"
+    return f"""WITH r AS (SELECT *, {slice_} AS slice FROM {rows}), t AS (SELECT namespace, slice, coalesce(sum(sum({n})) OVER (PARTITION BY namespace ORDER BY slice{ahead} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r GROUP BY namespace, slice),
+        p AS (SELECT r.namespace, r.id, CAST(t.before + sum(r.{n}) OVER (PARTITION BY r.namespace, r.slice ORDER BY {order} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM r JOIN t ON t.namespace = r.namespace AND t.slice = r.slice WHERE t.before <= {most})
+        SELECT namespace, id, upto FROM p WHERE upto <= {most}"""
+
+
 @plan
 def byte_budget_page(d):
     """Records of each namespace in order of id while their bytes stay within the budget."""
-    return f"""WITH m AS (SELECT id, namespace, least(coalesce({d.bytes('content')}, 0), 1048576) AS n FROM {memories(d, 'id, namespace, content')} x), r AS (SELECT namespace, id, CAST(sum(n) OVER (PARTITION BY namespace ORDER BY id) AS BIGINT) AS upto FROM m)
-        SELECT namespace, id, upto FROM r WHERE upto <= 30000"""
+    rows = f"(SELECT DISTINCT id, namespace, least(coalesce({d.bytes('content')}, 0), 1048576) AS n FROM memories)"
+    return within_budget(rows + " m", "substr(id, 1, 3)", "r.id", "n", 30_000)
 
 
 @plan
@@ -216,9 +229,9 @@ def list_page(d):
 
 @plan
 def prompt_budget(d):
-    """Taken in order until the first record that would exceed the cap; nothing after it."""
-    return f"""WITH r AS (SELECT namespace, id, created_at, coalesce({d.bytes('content')}, 0) + 64 AS n FROM {memories(d, 'id, namespace, created_at, content, deleted_at')} m WHERE deleted_at IS NULL),
-        s AS (SELECT namespace, id, CAST(sum(n) OVER (PARTITION BY namespace ORDER BY created_at DESC, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM r) SELECT namespace, id, upto FROM s WHERE upto <= 20000"""
+    """Taken in order, newest first, until the first record that would exceed the cap; nothing after it."""
+    rows = f"(SELECT DISTINCT id, namespace, created_at, coalesce({d.bytes('content')}, 0) + 64 AS n FROM memories WHERE deleted_at IS NULL AND created_at IS NOT NULL)"
+    return within_budget(rows + " m", d.day("created_at"), "r.created_at DESC, r.id", "n", 20_000)
 
 
 @plan
@@ -256,42 +269,73 @@ def genre_counts(d):
     return f"SELECT lower(trim(g)) AS genre, count(DISTINCT id) AS n FROM (SELECT DISTINCT id, genres FROM media_events) e {d.unnest('e.genres', 'x', 'g')} WHERE trim(g) <> '' GROUP BY 1"
 
 
-@plan
-def graph_seeds(d):
-    """People found by name or alias."""
-    return f"""SELECT DISTINCT e.id, e.namespace, e.entity_type, e.normalized_name FROM entities e JOIN (SELECT entity_id, lower(trim(al)) AS alias FROM memory_entities l {d.unnest('l.aliases', 'x', 'al')}) a ON a.entity_id = e.id
-        WHERE e.normalized_name LIKE 'karim%' OR a.alias LIKE 'karim%' ORDER BY e.namespace, e.entity_type, e.normalized_name, e.id LIMIT 101"""
+#: Whom the named graph queries ask for, in its normal form.
+ASKED = "karim"
+
+
+def _links(spark, sf_dir):
+    """Links whose record may be seen, with the aliases that were found for them."""
+    seen = run(spark, sf_dir, f"SELECT DISTINCT id AS memory_id FROM memories m WHERE {active(SPARK)} AND {rank_of('access_level')} <= 1")
+    return table(spark, sf_dir, "memory_entities").join(seen, "memory_id", "left_semi")
+
+
+def _named(spark, sf_dir) -> str:
+    """A name that has several links: the one that the most entities share, then the first."""
+    top = run(spark, sf_dir, "SELECT normalized_name FROM entities GROUP BY normalized_name ORDER BY count(*) DESC, normalized_name LIMIT 1").first()
+    return top[0] if top else ASKED
+
+
+_NAMED_SQL = "(SELECT normalized_name FROM entities GROUP BY normalized_name ORDER BY count(*) DESC, normalized_name LIMIT 1)"
+
+
+def graph_seeds(spark, sf_dir):
+    """Entities of a name, or with an alias of that form, that a visible record links to."""
+    return graph.seeds(table(spark, sf_dir, "entities"), _links(spark, sf_dir), _named(spark, sf_dir)).select("id", "namespace", "entity_type", "normalized_name")
+
+
+_SEEN = f"(SELECT DISTINCT id AS memory_id FROM memories m WHERE {active(DUCK)} AND {rank_of('access_level')} <= 1)"
+_LINKS = f"links AS (SELECT DISTINCT l.memory_id, l.entity_id FROM memory_entities l JOIN {_SEEN} s ON s.memory_id = l.memory_id)"
+_ORDER = "namespace, entity_type, normalized_name, id"
+_SEEDS = rf"""{_LINKS}, al AS (SELECT DISTINCT entity_id FROM (SELECT l.entity_id, lower(trim(regexp_replace(unnest(l.aliases), '\s+', ' ', 'g'))) AS alias FROM memory_entities l JOIN {_SEEN} s ON s.memory_id = l.memory_id) a WHERE alias = {_NAMED_SQL}),
+    s AS (SELECT id, namespace, entity_type, normalized_name FROM entities e WHERE id IN (SELECT entity_id FROM links) AND (normalized_name = {_NAMED_SQL} OR id IN (SELECT entity_id FROM al)) ORDER BY {_ORDER} LIMIT 100)"""
+plan.direct("graph_seeds", graph_seeds, f"WITH {_SEEDS} SELECT id, namespace, entity_type, normalized_name FROM s")
 
 
 def _graph(spark, sf_dir):
-    links = table(spark, sf_dir, "memory_entities").select("memory_id", "entity_id").distinct()
-    seeds = table(spark, sf_dir, "entities").where("normalized_name LIKE 'karim%'").select("id").orderBy("id").limit(3)
-    return links, graph.bounded_walk(seeds, links, depth=2, most=100)
+    links, entities = _links(spark, sf_dir).select("memory_id", "entity_id").distinct(), table(spark, sf_dir, "entities")
+    return links, graph.bounded_walk(graph.seeds(entities, _links(spark, sf_dir), _named(spark, sf_dir)), links, entities, depth=2)
 
 
-plan.direct("graph_bfs", lambda spark, sf_dir: _graph(spark, sf_dir)[1])
-_DEPTHS = """WITH links AS (SELECT DISTINCT memory_id, entity_id FROM memory_entities), s AS (SELECT id, 0 AS depth FROM entities WHERE normalized_name LIKE 'karim%' ORDER BY id LIMIT 3),
-    one AS (SELECT DISTINCT b.entity_id AS id FROM s JOIN links a ON a.entity_id = s.id JOIN links b ON b.memory_id = a.memory_id WHERE b.entity_id NOT IN (SELECT id FROM s) ORDER BY b.entity_id LIMIT 97),
-    n1 AS (SELECT count(*) AS n FROM one),
-    two AS (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY id) AS pos FROM (SELECT DISTINCT b.entity_id AS id FROM one JOIN links a ON a.entity_id = one.id JOIN links b ON b.memory_id = a.memory_id WHERE b.entity_id NOT IN (SELECT id FROM s) AND b.entity_id NOT IN (SELECT id FROM one)) x) y, n1 WHERE pos <= 97 - n1.n),
-    walked AS (SELECT id, depth FROM s UNION ALL SELECT id, 1 FROM one UNION ALL SELECT id, 2 FROM two)"""
-ORACLE["graph_bfs"] = _DEPTHS + " SELECT id, CAST(depth AS INTEGER) AS depth FROM walked"
+plan.direct("graph_bfs", lambda spark, sf_dir: _graph(spark, sf_dir)[1].select("id", "depth", "truncated"))
+_STEP = "SELECT DISTINCT e.id, e.namespace, e.entity_type, e.normalized_name FROM {0} f JOIN links a ON a.entity_id = f.id JOIN links b ON b.memory_id = a.memory_id JOIN entities e ON e.id = b.entity_id WHERE e.id NOT IN (SELECT id FROM s){1}"
+_DEPTHS = f"""WITH {_SEEDS}, n0 AS (SELECT count(*) AS n FROM s), one_all AS ({_STEP.format('s', '')}),
+    one AS (SELECT id, namespace, entity_type, normalized_name FROM (SELECT *, row_number() OVER (ORDER BY {_ORDER}) AS pos FROM one_all) x, n0 WHERE pos <= 100 - n0.n), n1 AS (SELECT n0.n + (SELECT count(*) FROM one) AS n FROM n0),
+    two_all AS ({_STEP.format('one', ' AND e.id NOT IN (SELECT id FROM one)')}),
+    two AS (SELECT id FROM (SELECT *, row_number() OVER (ORDER BY {_ORDER}) AS pos FROM two_all) x, n1 WHERE pos <= 100 - n1.n),
+    walked AS (SELECT id, 0 AS depth FROM s UNION ALL SELECT id, 1 FROM one UNION ALL SELECT id, 2 FROM two),
+    cut AS (SELECT (SELECT count(*) FROM one_all) > (SELECT count(*) FROM one) OR (SELECT count(*) FROM two_all) > (SELECT count(*) FROM two) AS truncated)"""
+ORACLE["graph_bfs"] = _DEPTHS + " SELECT id, CAST(depth AS INTEGER) AS depth, truncated FROM walked, cut"
 
 
 def graph_memories(spark, sf_dir):
+    """Records that link to the entities that were reached, oldest first; one more than the bound tells that there are more."""
     links, walked = _graph(spark, sf_dir)
-    return links.join(walked.withColumnRenamed("id", "entity_id"), "entity_id", "left_semi").select("memory_id").distinct().orderBy("memory_id").limit(501)
+    found = links.join(F.broadcast(walked.select(F.col("id").alias("entity_id"))), "entity_id", "left_semi").select(F.col("memory_id").alias("id")).distinct()
+    return table(spark, sf_dir, "memories").select("id", "created_at").join(found, "id", "left_semi").distinct().orderBy("created_at", "id").limit(501)
 
 
-plan.direct("graph_memories", graph_memories, _DEPTHS + " SELECT DISTINCT memory_id FROM links WHERE entity_id IN (SELECT id FROM walked) ORDER BY memory_id LIMIT 501")
+plan.direct("graph_memories", graph_memories, _DEPTHS + " SELECT DISTINCT m.id, m.created_at FROM links l JOIN memories m ON m.id = l.memory_id WHERE l.entity_id IN (SELECT id FROM walked) ORDER BY m.created_at, m.id LIMIT 501")
 
 
 def graph_edges(spark, sf_dir):
+    """Links between the entities and the records of the two queries above."""
     links, walked = _graph(spark, sf_dir)
-    return links.join(walked.withColumnRenamed("id", "entity_id"), "entity_id", "left_semi").orderBy("memory_id", "entity_id").limit(1001)
+    kept = graph_memories(spark, sf_dir).limit(500).select(F.col("id").alias("memory_id"))
+    between = links.join(F.broadcast(walked.select(F.col("id").alias("entity_id"))), "entity_id", "left_semi").join(F.broadcast(kept), "memory_id", "left_semi")
+    return between.select("entity_id", "memory_id").orderBy("memory_id", "entity_id").limit(1001)
 
 
-plan.direct("graph_edges", graph_edges, _DEPTHS + " SELECT entity_id, memory_id FROM links WHERE entity_id IN (SELECT id FROM walked) ORDER BY memory_id, entity_id LIMIT 1001")
+plan.direct("graph_edges", graph_edges, _DEPTHS + ", kept AS (SELECT DISTINCT m.id, m.created_at FROM links l JOIN memories m ON m.id = l.memory_id WHERE l.entity_id IN (SELECT id FROM walked) ORDER BY m.created_at, m.id LIMIT 500) SELECT entity_id, memory_id FROM links WHERE entity_id IN (SELECT id FROM walked) AND memory_id IN (SELECT id FROM kept) ORDER BY memory_id, entity_id LIMIT 1001")
 
 
 def ancestor_chain(spark, sf_dir):

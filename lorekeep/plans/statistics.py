@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lorekeep.plans.dialect import Plans, active, decay, memories
+from lorekeep.plans.dialect import Plans, active, decay, lot, memories
 
 plan = Plans()
 QUERIES, ORACLE = plan.QUERIES, plan.ORACLE
@@ -308,10 +308,16 @@ def chunk_count_drift(d):
 
 @plan
 def decay_summary(d):
-    """Count, range, mean and upper median of the decayed relevance by namespace; the median is the one at floor(n / 2)."""
-    return f"""WITH r AS (SELECT id, namespace, {decay(d)} AS score FROM {memories(d, 'id, namespace, relevance_base_score, decay_rate, accessed_at, access_count, deleted_at, expires_at')} m WHERE {active(d)}),
-        o AS (SELECT namespace, score, row_number() OVER (PARTITION BY namespace ORDER BY score, id) AS pos, count(*) OVER (PARTITION BY namespace) AS n FROM r)
-        SELECT namespace, max(n) AS n, round(min(score), 6) AS least, round(max(score), 6) AS most, round(avg(score), 6) AS mean, round(max(CASE WHEN pos = floor(n / 2) + 1 THEN score END), 6) AS median FROM o GROUP BY namespace"""
+    """Count, range, mean and upper median of the decayed relevance by namespace; the median is the one at floor(n / 2).
+
+    Scores are counted in narrow steps first; only those of the step that holds the median are put in order.
+    """
+    return f"""WITH r AS (SELECT id, namespace, score, CAST(floor(score * 1e4) AS BIGINT) AS step FROM (SELECT id, namespace, {decay(d)} AS score FROM {memories(d, 'id, namespace, relevance_base_score, decay_rate, accessed_at, access_count, deleted_at, expires_at')} m WHERE {active(d)}) x),
+        steps AS (SELECT namespace, step, count(*) AS k, coalesce(sum(count(*)) OVER (PARTITION BY namespace ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r GROUP BY namespace, step),
+        total AS (SELECT namespace, count(*) AS n, min(score) AS least, max(score) AS most, avg(score) AS mean FROM r GROUP BY namespace),
+        wanted AS (SELECT s.namespace, s.step, floor(t.n / 2) - s.before + 1 AS pos FROM steps s JOIN total t ON t.namespace = s.namespace WHERE s.before <= floor(t.n / 2) AND floor(t.n / 2) < s.before + s.k),
+        o AS (SELECT r.namespace, r.score, w.pos, row_number() OVER (PARTITION BY r.namespace, r.step ORDER BY r.score, r.id) AS nth FROM r JOIN wanted w ON w.namespace = r.namespace AND w.step = r.step)
+        SELECT t.namespace, t.n, round(t.least, 6) AS least, round(t.most, 6) AS most, round(t.mean, 6) AS mean, round(o.score, 6) AS median FROM total t JOIN o ON o.namespace = t.namespace AND o.nth = o.pos"""
 
 
 @plan
@@ -359,7 +365,7 @@ def ordered_digest(d):
 @plan
 def shrink_guard(d):
     """An origin of at least a hundred records may not fall below nine tenths."""
-    return f"""WITH o AS (SELECT source, count(*) AS old_n, count(CASE WHEN deleted_at IS NULL AND substr(id, 1, 1) <> '0' THEN 1 END) AS new_n FROM {memories(d, 'id, source, deleted_at')} m GROUP BY source)
+    return f"""WITH o AS (SELECT source, count(*) AS old_n, count(CASE WHEN deleted_at IS NULL AND {lot(d, 8)} <> 0 THEN 1 END) AS new_n FROM {memories(d, 'id, source, deleted_at')} m GROUP BY source)
         SELECT source, old_n, new_n, old_n >= 100 AND new_n < old_n * 9e-1 AS refused FROM o"""
 
 

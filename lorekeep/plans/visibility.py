@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from lorekeep.plans.dialect import Plans, active, ceiling_of, memories, rank_of
+from lorekeep.plans.dialect import DUCK, SPARK, Plans, active, ceiling_of, lot, memories, of_content, rank_of, run
+from lorekeep.sources import feeds
 
 plan = Plans()
 QUERIES, ORACLE = plan.QUERIES, plan.ORACLE
@@ -32,10 +33,7 @@ def scan_media_events(d):
 @plan
 def recall_by_id(d):
     """Lookup by id through the alias of an exact copy: a content's least id is canonical within a namespace."""
-    return f"""WITH m AS {memories(d, 'id, namespace, content, deleted_at, expires_at')},
-        canonical AS (SELECT id, first_value(id) OVER (PARTITION BY namespace, content ORDER BY id) AS canonical_id FROM m WHERE content IS NOT NULL)
-        SELECT m.id, coalesce(c.canonical_id, m.id) AS canonical_id, t.namespace
-        FROM m LEFT JOIN canonical c ON m.id = c.id JOIN m t ON t.id = coalesce(c.canonical_id, m.id) WHERE {active(d, 't.')}"""
+    return f"""SELECT m.id, m.canonical_id, t.namespace FROM {of_content(d)} m JOIN {memories(d, 'id, namespace, deleted_at, expires_at')} t ON t.id = m.canonical_id WHERE {active(d, 't.')}"""
 
 
 @plan
@@ -76,20 +74,37 @@ def snapshot_coverage(d):
         CASE WHEN count(content) = count(*) THEN 'complete' ELSE 'partial' END AS status FROM {memories(d, 'id, source, namespace, content')} m GROUP BY source"""
 
 
+def snapshot_reconcile(spark, sf_dir):
+    """An archive's records against its trailer, which states one record more than there is for every third origin."""
+    records = run(spark, sf_dir, f"SELECT source FROM {memories(SPARK, 'id, source')} m")
+    trailer = run(spark, sf_dir, f"SELECT source AS origin, count(*) + CASE WHEN {lot(SPARK, 3, 'source')} = 0 THEN 1 ELSE 0 END AS records FROM {memories(SPARK, 'id, source')} m GROUP BY source")
+    return feeds.reconcile(records, trailer)
+
+
+plan.direct("snapshot_reconcile", snapshot_reconcile, f"SELECT source AS origin, count(*) + CASE WHEN {lot(DUCK, 3, 'source')} = 0 THEN 1 ELSE 0 END AS stated, count(*) AS found, {lot(DUCK, 3, 'source')} <> 0 AS complete FROM {memories(DUCK, 'id, source')} m GROUP BY source")
+
+
 @plan
 def file_sync_diff(d):
-    """Two states of a watched folder by path and hash: what is new, changed, removed or the same."""
-    return f"""WITH old_files AS (SELECT doc_id, {d.sha("coalesce(text, '')")} AS h FROM documents WHERE doc_id % 10 <> 3),
-        new_files AS (SELECT doc_id, {d.sha("CASE WHEN doc_id % 7 = 0 THEN coalesce(text, '') || '!' ELSE coalesce(text, '') END")} AS h FROM documents WHERE doc_id % 11 <> 4)
+    """Two states of a watched folder by path and hash: what is new, changed, removed or the same. Both states come from all documents."""
+    return f"""WITH f AS (SELECT doc_id, text, {lot(d, 6, 'doc_id')} AS kind FROM documents), old_files AS (SELECT doc_id, {d.sha("coalesce(text, '')")} AS h FROM f WHERE kind <> 0),
+        new_files AS (SELECT doc_id, {d.sha("CASE WHEN kind = 1 THEN coalesce(text, '') || '!' ELSE coalesce(text, '') END")} AS h FROM f WHERE kind <> 2)
         SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'insert' WHEN n.doc_id IS NULL THEN 'delete' WHEN o.h = n.h THEN 'skip' ELSE 'update' END AS action
         FROM old_files o FULL OUTER JOIN new_files n ON o.doc_id = n.doc_id"""
 
 
+#: What keys ask for: nothing, or a few namespaces of which some may not be theirs.
+_REQUESTS = {"all": [], "some": ["work", "my-life", "nowhere"]}
+
+
 @plan
 def scope_filter(d):
-    """Requested namespaces within the allowed ones of each key; the private archive only on request."""
-    return f"""WITH keys AS (SELECT k.id AS key_id, ns FROM api_keys k {d.unnest('k.namespaces', 'n', 'ns')} WHERE k.enabled)
-        SELECT key_id, count(*) AS visible FROM keys JOIN {memories(d, 'id, namespace')} m ON m.namespace = keys.ns WHERE m.namespace <> 'my-life' GROUP BY key_id"""
+    """What each enabled key sees: the requested namespaces that it may see, or all of them but the private archive, which must be asked for."""
+    asked = " UNION ALL ".join(f"SELECT '{name}' AS request, {d.values_in(x) if x else ('array()' if d.name == 'spark' else '[]')} AS wanted" for name, x in [("some", _REQUESTS["some"])])
+    return f"""WITH keys AS (SELECT k.id AS key_id, ns FROM api_keys k {d.unnest('k.namespaces', 'n', 'ns')} WHERE k.enabled), r AS ({asked}),
+        scope AS (SELECT key_id, 'all' AS request, ns FROM keys WHERE ns <> 'my-life' UNION ALL SELECT key_id, request, ns FROM keys JOIN r ON array_contains(r.wanted, keys.ns)),
+        counts AS (SELECT namespace, count(*) AS n FROM {memories(d, 'id, namespace')} m GROUP BY namespace)
+        SELECT key_id, request, CAST(sum(n) AS BIGINT) AS visible FROM scope JOIN counts ON counts.namespace = scope.ns GROUP BY key_id, request"""
 
 
 @plan
@@ -115,14 +130,12 @@ def eligible_parents(d):
 
 @plan
 def valid_at(d):
-    """What was valid at an instant, without what was consolidated then."""
+    """What was valid at an instant, without what was part of another record then: a copy is, from when it appears until it is deleted."""
     at = d.ts("2025-09-01 00:00:00")
     return f"""WITH s AS {series(d)},
-        consolidated AS (SELECT id AS member_id, created_at AS consolidated_at, updated_at AS deconsolidated_at FROM {memories(d, 'id, source, created_at, updated_at')} c WHERE source = 'consolidation')
-        SELECT s.id FROM s LEFT ANTI JOIN consolidated c ON c.member_id = s.id AND c.consolidated_at <= {at} AND (c.deconsolidated_at IS NULL OR c.deconsolidated_at > {at})
-        WHERE s.deleted_at IS NULL AND (s.valid_from IS NULL OR s.valid_from <= {at}) AND (s.valid_to IS NULL OR s.valid_to > {at})""".replace(
-        "LEFT ANTI JOIN" if d.name == "spark" else "LEFT ANTI JOIN", "LEFT ANTI JOIN" if d.name == "spark" else "ANTI JOIN"
-    )
+        parts AS (SELECT id AS member_id, created_at AS consolidated_at, deleted_at AS deconsolidated_at FROM {of_content(d, 'created_at, deleted_at')} c WHERE id <> canonical_id)
+        SELECT s.id FROM s WHERE s.deleted_at IS NULL AND (s.valid_from IS NULL OR s.valid_from <= {at}) AND (s.valid_to IS NULL OR s.valid_to > {at})
+          AND NOT EXISTS (SELECT 1 FROM parts c WHERE c.member_id = s.id AND c.consolidated_at <= {at} AND (c.deconsolidated_at IS NULL OR c.deconsolidated_at > {at}))"""
 
 
 @plan
