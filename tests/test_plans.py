@@ -8,7 +8,6 @@ import __spark_entry__ as entry
 from lorekeep.plans import registry
 
 DATA = os.environ.get("LOREKEEP_TESTDATA", "/root/testdata/sf0.001")
-SLOW = {"rate_admission", "complete_link_clusters", "cluster_violations"}
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +26,7 @@ def plain(value):
     return float(value) if type(value).__name__ == "Decimal" else value
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_equals_sql(spark, oracle, name):
     frame = registry.queries()[name](spark, DATA)
     columns = sorted(frame.columns)
