@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorekeep.operators import admission, merges, nearpairs
-from lorekeep.plans.dialect import DUCK, SPARK, Plans, active, cosine, fiftieth, lot, memories, of_content, run
+from lorekeep.plans.dialect import DUCK, SPARK, Plans, active, cosine, fiftieth, identity, lot, memories, of_content, run
 from lorekeep.plans.retrieval import IDENTITY, usable
 from lorekeep.plans.statistics import jobs
 from lorekeep.session import table
@@ -19,17 +19,6 @@ def accepted_keys(d):
     return "SELECT service_id AS k FROM media_events WHERE nullif(trim(service_id), '') IS NOT NULL UNION SELECT event_key AS k FROM media_events"
 
 
-#: What identifies an event without an id of its provider, in this order.
-IDENTITY_FIELDS = ("event_type", "title", "artist", "album", "show_title", "season", "episode", "release_year", "duration_ms")
-
-
-def identity(d) -> str:
-    """The provider's id if there is one, else a digest of a tuple whose parts state their length; null and empty differ."""
-    x = lambda c: f"CAST({c} AS {d.text})"
-    part = lambda c: f"CASE WHEN {c} IS NULL THEN 'N;' ELSE 'V' || CAST({d.bytes(x(c))} AS {d.text}) || ':' || {x(c)} || ';' END"
-    return f"CASE WHEN nullif(trim(service_id), '') IS NOT NULL THEN 'id:' || service_id ELSE 'fallback:v1:' || {d.sha(chr(39) + 'v1;' + chr(39) + ' || ' + ' || '.join(part(f) for f in IDENTITY_FIELDS))} END"
-
-
 def events(d, where: str = "1 = 1") -> str:
     """Events with their effective identity, each once."""
     return f"(SELECT DISTINCT id, client_id, service, coalesce(nullif(trim(source_id), ''), 'default') AS source_id, event_key, title, played_at, created_at, metadata, service_id, {identity(d)} AS ident FROM media_events WHERE {where})"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lorekeep.plans.dialect import Plans, active, decay, lot, memories
+from lorekeep.plans.dialect import IDENTITY_FIELDS, Plans, active, decay, identity, lot, memories
 
 plan = Plans()
 QUERIES, ORACLE = plan.QUERIES, plan.ORACLE
@@ -332,8 +332,6 @@ def monthly_spend(d):
 
 def duplicate_groups(d, k: int = 200) -> str:
     """Different events of one identity at one time: the first groups by time, rows that were delivered twice count once."""
-    from lorekeep.plans.lifecycle import IDENTITY_FIELDS, identity
-
     return f"""WITH e AS (SELECT DISTINCT id, client_id, service, played_at, created_at, {identity(d)} AS identity FROM (SELECT DISTINCT id, client_id, service, service_id, played_at, created_at, {', '.join(IDENTITY_FIELDS)} FROM media_events WHERE client_id IS NOT NULL) x),
         g AS (SELECT client_id, service, played_at, identity, count(*) AS group_size, min(created_at) AS first_seen FROM e GROUP BY client_id, service, played_at, identity HAVING count(*) > 1)
         SELECT client_id, service, played_at, identity, group_size, first_seen FROM g ORDER BY played_at NULLS FIRST, client_id, service, identity LIMIT {k}"""
