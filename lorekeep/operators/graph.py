@@ -17,43 +17,38 @@ def normal_name(name: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(name, r"\s+", " ")))
 
 
-def seeds(entities: DataFrame, links: DataFrame, name: str, entity_type: str | None = None, most: int = MOST_ENTITIES) -> DataFrame:
-    """``id, namespace, entity_type, normalized_name, more``: the first entities of a normal name or alias that visible ``links``
-    (``memory_id, entity_id, aliases``) point at; ``more`` tells that there were others."""
-    linked = links.select(F.col("entity_id").alias("id")).distinct()
-    aliased = links.where(F.exists("aliases", lambda a: normal_name(a) == name)).select(F.col("entity_id").alias("id")).distinct().withColumn("_alias", F.lit(True))
-    found = entities.select(*_ORDER).join(linked, "id", "left_semi").join(aliased, "id", "left").where((F.col("normalized_name") == name) | F.col("_alias")).drop("_alias")
-    found = found.where(F.col("entity_type") == entity_type) if entity_type else found
-    first = checkpointed(found.orderBy(*_ORDER).limit(most + 1))
-    more = first.count() > most
-    return first.orderBy(*_ORDER).limit(most).withColumn("more", F.lit(more))
+def seeds(entities: DataFrame, links: DataFrame, name: str, entity_type: str | None = None) -> DataFrame:
+    """``id, namespace, entity_type, normalized_name`` of the entities of a normal name or alias that visible ``links``
+    (``memory_id, entity_id, aliases``) point at."""
+    found = links.groupBy(F.col("entity_id").alias("id")).agg(F.max(F.coalesce(F.exists("aliases", lambda a: normal_name(a) == name), F.lit(False))).alias("_alias"))
+    named = entities.select(*_ORDER).join(found, "id").where((F.col("normalized_name") == name) | F.col("_alias"))
+    return (named.where(F.col("entity_type") == entity_type) if entity_type else named).select(*_ORDER)
 
 
 def bounded_walk(seeds: DataFrame, links: DataFrame, entities: DataFrame, depth: int = 3, most: int = MOST_ENTITIES) -> DataFrame:
     """``id, depth, truncated`` of the entities within ``depth`` steps of the seeds, at most ``most`` in all.
 
-    Two entities are one step apart if a visible record links to both. Each step is two joins with the frontier, which
-    ``most`` bounds; what it reaches is taken in the order of namespace, type, name and id. ``truncated`` tells that
-    something was left out. The driver sees two counts a step.
+    Two entities are one step apart if a visible record links to both. The driver holds the entities that were reached,
+    which ``most`` bounds, so each step is one query whose frontier is a list of ids that reaches the scan of the links.
+    What a step reaches is taken in the order of namespace, type, name and id; ``truncated`` tells that something
+    was left out.
     """
-    start = seeds.withColumn("more", F.lit(False)) if "more" not in seeds.columns else seeds
-    walked = checkpointed(start.select("id", F.lit(0).alias("depth"), "more"))
-    truncated = not walked.where("more").isEmpty()
-    walked = walked.drop("more")
-    left = most - walked.count()
+    first = lambda frame, k: [r["id"] for r in frame.orderBy(*_ORDER).limit(k + 1).select("id").collect()]
+    reached = first(seeds.select(*_ORDER), most)
+    truncated = len(reached) > most
+    frontier = reached[:most]
+    walked = {i: 0 for i in frontier}
     for step in range(1, depth + 1):
-        frontier = walked.where(F.col("depth") == step - 1).select(F.col("id").alias("entity_id"))
-        records = links.join(F.broadcast(frontier), "entity_id", "left_semi").select("memory_id").distinct()
-        reached = links.join(records, "memory_id", "left_semi").select(F.col("entity_id").alias("id")).distinct()
-        new = reached.join(F.broadcast(walked.select("id")), "id", "left_anti").join(entities.select(*_ORDER), "id").orderBy(*_ORDER).limit(left + 1)
-        new = checkpointed(new.select(*_ORDER))
-        found = new.count()
-        truncated = truncated or found > left
-        if not found or not left:
+        left = most - len(walked)
+        if not frontier:
             break
-        walked = walked.unionByName(new.orderBy(*_ORDER).limit(left).select("id", F.lit(step).alias("depth")))
-        left -= min(found, left)
-    return walked.withColumn("truncated", F.lit(truncated))
+        records = links.where(F.col("entity_id").isin(frontier)).select("memory_id").distinct()
+        others = links.where(~F.col("entity_id").isin(list(walked))).join(records, "memory_id", "left_semi").select(F.col("entity_id").alias("id")).distinct()
+        reached = first(others.join(entities.select(*_ORDER), "id"), left)
+        truncated = truncated or len(reached) > left
+        frontier = reached[:left]
+        walked |= {i: step for i in frontier}
+    return links.sparkSession.createDataFrame([(i, d, truncated) for i, d in walked.items()], "id string, depth int, truncated boolean")
 
 
 def chain_depth(links: DataFrame, most_rounds: int = 40) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lorekeep import search
 from lorekeep.operators import chunks, nearpairs
 from lorekeep.plans.dialect import DUCK, SPARK, Plans, active, cosine, decay, fiftieth, memories, rank_of, run
-from lorekeep.session import table
+from lorekeep.session import checkpointed, table
 
 plan = Plans()
 QUERIES, ORACLE = plan.QUERIES, plan.ORACLE
@@ -33,7 +33,7 @@ def visible(d, where: str = "1 = 1", columns: str = _COLUMNS) -> str:
 
 def probe(d, space: str = SPACE) -> str:
     """The vector of the least visible id of a space stands for the query."""
-    return f"(SELECT embedding AS qv FROM (SELECT DISTINCT id, embedding FROM memories WHERE {space}) p WHERE {usable_q(d, space)} ORDER BY id LIMIT 1)"
+    return f"(SELECT embedding AS qv FROM memories WHERE {space} AND {usable_q(d, space)} ORDER BY id LIMIT 1)"
 
 
 def usable_q(d, space: str) -> str:
@@ -80,9 +80,8 @@ def _vector(spark, sf_dir, space: str) -> list[float]:
 
 def request(spark, sf_dir, mini: bool = False, **more) -> search.Request:
     """The fixed request of the named queries: two words and a vector, all namespaces, up to sensitive records."""
-    names = tuple(r[0] for r in table(spark, sf_dir, "memories").select("namespace").distinct().orderBy("namespace").collect() if r[0] is not None)
     vectors = {BASE: _vector(spark, sf_dir, SPACE)} | ({MINI: _vector(spark, sf_dir, OTHER_SPACE)} if mini else {})
-    return search.Request(**{"text": " ".join(TERMS), "vectors": vectors, "allowed": names, "requested": names, "ceiling": "sensitive", **more})
+    return search.Request(**{"text": " ".join(TERMS), "vectors": vectors, "allowed": None, "ceiling": "sensitive", **more})
 
 
 def vector_multi_space(spark, sf_dir):
@@ -189,18 +188,21 @@ plan.direct("access_boost", access_boost, f"SELECT m.id, m.access_count + 1 AS a
 
 
 def _sessions(spark, sf_dir):
-    """Sessions as documents whose records are their chunks."""
-    rows = run(spark, sf_dir, f"SELECT DISTINCT session_id, id, content, namespace, created_at, embedding, {usable(SPARK)} AND {SPACE} AS has_vector FROM memories m WHERE {active(SPARK)} AND {rank_of('access_level')} <= 1 AND session_id IS NOT NULL")
-    return chunks.from_parts(rows, "session_id")
+    """Sessions as documents whose records are their chunks: parents and whether they are complete, and the vectors of their chunks.
+
+    What decides completeness is narrow and read once; vectors are read where they are scored, and those of rows that
+    were delivered twice change no maximum.
+    """
+    narrow = run(spark, sf_dir, f"SELECT DISTINCT session_id, id, CAST(NULL AS STRING) AS content, namespace, created_at, CAST(NULL AS ARRAY<FLOAT>) AS embedding, coalesce({usable(SPARK)} AND {SPACE}, false) AS has_vector FROM memories m WHERE {active(SPARK)} AND {rank_of('access_level')} <= 1 AND session_id IS NOT NULL")
+    whole = checkpointed(chunks.complete_parents(*chunks.from_parts(narrow, "session_id")).drop("source_sha256"))
+    return whole, run(spark, sf_dir, f"SELECT session_id AS parent_id, embedding FROM memories m WHERE {active(SPARK)} AND {rank_of('access_level')} <= 1 AND session_id IS NOT NULL AND {SPACE} AND {usable(SPARK)}")
 
 
 def chunk_max_search(spark, sf_dir):
     """Chunks are scored exactly; a parent counts with its best chunk. Parents that aren't complete are left out before the scope is asked for."""
-    parents, manifests, parts = _sessions(spark, sf_dir)
-    whole = chunks.complete_parents(parents, manifests, parts).where("complete")
-    vector = _vector(spark, sf_dir, SPACE)
-    asked = spark.createDataFrame([("q", vector)], "query_id string, vector array<float>")
-    return chunks.parent_scores(asked, whole, parts).select("parent_id", F.round("similarity", 6).alias("sim"), "pos")
+    whole, parts = _sessions(spark, sf_dir)
+    asked = spark.createDataFrame([("q", _vector(spark, sf_dir, SPACE))], "query_id string, vector array<float>")
+    return chunks.parent_scores(asked, whole.where("complete"), parts).select("parent_id", F.round("similarity", 6).alias("sim"), "pos")
 
 
 _PARTS = f"(SELECT DISTINCT session_id, id, embedding, coalesce({usable(DUCK)} AND {SPACE}, false) AS has_vector FROM memories m WHERE {active(DUCK)} AND {rank_of('access_level')} <= 1 AND session_id IS NOT NULL)"
@@ -210,8 +212,7 @@ plan.direct("chunk_max_search", chunk_max_search, f"""WITH p AS {_PARTS}, ok AS
 
 def scope_ready(spark, sf_dir):
     """Which scopes have all parents complete; one that isn't closes the scope."""
-    parents, manifests, parts = _sessions(spark, sf_dir)
-    return chunks.scope_ready(chunks.complete_parents(parents, manifests, parts), ["namespace"])
+    return chunks.scope_ready(_sessions(spark, sf_dir)[0], ["namespace"])
 
 
 plan.direct("scope_ready", scope_ready, f"""WITH p AS (SELECT DISTINCT session_id, id, namespace, coalesce({usable(DUCK)} AND {SPACE}, false) AS has_vector FROM memories m WHERE {active(DUCK)} AND {rank_of('access_level')} <= 1 AND session_id IS NOT NULL),

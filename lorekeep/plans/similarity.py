@@ -290,7 +290,7 @@ _NAMED_SQL = "(SELECT normalized_name FROM entities GROUP BY normalized_name ORD
 
 def graph_seeds(spark, sf_dir):
     """Entities of a name, or with an alias of that form, that a visible record links to."""
-    return graph.seeds(table(spark, sf_dir, "entities"), _links(spark, sf_dir), _named(spark, sf_dir)).select("id", "namespace", "entity_type", "normalized_name")
+    return graph.seeds(table(spark, sf_dir, "entities"), _links(spark, sf_dir), _named(spark, sf_dir)).orderBy("namespace", "entity_type", "normalized_name", "id").limit(100)
 
 
 _SEEN = f"(SELECT DISTINCT id AS memory_id FROM memories m WHERE {active(DUCK)} AND {rank_of('access_level')} <= 1)"

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from lorekeep.plans.dialect import IDENTITY_FIELDS, Plans, active, decay, identity, lot, memories
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from lorekeep.plans.dialect import DUCK, IDENTITY_FIELDS, SPARK, Plans, active, decay, identity, lot, memories
+from lorekeep.session import checkpointed, table
 
 plan = Plans()
 QUERIES, ORACLE = plan.QUERIES, plan.ORACLE
@@ -112,10 +116,14 @@ def entity(name: str) -> str:
     return "nullif(trim(artist), '')" if name == "music" else "coalesce(nullif(trim(show_title), ''), nullif(trim(title), ''))"
 
 
-def _windows(d) -> str:
-    """Six half-open windows; the range join has these six rows on one side."""
+def _bounds(d) -> list[tuple[str, str, str]]:
+    """Name, start and end of six half-open windows."""
     rows = [("period", PERIOD), ("previous", PREVIOUS), *_TRAILING, ("allTime", "0001-01-01")]
-    return "(" + " UNION ALL ".join(f"SELECT '{n}' AS win, {d.ts(a + ' 00:00:00')} AS lo, {d.ts((PERIOD if n == 'previous' else END) + ' 00:00:00')} AS hi" for n, a in rows) + ")"
+    return [(n, d.ts(a + " 00:00:00"), d.ts((PERIOD if n == "previous" else END) + " 00:00:00")) for n, a in rows]
+
+
+def _windows(d) -> str:
+    return "(" + " UNION ALL ".join(f"SELECT '{n}' AS win, {lo} AS lo, {hi} AS hi" for n, lo, hi in _bounds(d)) + ")"
 
 
 def _counts(d, name: str) -> str:
@@ -142,14 +150,50 @@ def _ranked(d) -> str:
     return f"""(SELECT category, win, dimension, label, n, pos FROM (SELECT category, win, dimension, label, n, row_number() OVER (PARTITION BY category, win, dimension ORDER BY n DESC, label) AS pos FROM {_taste(d)} c) r WHERE pos <= {TOP})"""
 
 
-@plan
-def taste_windows(d):
-    return f"SELECT category, win, dimension, label, n FROM {_taste(d)} c"
+def taste_counts(events: DataFrame) -> DataFrame:
+    """``category, win, dimension, label, n``: events are read once; each gives its facts for every window that it lies in, and one aggregation counts them."""
+    flag = lambda sql: F.expr(sql)
+    approximate = f"coalesce({SPARK.has_key('metadata', 'played_precision')} AND {SPARK.json('metadata', 'played_precision')} NOT IN ('exact', 'instant'), false)"
+    kind = F.when(flag(category("music")), "music").when(flag(category("viewing")), "viewing")
+    seen = events.where(F.expr(f"played_at < {SPARK.ts(END + ' 00:00:00')}"))
+    seen = seen.select("id", "service", "genres", "played_at", kind.alias("category"), flag(entity("music")).alias("_m"), flag(entity("viewing")).alias("_v"), flag(approximate).alias("approximate")).where("category IS NOT NULL").distinct()
+    seen = seen.withColumn("entity", F.when(F.col("category") == "music", F.col("_m")).otherwise(F.col("_v")))
+    fact = lambda dimension, label: F.named_struct(F.lit("dimension"), F.lit(dimension), F.lit("label"), label)
+    own = F.array_compact(F.array(
+        fact("total", F.lit("events")), fact("service", F.col("service")), F.when(F.col("entity").isNotNull(), fact("entity", F.col("entity"))),
+        F.when(F.col("entity").isNull(), fact("quality", F.lit("missing_entity"))), F.when(F.col("approximate"), fact("quality", F.lit("approximate_timestamps"))),
+    ))
+    genres = F.transform(F.filter(F.array_distinct(F.coalesce("genres", F.array().cast("array<string>"))), lambda g: F.coalesce(F.trim(g), F.lit("")) != ""), lambda g: fact("genre", g))
+    windows = F.filter(F.array(*[F.struct(F.lit(n).alias("win"), F.expr(lo).alias("lo"), F.expr(hi).alias("hi")) for n, lo, hi in _bounds(SPARK)]), lambda w: (F.col("played_at") >= w["lo"]) & (F.col("played_at") < w["hi"]))
+    each = seen.select("category", F.explode(windows).alias("w"), F.concat(own, genres).alias("facts")).select("category", "w.win", F.explode("facts").alias("f"))
+    return each.groupBy("category", "win", "f.dimension", "f.label").agg(F.count("*").alias("n"))
 
 
-@plan
-def taste_topn(d):
-    return f"SELECT category, win, dimension, label, n, pos FROM {_ranked(d)} r"
+def taste_windows(spark, sf_dir):
+    return taste_counts(table(spark, sf_dir, "media_events"))
+
+
+plan.direct("taste_windows", taste_windows, f"SELECT category, win, dimension, label, n FROM {_taste(DUCK)} c")
+
+
+def ranked_taste(spark, sf_dir):
+    """The greatest of each window and dimension."""
+    order = Window.partitionBy("category", "win", "dimension").orderBy(F.desc("n"), "label")
+    return taste_windows(spark, sf_dir).withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= TOP)
+
+
+plan.direct("taste_topn", ranked_taste, f"SELECT category, win, dimension, label, n, pos FROM {_ranked(DUCK)} r")
+
+
+def _of_ranked(name: str, statement) -> None:
+    """A statement over the ranked counts, which are written once in Spark."""
+
+    def query(spark, sf_dir):
+        view = f"lorekeep_{name}"
+        checkpointed(ranked_taste(spark, sf_dir)).createOrReplaceTempView(view)
+        return spark.sql(f"WITH r AS (SELECT * FROM {view})" + statement(SPARK))
+
+    plan.direct(name, query, f"WITH r AS {_ranked(DUCK)}" + statement(DUCK))
 
 
 def _warnings(d, ranked: str) -> str:
@@ -157,10 +201,8 @@ def _warnings(d, ranked: str) -> str:
         UNION ALL SELECT category, 'single_service' AS warning FROM {ranked} q WHERE win = 'period' AND dimension = 'service' GROUP BY category HAVING count(*) = 1)"""
 
 
-@plan
-def taste_warnings(d):
-    """What limits the trust in a period: events without an entity, inexact times, one service only."""
-    return f"WITH r AS {_ranked(d)} SELECT category, warning FROM {_warnings(d, 'r')} w"
+# what limits the trust in a period: events without an entity, inexact times, one service only
+_of_ranked("taste_warnings", lambda d: f" SELECT category, warning FROM {_warnings(d, 'r')} w")
 
 
 def clean_label(d, x: str) -> str:
@@ -169,8 +211,7 @@ def clean_label(d, x: str) -> str:
     return f"coalesce(nullif(substr({flat}, 1, 200), ''), 'unknown')"
 
 
-@plan
-def taste_trends(d):
+def evidence(d) -> str:
     """The evidence of a category's taste as numbered statements, at most 128: totals, services, entities, genres, wider windows, trends, warnings.
 
     A trend compares entities that are among the greatest of both periods, if both periods are large enough
@@ -182,8 +223,7 @@ def taste_trends(d):
     span = "CASE win WHEN 'days30' THEN 'the trailing 30 days' WHEN 'days90' THEN 'the trailing 90 days' WHEN 'days365' THEN 'the trailing 365 days' ELSE 'all recorded time before the period end' END"
     order = "CASE win WHEN 'days30' THEN 0 WHEN 'days90' THEN 2 WHEN 'days365' THEN 4 ELSE 6 END"
     month = PERIOD[:7]
-    return f"""WITH r AS {_ranked(d)},
-        every AS (SELECT k.category, t.win, coalesce(max(r.n), 0) AS n FROM (SELECT 'music' AS category UNION ALL SELECT 'viewing' AS category) k CROSS JOIN {_windows(d)} t
+    return f""", every AS (SELECT k.category, t.win, coalesce(max(r.n), 0) AS n FROM (SELECT 'music' AS category UNION ALL SELECT 'viewing' AS category) k CROSS JOIN {_windows(d)} t
           LEFT JOIN r ON r.category = k.category AND r.win = t.win AND r.dimension = 'total' GROUP BY k.category, t.win),
         moved AS (SELECT a.category, a.label, a.pos, a.n AS now_n, b.n AS old_n, ta.n AS now_total, tb.n AS old_total FROM r a JOIN r b ON b.category = a.category AND b.dimension = 'entity' AND b.label = a.label AND b.win = 'previous'
           JOIN every ta ON ta.category = a.category AND ta.win = 'period' JOIN every tb ON tb.category = a.category AND tb.win = 'previous' WHERE a.dimension = 'entity' AND a.win = 'period' AND ta.n >= 20 AND tb.n >= 20),
@@ -201,6 +241,9 @@ def taste_trends(d):
         SELECT category, 'E' || {d.lpad('pos', 3)} AS fact, kind, statement FROM numbered WHERE pos <= 128"""
 
 
+_of_ranked("taste_trends", evidence)
+
+
 @plan
 def agent_activity(d):
     return f"""WITH agents AS (SELECT DISTINCT agent_id, client_id FROM memories WHERE agent_id IS NOT NULL)

@@ -79,11 +79,11 @@ class Filters:
 
 @dataclass(frozen=True)
 class Request:
-    """What a caller asks: a text, vectors of that text by space, and the scope in which it may look."""
+    """What a caller asks: a text, vectors of that text by space, and the scope in which it may look (None: everywhere)."""
 
     text: str = ""
     vectors: dict[Space, list[float]] = field(default_factory=dict)
-    allowed: tuple[str, ...] = ()
+    allowed: tuple[str, ...] | None = ()
     requested: tuple[str, ...] = ()
     ceiling: str = "normal"
     filters: Filters = Filters()
@@ -127,7 +127,11 @@ def eligible(memories: DataFrame, request: Request, memberships: DataFrame | Non
     another record then; without an instant ``consolidated_into_id`` does.
     """
     where, now = request.filters, instant(request.as_of)
-    kept = memories.where(F.col("namespace").isin(scope(request.requested, request.allowed)) & (access_rank(have(memories, "access_level")) <= LEVELS.get(request.ceiling, -1)))
+    if request.allowed is None:
+        inside = F.col("namespace").isin(list(request.requested)) if request.requested else F.col("namespace").isNotNull()
+    else:
+        inside = F.col("namespace").isin(scope(request.requested, request.allowed))
+    kept = memories.where(inside & (access_rank(have(memories, "access_level")) <= LEVELS.get(request.ceiling, -1)))
     kept = kept.where(have(memories, "deleted_at").isNull() & (have(memories, "expires_at", "timestamp_ntz").isNull() | (have(memories, "expires_at", "timestamp_ntz") > now)))
     if where.tags:
         kept = kept.where(F.size(F.array_except(F.array(*map(F.lit, where.tags)), "tags")) == 0)
@@ -186,7 +190,7 @@ def vector_candidates(visible: DataFrame, space: Space, vector: list[float], k:
     norm = math.sqrt(math.fsum(float(x) * float(x) for x in vector))
     if len(vector) != space.dimensions or not (0 < norm < math.inf):
         raise ValueError("the query's vector must be finite, of some length and of its space's dimensions")
-    query = F.array(*[F.lit(float(x)) for x in vector])
+    query = F.expr(f"array({', '.join(f'{float(x)!r}D' for x in vector)})")  # parsed at once, not value by value
     sim = dot(F.col("embedding"), query) / (F.sqrt(dot(F.col("embedding"), F.col("embedding"))) * F.lit(norm))
     return first_of(visible.where(in_space(space)).select("id", pool(visible), sim.alias("sim")), k, F.desc("sim"))
 
