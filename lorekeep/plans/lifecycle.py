@@ -348,11 +348,19 @@ def event_stream_counts(d):
     return f"SELECT event_type, {d.day('ts')} AS day, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type, {d.day('ts')}"
 
 
-def local_month(spark, sf_dir):
-    return run(
-        spark, sf_dir,
-        """SELECT f.feed_id, CAST(to_utc_timestamp(TIMESTAMP '2026-03-01 00:00:00', coalesce(f.source_timezone, 'UTC')) AS TIMESTAMP_NTZ) AS month_start, CAST(to_utc_timestamp(TIMESTAMP '2026-04-01 00:00:00', coalesce(f.source_timezone, 'UTC')) AS TIMESTAMP_NTZ) AS month_end FROM media_feeds f""",
-    )
+def month_bounds(label: str) -> tuple[str, str]:
+    """First day of a calendar month ``YYYY-MM`` and of the next."""
+    year, month = map(int, label.split("-"))
+    if not 1 <= month <= 12 or len(label) != 7:
+        raise ValueError("a month is written YYYY-MM")
+    return f"{year:04d}-{month:02d}-01 00:00:00", f"{year + month // 12:04d}-{month % 12 + 1:02d}-01 00:00:00"
+
+
+def local_month(spark, sf_dir, label: str = "2026-03"):
+    """Where a calendar month begins and ends in the zone of each feed, as instants of UTC, and its first instant as that zone writes it."""
+    begins, ends = (f"CAST(to_utc_timestamp(TIMESTAMP '{t}', zone) AS TIMESTAMP_NTZ)" for t in month_bounds(label))
+    return run(spark, sf_dir, f"""SELECT feed_id, {begins} AS month_start, {ends} AS month_end, date_format(from_utc_timestamp({begins}, zone), 'MMM d, yyyy') AS written FROM (SELECT feed_id, coalesce(source_timezone, 'UTC') AS zone FROM media_feeds) f""")
 
 
-plan.direct("local_month", local_month, """SELECT feed_id, timezone('UTC', timezone(coalesce(source_timezone, 'UTC'), TIMESTAMP '2026-03-01 00:00:00')) AS month_start, timezone('UTC', timezone(coalesce(source_timezone, 'UTC'), TIMESTAMP '2026-04-01 00:00:00')) AS month_end FROM media_feeds""")
+_BEGINS, _ENDS = (f"timezone('UTC', timezone(zone, TIMESTAMP '{t}'))" for t in month_bounds("2026-03"))
+plan.direct("local_month", local_month, f"SELECT feed_id, {_BEGINS} AS month_start, {_ENDS} AS month_end, 'Mar 1, 2026' AS written FROM (SELECT feed_id, coalesce(source_timezone, 'UTC') AS zone FROM media_feeds) f")

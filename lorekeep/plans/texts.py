@@ -217,3 +217,12 @@ plan.direct(
     "canonical_metadata_hash", lambda s, p: table(s, p, "memories").select("id", texts.canonical_json_hash(F.col("metadata")).alias("digest")).distinct(),
     "SELECT DISTINCT id, sha256(replace(replace(metadata, ': ', ':'), ', ', ',')) AS digest FROM memories",
 )
+
+
+def session_facts(spark, sf_dir):
+    """Facts of a session by their identity: what is the same in compatibility form, white space and case set aside, counts once."""
+    rows = table(spark, sf_dir, "memories").where("session_id IS NOT NULL AND content IS NOT NULL").select("session_id", "id", texts.identity_hash(F.col("content")).alias("identity")).distinct()
+    return rows.groupBy("session_id", "identity").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+
+
+plan.direct("session_facts", session_facts)

@@ -30,6 +30,36 @@ def scan_media_events(d):
     return "SELECT DISTINCT id, service, event_type, title, artist, played_at FROM media_events"
 
 
+@plan
+def scan_media_imports(d):
+    return "SELECT DISTINCT import_id, feed_id, service, played_at, received_at FROM media_imports"
+
+
+@plan
+def scan_media_feeds(d):
+    return "SELECT feed_id, service, client_id, coalesce(source_timezone, 'UTC') AS zone, day_first FROM media_feeds"
+
+
+@plan
+def scan_entities(d):
+    return "SELECT id, namespace, entity_type, normalized_name, display_name FROM entities"
+
+
+@plan
+def scan_memory_entities(d):
+    return f"SELECT DISTINCT memory_id, entity_id, mention, {d.size('aliases')} AS n_aliases, confidence FROM memory_entities"
+
+
+@plan
+def scan_api_keys(d):
+    return f"SELECT id, lower(trim(client_name)) AS client_name, {d.join('namespaces', ',')} AS namespaces, {d.join('permissions', ',')} AS permissions, max_access_level, enabled, expires_at FROM api_keys"
+
+
+@plan
+def scan_documents(d):
+    return f"SELECT doc_id, lower(trim(lang)) AS lang, source, doc_kind, {d.bytes('text')} AS bytes, created_at FROM documents"
+
+
 @plan
 def recall_by_id(d):
     """Lookup by id through the alias of an exact copy: a content's least id is canonical within a namespace."""
@@ -47,9 +77,9 @@ def recall_document(d):
 def export_feed(d):
     """Transfer records of one namespace with their canonical fields and origin."""
     return f"""SELECT id, coalesce(source_key, 'export:' || id) AS source_key, source, namespace, coalesce(access_level, 'normal') AS access_level, created_at, updated_at,
-        event_at, memory_kind, valid_from, expires_at, {d.join('tags', ',')} AS tags, {d.sha("coalesce(content, '')")} AS content_hash
+        event_at, memory_kind, valid_from, expires_at, {d.join('tags', ',')} AS tags, {d.sha("coalesce(content, '')")} AS content_hash, o.instance AS origin_instance
         FROM {memories(d, 'id, content, source_key, source, namespace, access_level, created_at, updated_at, event_at, memory_kind, valid_from, expires_at, deleted_at, tags')} m
-        WHERE namespace = 'work' AND {active(d)}"""
+        CROSS JOIN (SELECT 'instance-1' AS instance) o WHERE namespace = 'work' AND {active(d)}"""
 
 
 @plan
