@@ -118,7 +118,7 @@ def similar_classes(printed: DataFrame, memories: DataFrame, threshold: float =
     near = checkpointed(met_classes(printed, threshold))
     # the words themselves decide; only contents of the classes that have met are read again
     wanted = near.select(F.col("id_a").alias("id")).unionByName(near.select(F.col("id_b").alias("id"))).distinct()
-    words = merged(memories.select("id", "content"), wanted, "id").dropDuplicates(["id"]).select("id", word_list(F.col("content")).alias("words"))
+    words = memories.select("id", "content").join(wanted, "id", "left_semi").dropDuplicates(["id"]).select("id", word_list(F.col("content")).alias("words"))
     sets = words.select("id", spelt_sequences(F.col("words")).alias("set"))
     both = merged(merged(near, sets.select(F.col("id").alias("id_a"), F.col("set").alias("set_a")), "id_a"), sets.select(F.col("id").alias("id_b"), F.col("set").alias("set_b")), "id_b")
     both = both.select("a", "b", F.size("set_a").alias("n_a"), F.size("set_b").alias("n_b"), F.size(F.array_intersect("set_a", "set_b")).alias("both"))

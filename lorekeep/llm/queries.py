@@ -69,6 +69,28 @@ runs AS (
 """
 
 
+#: Exact pairs: every common three-word sequence of two contents is counted. Copies of a text are linked to its least id.
+_PAIRS = r"""
+WITH m AS (SELECT DISTINCT id, namespace, content FROM memories WHERE content IS NOT NULL),
+w AS (SELECT id, namespace, content, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS w FROM m),
+t AS (SELECT DISTINCT id, namespace, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 3),
+n AS (SELECT id, count(*) AS n FROM t GROUP BY id),
+c AS (SELECT a.id AS a, b.id AS b, count(*) AS shared FROM t a JOIN t b ON b.s = a.s AND b.namespace IS NOT DISTINCT FROM a.namespace AND a.id < b.id GROUP BY 1, 2),
+p AS (SELECT a, b FROM c JOIN n x ON x.id = c.a JOIN n y ON y.id = c.b WHERE shared >= 0.5 * (x.n + y.n - shared)),
+least AS (SELECT namespace, content, min(id) AS least FROM w WHERE len(w) >= 3 GROUP BY namespace, content)
+SELECT a AS memory_id_a, b AS memory_id_b FROM p JOIN m x ON x.id = a JOIN m y ON y.id = b JOIN least l ON l.namespace IS NOT DISTINCT FROM x.namespace AND l.content = x.content
+WHERE x.content <> y.content OR l.least = a
+"""
+
+_NEAREST = """
+WITH m AS (SELECT DISTINCT id, embedding, hash(embedding_provider, embedding_model, embedding_dimensions) AS space, embedding_provider AS p, embedding_model AS q, embedding_dimensions AS d FROM memories
+  WHERE len(embedding) = embedding_dimensions AND embedding_provider IS NOT NULL AND embedding_model IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+v AS (SELECT id, p, q, d, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS norm FROM m),
+s AS (SELECT a.id AS memory_id, b.id AS neighbour_id, round(list_dot_product(a.e, b.e) / (a.norm * b.norm), 6) AS similarity FROM v a JOIN v b ON b.p = a.p AND b.q = a.q AND b.d = a.d AND b.id <> a.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY similarity DESC, neighbour_id) AS rank FROM s WHERE similarity >= 0.8)
+"""
+
+
 def p6_ids(spark, sf_dir):
     return tokens.encode_documents(table(spark, sf_dir, "documents"))
 
@@ -106,6 +128,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_found": _NEAREST + "SELECT DISTINCT least(memory_id, neighbour_id) AS memory_id_a, greatest(memory_id, neighbour_id) AS memory_id_b FROM r WHERE rank <= 10",
+        "p4_found": _PAIRS,
         "p5_found": _RUNS + "SELECT first_event_id, last_event_id, n_events, duration_ms FROM runs WHERE n_events >= 2",
         "p5_by_service": _RUNS + "SELECT service, count(*) AS runs, CAST(sum(n_events) AS BIGINT) AS events, max(n_events) AS longest_run FROM runs GROUP BY service",
         "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
