@@ -54,6 +54,8 @@ def test_items_keep_their_place(spark, people):
         if key not in ("c", "g"):
             assert got == want, key
         assert {(r.kind, r.start_pos) for r in found if r.memory_id == key} == {(k, s + 1) for s, _, k in spans}
+    by_join = personal.found_items(frame, people, most_names=0).collect()
+    assert set(by_join) == set(found)
     clean = {r.memory_id: r.content for r in personal.redacted(frame, people).collect()}
     assert clean["a"] == "Write to [EMAIL] or [EMAIL] now." and clean["i"] is None and clean["h"] == "" and clean["f"] == CONTENTS["f"][0]
     assert len(clean) == len(CONTENTS)
