@@ -29,7 +29,13 @@ from pyspark.sql import functions as F
 from lorekeep.llm.tokens import token_counts
 from lorekeep.session import checkpointed
 
-BUCKETS = 1024
+#: Documents of a range, and the least number of ranges.
+PER_RANGE, LEAST_RANGES = 50_000, 64
+
+
+def ranges_for(sized: DataFrame) -> int:
+    """How many ranges of keys a corpus takes; the driver learns one count."""
+    return max(LEAST_RANGES, -(-sized.count() // PER_RANGE))
 
 
 def sized_documents(documents: DataFrame, tokenizer: str = "byte_bpe_50k") -> DataFrame:
@@ -61,8 +67,9 @@ def budgets(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return out.withColumn("passes", passes.cast("int")).withColumn("left_over", F.col("budget") - F.col("passes") * F.col("source_tokens"))
 
 
-def running_tokens(sized: DataFrame, buckets: int = BUCKETS, seed: int = 7) -> DataFrame:
+def running_tokens(sized: DataFrame, buckets: int | None = None, seed: int = 7) -> DataFrame:
     """``doc_id, source, tokens, before``: tokens of the source that come before the document in random order."""
+    buckets = buckets or ranges_for(sized)
     keyed = sized.where((F.col("tokens") > 0) & F.col("source").isNotNull()).withColumn("key", F.xxhash64("doc_id", F.lit(seed)))
     width = 2**64 // buckets
     keyed = keyed.withColumn("bucket", F.floor(F.col("key") / F.lit(float(width))).cast("int"))
@@ -74,7 +81,7 @@ def running_tokens(sized: DataFrame, buckets: int = BUCKETS, seed: int = 7) -> D
     return summed.join(starts, ["source", "bucket"]).select("doc_id", "source", "tokens", (F.col("start") + F.col("upto") - F.col("tokens")).alias("before"))
 
 
-def mix_documents(sized: DataFrame, targets: DataFrame, buckets: int = BUCKETS, seed: int = 7) -> DataFrame:
+def mix_documents(sized: DataFrame, targets: DataFrame, buckets: int | None = None, seed: int = 7) -> DataFrame:
     """``mix_name, doc_id, source, tokens, copies`` of every selected document."""
     plan = budgets(sized, targets).select("mix_name", "source", "passes", "left_over", "max_repeats").where("passes > 0 or left_over > 0")
     placed = running_tokens(sized, buckets, seed).join(plan, "source")
@@ -82,7 +89,7 @@ def mix_documents(sized: DataFrame, targets: DataFrame, buckets: int = BUCKETS,
     return placed.withColumn("copies", F.col("passes") + again).where("copies > 0").select("mix_name", "doc_id", "source", "tokens", "copies")
 
 
-def mix_shares(sized: DataFrame, targets: DataFrame, buckets: int = BUCKETS, seed: int = 7) -> DataFrame:
+def mix_shares(sized: DataFrame, targets: DataFrame, buckets: int | None = None, seed: int = 7) -> DataFrame:
     """For every mix and source the target and the share really reached."""
     reached = mix_documents(sized, targets, buckets, seed).groupBy("mix_name", "source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mix_tokens"), F.sum("copies").cast("bigint").alias("documents"))
     planned = budgets(sized, targets).join(reached, ["mix_name", "source"], "left")
