@@ -207,7 +207,9 @@ def feed_histories(parsed: DataFrame, feeds: DataFrame, default_zone: str = "UTC
     named = feeds.select("feed_id", "source_timezone").dropDuplicates(["feed_id"])
     stated = named.where(F.col("source_timezone").isNotNull()).select("feed_id", F.col("source_timezone").alias("zone"))
     silent = named.where(F.col("source_timezone").isNull()).select("feed_id")
-    tried = F.explode(F.array(*[F.lit(z) for z in dict.fromkeys((default_zone, *CANDIDATE_ZONES))]))
+    # zones that other feeds state are tried too; there are no more of them than zone names
+    others = sorted(r[0] for r in stated.select("zone").distinct().collect())
+    tried = F.explode(F.array(*[F.lit(z) for z in dict.fromkeys((default_zone, *CANDIDATE_ZONES, *others))]))
     scored = zone_violations(parsed, silent.select("feed_id", tried.alias("zone")))
     ranked = scored.groupBy("feed_id").agg(
         F.min_by("zone", F.struct("violations", "lag_us", "zone")).alias("best"),
