@@ -195,8 +195,8 @@ def _standing(d) -> str:
 
 def _received(near: str) -> str:
     """What an enabled key's standing queries receive: records of its own namespaces, at or above their threshold, on request not its own."""
-    return f"""(SELECT a_id AS subscription_id, b_id AS memory_id, b_session_id AS session_id, b_namespace AS namespace, a_created_at AS since, b_created_at AS created_at, sim FROM {near} x JOIN api_keys k ON k.id = x.a_client_id
-        WHERE k.enabled AND array_contains(k.namespaces, x.b_namespace) AND x.a_live AND x.b_shown AND sim >= a_threshold AND (NOT a_exclude_self OR x.b_client_id <> x.a_client_id))"""
+    return f"""(SELECT x.a_id AS subscription_id, x.b_id AS memory_id, x.b_session_id AS session_id, x.b_namespace AS namespace, x.a_created_at AS since, x.b_created_at AS created_at, x.sim FROM {near} x JOIN api_keys k ON k.id = x.a_client_id
+        WHERE k.enabled AND array_contains(k.namespaces, x.b_namespace) AND x.a_live AND x.b_shown AND x.sim >= x.a_threshold AND (NOT x.a_exclude_self OR x.b_client_id <> x.a_client_id))"""
 
 
 def _near_standing() -> str:

@@ -74,8 +74,9 @@ def records(spark, sf_dir, *more: str):
 
 
 def _vector(spark, sf_dir, space: str) -> list[float]:
-    """One vector, which a caller would bring along."""
-    return run(spark, sf_dir, f"SELECT qv FROM {probe(SPARK, space)} p").first()["qv"]
+    """One vector, which a caller would bring along; the first direction if there is none."""
+    found = run(spark, sf_dir, f"SELECT qv FROM {probe(SPARK, space)} p").first()
+    return found["qv"] if found else [1.0] + [0.0] * (int(space.rsplit("= ", 1)[1]) - 1)
 
 
 def request(spark, sf_dir, mini: bool = False, **more) -> search.Request:

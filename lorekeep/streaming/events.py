@@ -77,7 +77,7 @@ def matched(stream: DataFrame, subscriptions: DataFrame, key: str) -> DataFrame:
 
 
 def admitted(stream: DataFrame, per_day: int) -> DataFrame:
-    """``user_id, event_id, admitted`` by a counter of each user's UTC day, which ends its state."""
+    """``user_id, event_id, admitted`` by a counter of each user's UTC day, which ends its state; events without user or time are left out."""
 
     def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -90,5 +90,5 @@ def admitted(stream: DataFrame, per_day: int) -> DataFrame:
         state.setTimeoutTimestamp((int(pd.Timestamp(key[1]).timestamp()) + 2 * 86_400) * 1000)
         yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "admitted": good})
 
-    days = stream.withWatermark("at", LATENESS).withColumn("day", F.to_date("at"))
+    days = stream.where("at IS NOT NULL AND user_id IS NOT NULL").withWatermark("at", LATENESS).select("user_id", "event_id", "at", F.to_date("at").alias("day"))
     return days.groupBy("user_id", "day").applyInPandasWithState(count, "user_id long, event_id long, admitted boolean", "used long", "append", GroupStateTimeout.EventTimeTimeout)
