@@ -157,3 +157,14 @@ class SmallWorld:
             left[active] = np.take_along_axis(all_left, best, 1) & (sims[active] > -2)
             active = active[left[active].any(1)]
         return ids, sims
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Vectors, top nodes and the neighbour array of each layer: all that a search needs."""
+        return self.x, np.asarray(self.top, np.int32), self.layers
+
+    @classmethod
+    def of_arrays(cls, x: np.ndarray, top: np.ndarray, layers: list[np.ndarray], width: int = WIDTH) -> "SmallWorld":
+        """A graph from its arrays, as it was."""
+        graph = cls.__new__(cls)
+        graph.x, graph.top, graph.layers, graph.width, graph.links = x, top, layers, width, layers[0].shape[1]
+        return graph

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lorekeep.llm import knn, lookalike, mixing, neardup, personal, runs, tokens
+from lorekeep.llm import knn, lookalike, mixing, neardup, personal, runs, tokens, vectorindex
 from lorekeep.llm.smallworld import SmallWorld
 
 pytest.importorskip("tokenizers")
@@ -110,6 +110,33 @@ def test_neighbours_against_brute_force(spark):
     assert knn.found_pairs(frame.limit(0)).count() == 0
 
 
+def test_index_is_built_once(spark, tmp_path):
+    draw = np.random.default_rng(6)
+    base = draw.normal(size=(60, 8))
+    rows = [[f"id{i:04d}", [float(np.float32(a)) for a in base[i % 60] + 0.15 * draw.normal(size=8)], "p", "m", 8] for i in range(900)]
+    rows += [[f"same{i}", rows[0][1], "p", "m", 8] for i in range(3)] + [["other", [1.0, 0.0], "p", "n", 2], ["bad", [0.0] * 8, "p", "m", 8]]
+    frame = spark.createDataFrame(rows, "id string, embedding array<float>, embedding_provider string, embedding_model string, embedding_dimensions int")
+    vectorindex.write_index(vectorindex.build_index(frame, shard=120, most_shard=60), str(tmp_path / "index"))
+    index = vectorindex.read_index(spark, str(tmp_path / "index"))
+    assert index.shards.select(F.sum(F.size("class_ids"))).first()[0] == 901 and index.shards.count() > 8
+    ids, x = [r[0] for r in rows[:903]], np.array([r[1] for r in rows[:903]])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    asked = frame.where("id LIKE 'id%0' OR id IN ('other', 'bad', 'same1')")
+    got = {}
+    for r in vectorindex.search_index(index, asked, k=5, most_visitors=20).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.memory_id, r.similarity))
+    assert got["other"] == [(1, "other", 1.0)] and "bad" not in got and [m for _, m, _ in sorted(got["same1"])[:4]] == ["id0000", "same0", "same1", "same2"]
+    hit = all_ = 0
+    for q, found in got.items():
+        if q in ("other",):
+            continue
+        sims = np.round(x @ x[ids.index(q)], 6)
+        want = {ids[i] for i in np.lexsort((ids, -sims))[:5] if sims[i] >= 0.8}
+        hit, all_ = hit + len(want & {m for _, m, _ in found}), all_ + len(want)
+    assert hit / all_ > 0.95
+    assert vectorindex.search_index(index, asked.limit(0)).count() == 0
+
+
 # --- near duplicates
 
 
