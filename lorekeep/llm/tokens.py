@@ -7,9 +7,9 @@ back to the places where it occurs, which are put together again in order.
 
 The dictionary that is joined back comes in two tiers. The head is the at most
 ``head_words`` most frequent words: it is bounded by that parameter, whatever the size of
-the corpus, and is broadcast, so the words that make up most occurrences (and all the skew)
-never shuffle. All other words, each of which is rare, meet their ids in an ordinary
-shuffle join on the word.
+the corpus, and travels with the tasks, so the words that make up most occurrences (and all
+the skew) never shuffle. All other words, each of which is rare, meet their ids in an ordinary
+shuffle join on the word. Both are put together by position in whole Arrow batches.
 
 Defined results: null and empty texts give an empty list; every row of the input gives
 one row with its ``doc_id``; rows with equal ``doc_id`` are one document (the greatest of
@@ -23,10 +23,13 @@ from __future__ import annotations
 
 import base64
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,22 +77,55 @@ def pretokens(text: Column) -> Column:
     return F.when(text.rlike(_UNKNOWN), F.regexp_extract_all(text, F.lit(_AROUND_UNKNOWN), F.lit(0))).otherwise(F.regexp_extract_all(text, F.lit(PRETOKENS), F.lit(0)))
 
 
+def _put_together(head: list[tuple[str, list[int]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Ids of each document from its words, the head of the dictionary and the rare words' ids by position, a batch at a time."""
+    words, ids = pa.array([w for w, _ in head], pa.string()), [np.array(v, np.int32) for _, v in head]
+    head_length = np.array([len(v) for v in ids], np.int64)
+    head_start, head_flat = np.cumsum(head_length) - head_length, np.concatenate([*ids, np.empty(0, np.int32)])
+
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = np.asarray(pc.fill_null(pc.list_value_length(batch.column("words")), 0), np.int64)
+            first = np.concatenate([[0], np.cumsum(counts)])
+            place = pc.index_in(batch.column("words").flatten(), value_set=words)
+            known = np.asarray(place.is_valid())
+            place = np.asarray(place.fill_null(0), np.int64)
+            # what isn't in the head comes by its position in the document
+            rare_counts = np.asarray(pc.fill_null(pc.list_value_length(batch.column("pos")), 0), np.int64)
+            rare_at = np.asarray(batch.column("pos").flatten(), np.int64) + np.repeat(first[:-1], rare_counts)
+            rare = batch.column("v").flatten()
+            rare_length = np.asarray(pc.list_value_length(rare), np.int64)
+            rare_flat = np.asarray(rare.flatten(), np.int32)
+            if len(rare_at) != (~known).sum() or known[rare_at].any():
+                raise RuntimeError("words of a document and their ids don't match")
+            length, start = np.empty(len(known), np.int64), np.empty(len(known), np.int64)
+            if len(head):
+                length[known], start[known] = head_length[place[known]], head_start[place[known]]
+            length[rare_at], start[rare_at] = rare_length, len(head_flat) + np.cumsum(rare_length) - rare_length
+            ends = np.concatenate([[0], np.cumsum(length)])
+            taken = np.repeat(start - ends[:-1], length) + np.arange(ends[-1])
+            out = np.concatenate([head_flat, rare_flat])[taken]
+            lists = pa.ListArray.from_arrays(pa.array(ends[first].astype(np.int32)), pa.array(out, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "ids"])
+
+    return put_together
+
+
 def encode_documents(documents: DataFrame, name: str = "byte_bpe_50k", folder: str = VOCABULARIES, head_words: int = HEAD_WORDS) -> DataFrame:
     """``doc_id, ids`` of every document."""
     docs = documents.groupBy("doc_id").agg(F.max("text").alias("text"))  # also brings each document to its partition
     words = documents.select(F.explode(pretokens(F.col("text"))).alias("word"))
     counts = words.groupBy("word").agg(F.count("*").alias("n"))
     encoded = checkpointed(counts.select("word", "n", encode_column(F.col("word"), vocabulary_path(name, folder)).alias("v")))
-    head = encoded.orderBy(F.desc("n"), "word").limit(head_words).select(F.col("word").alias("head_word"), "v")
-    places = docs.select("doc_id", F.posexplode_outer(pretokens(F.col("text"))).alias("pos", "word"))
-    known = places.join(F.broadcast(head), F.col("word") == F.col("head_word"), "left")
-    # documents are already where they belong, so the frequent part is put together without a shuffle
-    frequent = known.groupBy("doc_id").agg(F.collect_list(F.when(F.col("v").isNotNull(), F.struct("pos", "v"))).alias("frequent"))
-    rest = known.where(F.col("word").isNotNull() & F.col("v").isNull()).select("doc_id", "pos", "word")
-    rare = rest.join(encoded.select("word", "v"), "word").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "v")).alias("rare"))
-    # sorted by its natural order, which needs no function call for each comparison
-    pieces = F.sort_array(F.concat("frequent", F.coalesce("rare", F.array().cast("array<struct<pos:int,v:array<int>>>"))))
-    return frequent.join(rare, "doc_id", "left").select("doc_id", F.flatten(F.transform(pieces, lambda x: x["v"])).alias("ids"))
+    # the head is bounded by its parameter, whatever the corpus; it travels with the tasks
+    head = [(r["word"], r["v"]) for r in encoded.orderBy(F.desc("n"), "word").limit(head_words).collect()]
+    places = docs.select("doc_id", F.posexplode(pretokens(F.col("text"))).alias("pos", "word"))
+    frequent = documents.sparkSession.createDataFrame([(w,) for w, _ in head], "word string")
+    rest = places.join(F.broadcast(frequent), "word", "left_anti")
+    rare = rest.join(encoded.select("word", "v"), "word").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("rare"))
+    # documents are already where they belong; their words are cut after the join, so the join moves texts
+    met = docs.join(rare, "doc_id", "left").select("doc_id", pretokens(F.col("text")).alias("words"), F.col("rare.pos").alias("pos"), F.col("rare.v").alias("v"))
+    return met.mapInArrow(_put_together(head), f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def token_counts(documents: DataFrame, name: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> DataFrame:
