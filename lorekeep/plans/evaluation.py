@@ -23,10 +23,21 @@ def other(d) -> str:
     return f"transform(embedding, (x, i) -> IF(i < {_KEPT}, x, 0F))" if d.name == "spark" else f"list_transform(embedding, lambda x, i: CASE WHEN i <= {_KEPT} THEN x ELSE 0 END)"
 
 
+#: Parts of the table that a query meets one by one; both sides shuffle, as the queries grow with the table.
+_BLOCKS = 64
+
+
+def every_query(d, rows: str, but: str = "m.vec_id <> q.vec_id") -> str:
+    """Rows ``m`` against the queries ``q``: each query goes to every block of the table."""
+    if d.name != "spark":
+        return f"{rows} m JOIN (SELECT * FROM {rows} x WHERE {_ASKED}) q ON {but}"
+    return f"(SELECT *, pmod(vec_id, {_BLOCKS}) AS in_block FROM {rows} y) m JOIN (SELECT *, explode(sequence(0, {_BLOCKS} - 1)) AS in_block FROM {rows} x WHERE {_ASKED}) q ON m.in_block = q.in_block AND {but}"
+
+
 def ranked(d, k: int = 10) -> str:
     """The ten nearest of each query; no more than these leave a task."""
     return f"""(SELECT qid, label, vec_id, other, sim, pos FROM (SELECT q.vec_id AS qid, q.label, m.vec_id, m.label AS other, {cosine(d, 'm.embedding', 'q.embedding')} AS sim,
-        row_number() OVER (PARTITION BY q.vec_id ORDER BY {cosine(d, 'm.embedding', 'q.embedding')} DESC, m.vec_id) AS pos FROM embeddings m JOIN (SELECT * FROM embeddings WHERE {_ASKED}) q ON m.vec_id <> q.vec_id) r WHERE pos <= {k})"""
+        row_number() OVER (PARTITION BY q.vec_id ORDER BY {cosine(d, 'm.embedding', 'q.embedding')} DESC, m.vec_id) AS pos FROM {every_query(d, '(SELECT vec_id, label, embedding FROM embeddings)')}) r WHERE pos <= {k})"""
 
 
 def cases(d) -> str:
@@ -70,7 +81,7 @@ plan.direct("eval_resolve", eval_resolve, f"""WITH m AS (SELECT id, source_key F
 def two_spaces(d) -> str:
     """Every query against every other vector in both spaces."""
     e = f"(SELECT vec_id, label, embedding AS a, {other(d)} AS b FROM embeddings)"
-    return f"""(SELECT q.vec_id AS qid, m.vec_id, m.label = q.label AS relevant, {cosine(d, 'm.a', 'q.a')} AS sim_a, {cosine(d, 'm.b', 'q.b')} AS sim_b FROM {e} m JOIN (SELECT * FROM {e} x WHERE {_ASKED}) q ON m.vec_id <> q.vec_id)"""
+    return f"""(SELECT q.vec_id AS qid, m.vec_id, m.label = q.label AS relevant, {cosine(d, 'm.a', 'q.a')} AS sim_a, {cosine(d, 'm.b', 'q.b')} AS sim_b FROM {every_query(d, e)})"""
 
 
 @plan
@@ -86,7 +97,7 @@ def space_compat(d):
     e = f"(SELECT vec_id, embedding AS a, {other(d)} AS b FROM embeddings)"
     best = lambda m, q: f"row_number() OVER (PARTITION BY q.vec_id ORDER BY {cosine(d, m, q)} DESC, m.vec_id)"
     return f"""WITH e AS {e}, same AS (SELECT count(*) AS comparisons, min({cosine(d, 'a', 'b')}) AS least, avg({cosine(d, 'a', 'b')}) AS mean FROM e),
-        r AS (SELECT q.vec_id AS qid, m.vec_id, {best('m.a', 'q.a')} AS aa, {best('m.b', 'q.b')} AS bb, {best('m.a', 'q.b')} AS ba, {best('m.b', 'q.a')} AS ab FROM e m JOIN (SELECT * FROM e WHERE {_ASKED}) q ON m.vec_id % 50 <> 0),
+        r AS (SELECT q.vec_id AS qid, m.vec_id, {best('m.a', 'q.a')} AS aa, {best('m.b', 'q.b')} AS bb, {best('m.a', 'q.b')} AS ba, {best('m.b', 'q.a')} AS ab FROM {every_query(d, 'e', 'm.vec_id % 50 <> 0')}),
         t AS (SELECT qid, max(CASE WHEN aa = 1 THEN vec_id END) AS aa, max(CASE WHEN bb = 1 THEN vec_id END) AS bb, max(CASE WHEN ba = 1 THEN vec_id END) AS ba, max(CASE WHEN ab = 1 THEN vec_id END) AS ab FROM r WHERE aa = 1 OR bb = 1 OR ba = 1 OR ab = 1 GROUP BY qid),
         g AS (SELECT count(*) AS queries, avg(CASE WHEN aa = bb THEN 1e0 ELSE 0e0 END) AS top_one, avg(CASE WHEN ba = aa THEN 1e0 ELSE 0e0 END) AS other_queries, avg(CASE WHEN ab = bb THEN 1e0 ELSE 0e0 END) AS other_documents FROM t)
         SELECT comparisons, queries, round(least, 6) AS least_cosine, round(mean, 6) AS mean_cosine, round(top_one, 6) AS top_one, round(other_queries, 6) AS other_queries, round(other_documents, 6) AS other_documents,

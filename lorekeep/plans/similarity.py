@@ -189,10 +189,10 @@ plan.direct("cluster_violations", cluster_violations, "SELECT CAST(0 AS BIGINT)
 
 @plan
 def reflection_sample(d):
-    """Recent and active records, interleaved, each once."""
+    """Recent and active records, interleaved, each once. Each ranking is limited by itself, so no task passes on more than its own first twenty."""
+    first = lambda key, k: f"SELECT id, namespace, {k} AS k FROM (SELECT id, namespace, row_number() OVER (PARTITION BY namespace ORDER BY {key} DESC, id) AS n FROM m) r WHERE n <= 20"
     return f"""WITH m AS (SELECT id, namespace, created_at, access_count FROM {memories(d, 'id, namespace, created_at, access_count, deleted_at, expires_at')} x WHERE {active(d)}),
-        r AS (SELECT id, namespace, row_number() OVER (PARTITION BY namespace ORDER BY created_at DESC, id) AS rn, row_number() OVER (PARTITION BY namespace ORDER BY access_count DESC, id) AS an FROM m),
-        u AS (SELECT id, namespace, 2 * rn - 1 AS k FROM r WHERE rn <= 20 UNION ALL SELECT id, namespace, 2 * an AS k FROM r WHERE an <= 20),
+        u AS ({first('created_at', '2 * n - 1')} UNION ALL {first('access_count', '2 * n')}),
         o AS (SELECT id, namespace, min(k) AS k FROM u GROUP BY id, namespace), p AS (SELECT id, namespace, k, row_number() OVER (PARTITION BY namespace ORDER BY k, id) AS pos FROM o)
         SELECT namespace, id, k, pos FROM p WHERE pos <= 30"""
 

@@ -398,9 +398,10 @@ def graph_index_status(d):
 
 @plan
 def ordered_digest(d):
-    """Order-sensitive digest of each namespace: digests of its slices by the id's first digit keep every list bounded by a sixteenth."""
-    return f"""WITH s AS (SELECT namespace, substr(id, 1, 2) AS slice, {d.sha(d.listagg("id || ':' || revision", ',', 'id'))} AS h FROM {memories(d, 'id, namespace, revision')} m GROUP BY namespace, substr(id, 1, 2))
-        SELECT namespace, {d.sha(d.listagg('h', ',', 'slice'))} AS digest FROM s GROUP BY namespace"""
+    """Order-sensitive digest of each namespace: of the digests of slices of slices of the order of ids, so that no list grows beyond a 65,536th of a namespace."""
+    return f"""WITH s AS (SELECT namespace, substr(id, 1, 4) AS slice, {d.sha(d.listagg("id || ':' || revision", ',', 'id'))} AS h FROM {memories(d, 'id, namespace, revision')} m GROUP BY namespace, substr(id, 1, 4)),
+        t AS (SELECT namespace, substr(slice, 1, 2) AS part, {d.sha(d.listagg('h', ',', 'slice'))} AS h FROM s GROUP BY namespace, substr(slice, 1, 2))
+        SELECT namespace, {d.sha(d.listagg('h', ',', 'part'))} AS digest FROM t GROUP BY namespace"""
 
 
 @plan
