@@ -114,7 +114,13 @@ def entity_extraction(spark, sf_dir):
     return texts.extracted_entities(links.join(people, "entity_id").select("memory_id", "entity_type", "display_name", "mention", "aliases", "confidence", contents.alias("content")))
 
 
-plan.direct("entity_extraction", entity_extraction)
+_TIDY = "trim(regexp_replace({}, '[\\s]+', ' ', 'g'))"
+plan.direct("entity_extraction", entity_extraction, f"""WITH l AS (SELECT DISTINCT memory_id, entity_id, mention, aliases, confidence, namespace FROM memory_entities), r AS (SELECT l.memory_id, e.entity_type, {_TIDY.format('e.display_name')} AS display_name, coalesce(list_transform(list_filter(l.aliases, lambda a: a IS NOT NULL), lambda a: {_TIDY.format('a')}), []) AS al, l.confidence
+      FROM l JOIN entities e ON e.id = l.entity_id WHERE l.confidence >= 0.5 AND e.entity_type IN ('person', 'project', 'tool', 'place')),
+    n AS (SELECT *, lower(display_name) AS name, count(*) OVER (PARTITION BY memory_id, entity_type, lower(display_name)) AS times FROM r),
+    g AS (SELECT *, bool_or(display_name = '' OR length(display_name) > 256 OR times > 1) OVER (PARTITION BY memory_id) AS refused, list_transform(al, lambda a: lower(a)) AS low FROM n),
+    o AS (SELECT memory_id, entity_type, name AS normalized_name, display_name, list_filter(al, lambda a, i: a <> '' AND lower(a) <> name AND list_position(low, lower(a)) = i) AS aliases, confidence, row_number() OVER (PARTITION BY memory_id ORDER BY confidence DESC, name, entity_type) AS pos FROM g WHERE NOT refused)
+    SELECT * FROM o WHERE pos <= 50""")
 
 
 @plan
