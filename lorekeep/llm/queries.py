@@ -82,6 +82,20 @@ SELECT a AS memory_id_a, b AS memory_id_b FROM p JOIN m x ON x.id = a JOIN m y O
 WHERE x.content <> y.content OR l.least = a
 """
 
+#: Groups: contents with one set of sequences are a class; classes that are similar are linked, and linked ones are one group.
+_GROUPS = r"""
+WITH RECURSIVE m AS (SELECT DISTINCT id, namespace, content FROM memories WHERE content IS NOT NULL),
+w AS (SELECT id, namespace, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS w FROM m),
+t AS (SELECT id, namespace, list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS s FROM w WHERE len(w) >= 3),
+k AS (SELECT min(id) AS class, namespace, s, len(s) AS n FROM t GROUP BY namespace, s),
+e AS (SELECT class, namespace, n, unnest(s) AS x FROM k),
+c AS (SELECT a.class AS a, b.class AS b, max(a.n) AS na, max(b.n) AS nb, count(*) AS shared FROM e a JOIN e b ON b.x = a.x AND b.namespace IS NOT DISTINCT FROM a.namespace AND a.class <> b.class GROUP BY 1, 2),
+p AS (SELECT a, b FROM c WHERE shared >= 0.5 * (na + nb - shared)),
+r(a, b) AS (SELECT class, class FROM k UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b),
+g AS (SELECT a, min(b) AS least FROM r GROUP BY a), f AS (SELECT a, count(*) AS links FROM p GROUP BY a)
+SELECT t.id AS memory_id, g.least AS group_id, coalesce(f.links, 0) AS links FROM t JOIN k ON k.namespace IS NOT DISTINCT FROM t.namespace AND k.s = t.s JOIN g ON g.a = k.class LEFT JOIN f ON f.a = k.class
+"""
+
 _NEAREST = """
 WITH m AS (SELECT DISTINCT id, embedding, hash(embedding_provider, embedding_model, embedding_dimensions) AS space, embedding_provider AS p, embedding_model AS q, embedding_dimensions AS d FROM memories
   WHERE len(embedding) = embedding_dimensions AND embedding_provider IS NOT NULL AND embedding_model IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
@@ -130,6 +144,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": _NEAREST + "SELECT DISTINCT least(memory_id, neighbour_id) AS memory_id_a, greatest(memory_id, neighbour_id) AS memory_id_b FROM r WHERE rank <= 10",
         "p4_found": _PAIRS,
+        "p4_groups": _GROUPS,
         "p5_found": _RUNS + "SELECT first_event_id, last_event_id, n_events, duration_ms FROM runs WHERE n_events >= 2",
         "p5_by_service": _RUNS + "SELECT service, count(*) AS runs, CAST(sum(n_events) AS BIGINT) AS events, max(n_events) AS longest_run FROM runs GROUP BY service",
         "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
