@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.plans.dialect import DUCK, IDENTITY_FIELDS, SPARK, Plans, active, decay, identity, lot, memories
+from lorekeep.plans.dialect import DUCK, IDENTITY_FIELDS, SPARK, Plans, active, decay, identity, lot, memories, of_content, rank_of
 from lorekeep.session import checkpointed, table
 
 plan = Plans()
@@ -246,9 +246,11 @@ _of_ranked("taste_trends", evidence)
 
 @plan
 def agent_activity(d):
-    return f"""WITH agents AS (SELECT DISTINCT agent_id, client_id FROM memories WHERE agent_id IS NOT NULL)
-        SELECT a.agent_id, a.client_id, count(m.id) AS memories, max(m.created_at) AS last_at
-        FROM agents a LEFT JOIN {memories(d, 'id, agent_id, client_id, created_at, deleted_at')} m ON m.agent_id = a.agent_id AND m.client_id = a.client_id AND m.deleted_at IS NULL GROUP BY a.agent_id, a.client_id"""
+    """How many live records of its own client each agent has, without those that another record stands for, and when the last one came."""
+    columns = "agent_id, client_id, created_at, deleted_at, expires_at, access_level"
+    return f"""WITH agents AS (SELECT DISTINCT agent_id, client_id FROM memories WHERE agent_id IS NOT NULL),
+        m AS (SELECT id, agent_id, client_id, created_at FROM {of_content(d, columns)} c WHERE id = canonical_id AND {active(d)} AND {rank_of('access_level')} <= 1)
+        SELECT a.agent_id, a.client_id, count(m.id) AS memories, max(m.created_at) AS last_at FROM agents a LEFT JOIN m ON m.agent_id = a.agent_id AND m.client_id = a.client_id GROUP BY a.agent_id, a.client_id"""
 
 
 def jobs(d) -> str:

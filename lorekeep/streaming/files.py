@@ -44,7 +44,7 @@ def absent(current: DataFrame, present: DataFrame) -> DataFrame:
 
 
 def current_sections(spark: SparkSession, table: str) -> DataFrame:
-    return log.latest(spark, table, T.StructType(list(SECTIONS.fields)), ["section_key"], "deleted")
+    return log.latest(spark, table, SECTIONS, ["section_key"], "deleted")
 
 
 def sync(spark: SparkSession, folder: str, table: str, checkpoint: str, files_per_batch: int = 1000):
@@ -52,7 +52,7 @@ def sync(spark: SparkSession, folder: str, table: str, checkpoint: str, files_pe
 
     def write(batch: DataFrame, number: int) -> None:
         # a batch that is done again must not see its own first attempt
-        before = log.read_log(batch.sparkSession, table, T.StructType(list(SECTIONS.fields))).where(F.col(log.BATCH) < number)
+        before = log.read_log(batch.sparkSession, table, SECTIONS).where(F.col(log.BATCH) < number)
         newest = before.groupBy("section_key").agg(F.max_by(F.struct(*SECTIONS.names), log.BATCH).alias("x")).select("x.*").where("NOT deleted")
         log.write_batch(changes(newest, batch), table, number)
 

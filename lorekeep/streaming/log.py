@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BATCH = "batch"
 
@@ -22,7 +23,7 @@ def read_log(spark: SparkSession, base: str, schema) -> DataFrame:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
     if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], schema).withColumn(BATCH, F.lit(None).cast("long"))
-    return spark.read.schema(schema.add(BATCH, "long") if BATCH not in schema.names else schema).parquet(base)
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())])).parquet(base)
 
 
 def latest(spark: SparkSession, base: str, schema, keys: list[str], deleted: str | None = None) -> DataFrame:

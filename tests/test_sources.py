@@ -98,17 +98,16 @@ def test_archive_and_trailer(spark, tmp_path):
 
 def test_log_of_batches(spark, tmp_path):
     kind, base = T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.IntegerType()), T.StructField("deleted", T.BooleanType())]), str(tmp_path / "log")
-    fresh = lambda: T.StructType(list(kind.fields))
     put = lambda n, *rows: log.write_batch(spark.createDataFrame(list(rows), kind), base, n)
-    assert log.latest(spark, base, fresh(), ["k"]).count() == 0
+    assert log.latest(spark, base, kind, ["k"]).count() == 0
     put(0, ("a", 1, False), ("b", 1, False))
     put(1, ("a", 2, False))
     put(1, ("a", 2, False))  # the same batch once more
     put(2, ("b", 1, True))
-    assert log.read_log(spark, base, fresh()).count() == 4
-    assert [(r.k, r.v) for r in log.latest(spark, base, fresh(), ["k"], "deleted").collect()] == [("a", 2)]
-    log.compact(spark, base, str(tmp_path / "small"), fresh(), ["k"], "deleted")
-    assert log.read_log(spark, str(tmp_path / "small"), fresh()).count() == 1
+    assert log.read_log(spark, base, kind).count() == 4
+    assert [(r.k, r.v) for r in log.latest(spark, base, kind, ["k"], "deleted").collect()] == [("a", 2)]
+    log.compact(spark, base, str(tmp_path / "small"), kind, ["k"], "deleted")
+    assert log.read_log(spark, str(tmp_path / "small"), kind).count() == 1
 
 
 def test_watched_folder(spark, tmp_path):
